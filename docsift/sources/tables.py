@@ -122,3 +122,85 @@ SELECT doc_id,
        doc_id AS ctime, octet_length(encode(text)) AS size, text
 FROM d
 """
+
+
+# ---------------------------------------------------------------------------
+# Captured tabs (E2), mapped onto ``conversations``
+# ---------------------------------------------------------------------------
+WINDOWS_PER_SESSION = 20  # a capture session holds conv_id div 20
+
+
+def _tab_noise(conv: Column, turn: Column, text: Column, first_text: Column, prev_first: Column) -> Column:
+    """Deterministic capture variations, one per (window, tab)."""
+    lf = F.lit("\n")
+    return (
+        F.when((conv % 9 == 5) & (turn == 0), F.lit(""))
+        .when((conv % 9 == 4) & (turn == 1), F.lit(""))
+        .when((conv % 10 == 7) & (turn == 0), F.concat(F.lit("   "), lf, text))
+        .when((conv % 8 == 3) & (turn == 0), F.concat(F.lit("# "), text))
+        .when((conv % 8 == 5) & (turn == 0), F.concat(F.lit("[section]"), lf, text))
+        .when((conv % 8 == 6) & (turn == 0), F.concat(F.lit("{"), text, F.lit("}")))
+        .when((conv % 4 == 0) & (turn == 3), F.concat(first_text, F.lit("  \r\n")))
+        .when((conv % 6 == 1) & (turn == 1) & prev_first.isNotNull(), F.concat(prev_first, F.lit("\r\n")))
+        .otherwise(text)
+    )
+
+
+def capture_tabs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per captured tab: session_id, window_id, title, turn, phase,
+    child_handle, text.
+
+    window = conversation, tab = turn; phase 1 (already loaded, read silently,
+    has a child handle) = role 'user', phase 2 (read by selecting the tab) =
+    the other roles. The title is the first turn's first line + ' - Notepad',
+    starred (unsaved) for every third window.
+    """
+    from ..functions.text import first_line, pystrip
+
+    conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    firsts = conv.filter(F.col("turn") == 0).select("conv_id", F.col("text").alias("first_text"))
+    prev = firsts.select((F.col("conv_id") + 1).alias("conv_id"), F.col("first_text").alias("prev_first"))
+    c = conv.join(firsts, "conv_id", "left").join(prev, "conv_id", "left")
+    c = c.withColumn("text", _tab_noise(F.col("conv_id"), F.col("turn"), F.col("text"),
+                                        F.col("first_text"), F.col("prev_first")))
+    title = F.concat(F.when(F.col("conv_id") % 3 == 0, F.lit("*")).otherwise(F.lit("")),
+                     F.substring(pystrip(first_line(F.col("first_text"))), 1, 40), F.lit(" - Notepad"))
+    phase = F.when(F.col("role") == "user", F.lit(1)).otherwise(F.lit(2))
+    return c.select(
+        F.format_string("nc-2024-02-%02d__10-00-00", (F.col("conv_id") / WINDOWS_PER_SESSION).cast("int") + 1)
+        .alias("session_id"),
+        F.col("conv_id").alias("window_id"),
+        title.alias("title"),
+        "turn",
+        phase.alias("phase"),
+        F.when(phase == 1, F.col("conv_id") * 1000 + F.col("turn")).alias("child_handle"),
+        "text",
+    )
+
+
+CAPTURE_TABS_SQL = f"""
+WITH conv AS (SELECT conv_id, turn, role, text FROM conversations),
+firsts AS (SELECT conv_id, text AS first_text FROM conv WHERE turn = 0),
+prev AS (SELECT conv_id + 1 AS conv_id, first_text AS prev_first FROM firsts),
+c AS (
+  SELECT conv.conv_id, conv.turn, conv.role, f.first_text, p.prev_first,
+    CASE
+      WHEN conv.conv_id % 9 = 5 AND conv.turn = 0 THEN ''
+      WHEN conv.conv_id % 9 = 4 AND conv.turn = 1 THEN ''
+      WHEN conv.conv_id % 10 = 7 AND conv.turn = 0 THEN '   ' || chr(10) || conv.text
+      WHEN conv.conv_id % 8 = 3 AND conv.turn = 0 THEN '# ' || conv.text
+      WHEN conv.conv_id % 8 = 5 AND conv.turn = 0 THEN '[section]' || chr(10) || conv.text
+      WHEN conv.conv_id % 8 = 6 AND conv.turn = 0 THEN '{{' || conv.text || '}}'
+      WHEN conv.conv_id % 4 = 0 AND conv.turn = 3 THEN f.first_text || '  ' || chr(13) || chr(10)
+      WHEN conv.conv_id % 6 = 1 AND conv.turn = 1 AND p.prev_first IS NOT NULL THEN p.prev_first || chr(13) || chr(10)
+      ELSE conv.text END AS text
+  FROM conv LEFT JOIN firsts f ON conv.conv_id = f.conv_id LEFT JOIN prev p ON conv.conv_id = p.conv_id
+)
+SELECT printf('nc-2024-02-%02d__10-00-00', CAST(trunc(conv_id / {WINDOWS_PER_SESSION}) AS INTEGER) + 1) AS session_id,
+       conv_id AS window_id,
+       (CASE WHEN conv_id % 3 = 0 THEN '*' ELSE '' END) || substr(@@STRIP_FIRST@@, 1, 40) || ' - Notepad' AS title,
+       turn, CASE WHEN role = 'user' THEN 1 ELSE 2 END AS phase,
+       CASE WHEN role = 'user' THEN conv_id * 1000 + turn END AS child_handle,
+       text
+FROM c
+"""
