@@ -173,7 +173,7 @@ JOIN firsts f USING (content_hash) JOIN canon c USING (content_hash)"""
 SQL_INDEX_STATS = f"""WITH {HIST_SQL}
 SELECT count(*) AS indexed_files, count(DISTINCT content_hash) AS unique_hashes FROM hist"""
 
-SQL_COMPARE_EXACT = f"""WITH {HIST_SQL}
+COMPARE_EXACT_BODY = """
 SELECT n.path AS new_path,
        CASE WHEN n.is_blank THEN 'skipped' WHEN c.canonical_path IS NOT NULL THEN 'exact' ELSE 'new' END AS status,
        CASE WHEN NOT n.is_blank THEN c.canonical_path END AS canonical_path,
@@ -182,6 +182,9 @@ SELECT n.path AS new_path,
        CASE WHEN NOT n.is_blank THEN n.content_hash END AS new_hash,
        CASE WHEN NOT n.is_blank AND c.canonical_path IS NOT NULL THEN n.content_hash END AS canonical_hash
 FROM news n LEFT JOIN canon c USING (content_hash)"""
+SQL_COMPARE_EXACT = f"WITH {HIST_SQL} {COMPARE_EXACT_BODY}"
+# CTE list ending in ``res`` = the exact-only compare result.
+RES_SQL = f"{HIST_SQL}, res AS ({COMPARE_EXACT_BODY})"
 
 SQL_COMPARE_EXACT_STATS = f"""WITH {HIST_SQL},
 r AS (
