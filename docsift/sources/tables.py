@@ -204,3 +204,94 @@ SELECT printf('nc-2024-02-%02d__10-00-00', CAST(trunc(conv_id / {WINDOWS_PER_SES
        text
 FROM c
 """
+
+
+# ---------------------------------------------------------------------------
+# File listing (S2–S4, P12, P13): what a recursive scan of the search roots
+# returns, derived from ``documents`` (session folders) and ``pages`` (other
+# folders: look-alike names without a manifest, web captures, stray files).
+# ---------------------------------------------------------------------------
+ROOTS = 3
+PAGE_FILE_NAMES = ["manifest.json", "_info.json", ".hidden", "page{id}.HTML", "page.exe", "page{id}",
+                   "x.gitignore", "notes.MD", "img.png", "data.csv", "a.tar.gz", "script.PS1",
+                   "readme.txt"]
+
+
+def listed_session_name(session_no: Column) -> Column:
+    """Every fourth session keeps the legacy folder name format."""
+    day = F.format_string("%02d", session_no + 1)
+    return F.when(session_no % 4 == 1, F.concat(F.lit("notepad-cleanup-2024-01-"), day, F.lit("_09-00-00"))) \
+        .otherwise(F.concat(F.lit("nc-2024-01-"), day, F.lit("__09-00-00")))
+
+
+def file_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, size, mtime of every file under the search roots."""
+    inv = inventory(spark, sf_dir, with_text=False)
+    root = F.concat(F.lit("/archive/r"), (F.col("session_no") % ROOTS).cast("string"))
+    sdir = F.concat(root, F.lit("/"), listed_session_name(F.col("session_no")))
+    rel = F.regexp_replace("path", "^[^/]+/", "")
+    docs = inv.select(F.concat(sdir, F.lit("/"), rel).alias("path"), "size", F.col("ctime").alias("mtime"))
+    sessions = inv.select("session_no").distinct()
+    manifests = sessions.filter(F.col("session_no") % 7 != 6).select(
+        F.concat(sdir, F.lit("/manifest.json")).alias("path"), F.lit(120).cast("long").alias("size"),
+        F.lit(0).cast("long").alias("mtime"))
+    infos = inv.filter(~F.col("is_organized")).select(
+        "session_no", F.regexp_extract("path", "^[^/]+/(window[0-9]+)/", 1).alias("w")).distinct().select(
+        F.concat(sdir, F.lit("/"), F.col("w"), F.lit("/_info.json")).alias("path"),
+        F.lit(64).cast("long").alias("size"), F.lit(0).cast("long").alias("mtime"))
+    pages = table(spark, sf_dir, "pages").select("page_id")
+    pid = F.col("page_id")
+    day = F.format_string("%02d", pid % 28 + 1)
+    pdir = (
+        F.when(pid % 6 == 0, F.lit("nc-backups"))
+        .when(pid % 6 == 1, F.lit("nc-scratch"))
+        .when(pid % 6 == 2, F.lit("misc"))
+        .when(pid % 6 == 3, F.concat(F.lit("notepad-cleanup-2024-03-"), day, F.lit("_12-00-00")))
+        .when(pid % 6 == 4, F.concat(F.lit("nc-2024-03-"), day, F.lit("__12-00-00")))
+        .otherwise(F.concat(F.lit("nc-2024-03-"), day, F.lit("__12-00-00/organized/web")))
+    )
+    names = F.array(*[F.lit(n) for n in PAGE_FILE_NAMES])
+    fname = F.replace(F.element_at(names, (pid % len(PAGE_FILE_NAMES) + 1).cast("int")), F.lit("{id}"),
+                      pid.cast("string"))
+    webs = pages.select(
+        F.concat(F.lit("/archive/r"), (pid % ROOTS).cast("string"), F.lit("/"), pdir, F.lit("/"), fname).alias("path"),
+        (pid * 37 % 5000).cast("long").alias("size"), pid.alias("mtime"))
+    return docs.unionByName(manifests).unionByName(infos).unionByName(webs)
+
+
+def _listed_session_sql(n: str) -> str:
+    return (f"(CASE WHEN {n} % 4 = 1 THEN 'notepad-cleanup-2024-01-' || printf('%02d', {n} + 1) || '_09-00-00' "
+            f"ELSE 'nc-2024-01-' || printf('%02d', {n} + 1) || '__09-00-00' END)")
+
+
+def _page_names_sql() -> str:
+    arr = ", ".join(f"'{n}'" for n in PAGE_FILE_NAMES)
+    return f"replace([{arr}][page_id % {len(PAGE_FILE_NAMES)} + 1], '{{id}}', CAST(page_id AS VARCHAR))"
+
+
+FILE_LISTING_SQL = f"""
+inv AS ({INVENTORY_SQL}),
+ls_docs AS (
+  SELECT '/archive/r' || CAST(session_no % {ROOTS} AS VARCHAR) || '/' || {_listed_session_sql('session_no')} || '/'
+         || regexp_replace(path, '^[^/]+/', '') AS path, size, ctime AS mtime FROM inv),
+ls_sess AS (SELECT DISTINCT session_no FROM inv),
+ls_man AS (
+  SELECT '/archive/r' || CAST(session_no % {ROOTS} AS VARCHAR) || '/' || {_listed_session_sql('session_no')}
+         || '/manifest.json' AS path, CAST(120 AS BIGINT) AS size, CAST(0 AS BIGINT) AS mtime
+  FROM ls_sess WHERE session_no % 7 <> 6),
+ls_info AS (
+  SELECT '/archive/r' || CAST(session_no % {ROOTS} AS VARCHAR) || '/' || {_listed_session_sql('session_no')}
+         || '/' || w || '/_info.json' AS path, CAST(64 AS BIGINT) AS size, CAST(0 AS BIGINT) AS mtime
+  FROM (SELECT DISTINCT session_no, regexp_extract(path, '^[^/]+/(window[0-9]+)/', 1) AS w
+        FROM inv WHERE NOT is_organized)),
+ls_web AS (
+  SELECT '/archive/r' || CAST(page_id % {ROOTS} AS VARCHAR) || '/' ||
+    CASE page_id % 6 WHEN 0 THEN 'nc-backups' WHEN 1 THEN 'nc-scratch' WHEN 2 THEN 'misc'
+      WHEN 3 THEN 'notepad-cleanup-2024-03-' || printf('%02d', page_id % 28 + 1) || '_12-00-00'
+      WHEN 4 THEN 'nc-2024-03-' || printf('%02d', page_id % 28 + 1) || '__12-00-00'
+      ELSE 'nc-2024-03-' || printf('%02d', page_id % 28 + 1) || '__12-00-00/organized/web' END
+    || '/' || {_page_names_sql()} AS path,
+    CAST(page_id * 37 % 5000 AS BIGINT) AS size, page_id AS mtime FROM pages),
+listing AS (SELECT * FROM ls_docs UNION ALL SELECT * FROM ls_man UNION ALL SELECT * FROM ls_info
+            UNION ALL SELECT * FROM ls_web)
+"""
