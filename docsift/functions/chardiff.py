@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .blocks import bounded_diff
+
 
 def char_diff_py(a: str, b: str) -> int:
     """``max(len a, len b) - matched`` with Ratcliff/Obershelp matching blocks
@@ -32,15 +34,15 @@ def bag_bound_py(a: str, b: str) -> int:
 
 
 def bounded_char_diff_py(a: str, b: str, k: int) -> int:
-    """char_diff when it is <= k, else -1 (cheap bounds first)."""
+    """char_diff when it is <= k, else -1 (cheap bounds first, then the
+    exact bounded matcher of ``blocks``)."""
     if a is None or b is None:
         return -1
     if abs(len(a) - len(b)) > k:
         return -1
     if bag_bound_py(a, b) > k:
         return -1
-    d = char_diff_py(a, b)
-    return d if d <= k else -1
+    return bounded_diff(a, b, k)
 
 
 @F.pandas_udf(T.IntegerType())

@@ -13,6 +13,7 @@ compared once. The result of the near join is joined back by hash.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,15 +34,23 @@ def history_index(history: DataFrame) -> DataFrame:
 
 
 def classify(new_docs: DataFrame, history: DataFrame, fuzzy="small",
-             curve: ThresholdCurve = DEFAULT_CURVE, method: str = "prefix") -> DataFrame:
+             curve: ThresholdCurve = DEFAULT_CURVE, method: str = "auto", cache: bool = True) -> DataFrame:
     """Every new document gets exactly one of exact / near / new / skipped.
 
     ``new_docs`` needs path and text; ``history`` needs path, text, session_id,
     session_order and ctime (already scoped, see ``index_scope``).
+
+    With fuzzy matching on, the fingerprinted new side and the history index
+    are each used by the exact join, the near-join planning step and the near
+    join; ``cache`` persists them (memory, spilling to disk) so the
+    normalisation runs once. A lost cache block is recomputed from lineage.
     """
     policy = FuzzyPolicy.parse(fuzzy)
     new = with_fingerprint(new_docs.select("path", "text")).drop("text")
     idx = history_index(history)
+    if cache and policy.enabled:
+        new = new.persist(StorageLevel.MEMORY_AND_DISK)
+        idx = idx.persist(StorageLevel.MEMORY_AND_DISK)
 
     # Exact hash equi-join (one row per hash on the index side).
     canon = idx.select(

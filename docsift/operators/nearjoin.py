@@ -138,14 +138,45 @@ def pair_filter(pairs: DataFrame, curve: ThresholdCurve = DEFAULT_CURVE) -> Data
     )
 
 
+# 'auto' takes the length-band join while it stays linear in size: at most
+# this many band pairs per input text on average; beyond it the q-gram prefix
+# join, whose size does not depend on how densely lengths are populated.
+BAND_PAIRS_PER_TEXT = 64
+
+
+def band_stats(new: DataFrame, cand: DataFrame, curve: ThresholdCurve = DEFAULT_CURVE) -> tuple[int, int]:
+    """(band pairs, input texts), exactly, from the two length histograms (one
+    row per distinct length) in a single job, without forming any pair."""
+    nh = new.groupBy("len").agg(F.count(F.lit(1)).alias("nn"))
+    ch = cand.groupBy(F.col("len").alias("c_len")).agg(F.count(F.lit(1)).alias("cn"))
+    t = curve.column("len")
+    ne = nh.select("nn", F.explode(F.sequence(
+        F.greatest(F.col("len") - t, F.ceil(F.col("len") / 2).cast("int"), F.lit(1)),
+        F.least(F.col("len") + t, F.col("len") * 2))).alias("c_len"))
+    parts = (ne.join(ch, "c_len").select(F.lit("pairs").alias("k"), (F.col("nn") * F.col("cn")).alias("v"))
+             .unionByName(nh.select(F.lit("texts").alias("k"), F.col("nn").alias("v")))
+             .unionByName(ch.select(F.lit("texts").alias("k"), F.col("cn").alias("v"))))
+    got = {r["k"]: int(r["v"] or 0) for r in parts.groupBy("k").agg(F.sum("v").alias("v")).collect()}
+    return got.get("pairs", 0), got.get("texts", 0)
+
+
+def choose_method(new: DataFrame, cand: DataFrame, curve: ThresholdCurve = DEFAULT_CURVE) -> str:
+    pairs, texts = band_stats(new, cand, curve)
+    return "band" if pairs <= BAND_PAIRS_PER_TEXT * max(texts, 1) else "prefix"
+
+
 def candidate_pairs(new: DataFrame, cand: DataFrame, curve: ThresholdCurve = DEFAULT_CURVE,
-                    method: str = "prefix") -> DataFrame:
+                    method: str = "auto") -> DataFrame:
     """Candidate pairs (new_key, cand_key, n_len, c_len, k).
 
     ``new``/``cand`` have columns key, text (normalised), len. ``method`` is
-    'prefix' (default, pruned), 'band' (length band only) or 'ratio' (every
-    pair inside the 2x ratio, the unpruned plan).
+    'auto' (band join while it is linear-size, else prefix), 'prefix'
+    (q-gram prefix filter), 'band' (length band only) or 'ratio' (every pair
+    inside the 2x ratio, the unpruned plan). All are exact after
+    ``pair_filter``; they differ in how many pairs reach it.
     """
+    if method == "auto":
+        method = choose_method(new, cand, curve)
     if method == "band":
         raw = band_pairs(new, cand, curve)
     elif method == "ratio":
@@ -163,13 +194,39 @@ def candidate_pairs(new: DataFrame, cand: DataFrame, curve: ThresholdCurve = DEF
     return pair_filter(raw.dropDuplicates(["new_key", "cand_key"]), curve)
 
 
+def char_bags(docs: DataFrame) -> DataFrame:
+    """key → map of character counts (computed once per text)."""
+    return docs.select("key", gram_profile_udf(1)(F.col("text")).alias("bag"))
+
+
+def bag_filter(pairs: DataFrame, new_bags: DataFrame, cand_bags: DataFrame) -> DataFrame:
+    """Keep pairs whose character-bag bound max(len) - Σ min(count) <= k.
+
+    Evaluated in the JVM with a higher-order aggregate over the smaller
+    bag; only survivors go on to the Python check."""
+    nb = new_bags.select(F.col("key").alias("new_key"), F.col("bag").alias("n_bag"))
+    cb = cand_bags.select(F.col("key").alias("cand_key"), F.col("bag").alias("c_bag"))
+    j = pairs.join(nb, "new_key").join(cb, "cand_key")
+    common = F.aggregate(
+        F.map_entries("n_bag"), F.lit(0),
+        lambda acc, e: acc + F.least(e["value"], F.coalesce(F.try_element_at("c_bag", e["key"]), F.lit(0))))
+    return j.filter(F.greatest("n_len", "c_len") - common <= F.col("k")).select(
+        "new_key", "cand_key", "n_len", "c_len", "k")
+
+
 def verified_pairs(pairs: DataFrame, new: DataFrame, cand: DataFrame) -> DataFrame:
-    """Attach texts, run the bounded difflib check, keep diff <= k.
+    """Character-bag bound in the JVM, then the bounded difflib check on
+    the survivors; keep diff <= k.
 
     Output: new_key, cand_key, char_diff."""
+    survivors = bag_filter(pairs, char_bags(new), char_bags(cand))
     nt = new.select(F.col("key").alias("new_key"), F.col("text").alias("n_text"))
     ct = cand.select(F.col("key").alias("cand_key"), F.col("text").alias("c_text"))
-    with_text = pairs.join(nt, "new_key").join(ct, "cand_key")
+    with_text = survivors.join(nt, "new_key").join(ct, "cand_key")
+    # The survivors are few but each check is costly: spread them over
+    # shuffle-partitions tasks (a numbered repartition is not coalesced by AQE).
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    with_text = with_text.repartition(n, "new_key", "cand_key")
     scored = with_text.select(
         "new_key", "cand_key",
         bounded_char_diff(F.col("n_text"), F.col("c_text"), F.col("k")).alias("char_diff"))
@@ -188,7 +245,7 @@ def best_match(verified: DataFrame, cand_order: DataFrame) -> DataFrame:
 
 
 def near_matches(new: DataFrame, cand: DataFrame, cand_order: DataFrame,
-                 curve: ThresholdCurve = DEFAULT_CURVE, method: str = "prefix") -> DataFrame:
+                 curve: ThresholdCurve = DEFAULT_CURVE, method: str = "auto") -> DataFrame:
     """J2 → J3 → J4."""
     pairs = candidate_pairs(new, cand, curve, method)
     return best_match(verified_pairs(pairs, new, cand), cand_order)

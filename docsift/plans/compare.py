@@ -26,7 +26,7 @@ def sides(spark: SparkSession, sf_dir: str, scope: str = "reference"):
     return inv.filter(F.col("is_current")), hist
 
 
-def compare(spark: SparkSession, sf_dir: str, fuzzy="small", method: str = "prefix",
+def compare(spark: SparkSession, sf_dir: str, fuzzy="small", method: str = "auto",
             scope: str = "reference") -> DataFrame:
     new, hist = sides(spark, sf_dir, scope)
     return classify(new, hist, fuzzy, DEFAULT_CURVE, method)
