@@ -32,7 +32,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.chardiff import bounded_char_diff, gram_profile_udf
+from ..functions.chardiff import bounded_char_diff, gram_profile_udf, prefix_udf
 from ..functions.threshold import DEFAULT_CURVE, ThresholdCurve
 
 SCAN_LIMIT = 200_000
@@ -63,33 +63,52 @@ def _bounds(df: DataFrame, role: str, curve: ThresholdCurve) -> DataFrame:
     return df.withColumn("U", u.cast("int"))
 
 
-def _prefix(grams: DataFrame, df: DataFrame) -> DataFrame:
-    """Keep the first P numbered grams of each text in global (df, gram) order."""
-    w = Window.partitionBy("role", "key").orderBy("df", "gram").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = grams.join(df, "gram").withColumn("cum", F.sum("cnt").over(w))
-    kept = ranked.filter(F.col("cum") - F.col("cnt") < F.col("P")).withColumn(
-        "take", F.least(F.col("cnt"), F.col("P") - (F.col("cum") - F.col("cnt"))))
-    return kept.select("role", "key", "len", "gram",
-                       F.explode(F.sequence(F.lit(1), F.col("take").cast("int"))).alias("occ"))
+# Gram order. Prefix filtering is exact under *any* global order of the
+# numbered grams; rarer-first only makes it selective. Document frequencies
+# are therefore estimated on a bounded sample of the texts, and only the most
+# frequent grams are kept: the table that is broadcast has a proven size
+# bound, grams outside it sort first (as rare), and no result depends on it.
+ORDER_SAMPLE_CHARS = 20_000_000   # characters of text sampled for frequencies
+ORDER_MAX_GRAMS = 500_000         # entries kept (most frequent first)
+BAND_BUCKET = 32                  # length bucket width of the pair join key
 
 
-def _gram_rows(docs: DataFrame, q: int, prefix_len) -> DataFrame:
+def gram_order(docs: DataFrame, q: int, total_chars: int, seed: int = 17) -> dict:
+    """gram → estimated document frequency, at most ORDER_MAX_GRAMS entries."""
+    frac = min(1.0, ORDER_SAMPLE_CHARS / max(total_chars, 1))
+    sample = docs if frac >= 1.0 else docs.sample(fraction=frac, seed=seed)
     prof = gram_profile_udf(q)
-    return docs.select(
-        "role", "key", "len", prefix_len.alias("P"),
-        F.explode(prof(F.col("text"))).alias("gram", "cnt"),
-    )
+    df = (sample.select(F.explode(F.map_keys(prof(F.col("text")))).alias("gram"))
+          .groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+          .orderBy(F.col("df").desc(), F.col("gram")).limit(ORDER_MAX_GRAMS))
+    return {r["gram"]: int(r["df"]) for r in df.collect()}
+
+
+def _prefix_keys(docs: DataFrame, q: int, prefix_len, order_bc) -> DataFrame:
+    """(role, key, len, U, g): the first P numbered grams of every text in the
+    global (estimated df, gram) order, selected inside the Arrow UDF, so no
+    per-gram rows exist before the pair join."""
+    return docs.select("role", "key", "len", "U",
+                       F.explode(prefix_udf(q, order_bc)(F.col("text"), prefix_len)).alias("g"))
+
+
+def _band_buckets(curve: ThresholdCurve) -> F.Column:
+    """Length buckets a new text of length ``len`` can pair with."""
+    t = curve.column("len")
+    lo = F.greatest(F.col("len") - t, F.ceil(F.col("len") / 2).cast("int"), F.lit(1))
+    hi = F.least(F.col("len") + t, F.col("len") * 2)
+    return F.sequence((lo / BAND_BUCKET).cast("int"), (hi / BAND_BUCKET).cast("int"))
 
 
-def _prefix_pairs(docs: DataFrame, q: int, prefix_len) -> DataFrame:
-    g = _gram_rows(docs, q, prefix_len)
-    df = g.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    p = _prefix(g, df)
+def _prefix_pairs(docs: DataFrame, q: int, prefix_len, order_bc, curve: ThresholdCurve) -> DataFrame:
+    p = _prefix_keys(docs, q, prefix_len, order_bc)
     a = p.filter(F.col("role") == "new").select(
-        F.col("key").alias("new_key"), F.col("len").alias("n_len"), "gram", "occ")
+        F.col("key").alias("new_key"), F.col("len").alias("n_len"), "g",
+        F.explode(_band_buckets(curve)).alias("b"))
     b = p.filter(F.col("role") == "cand").select(
-        F.col("key").alias("cand_key"), F.col("len").alias("c_len"), "gram", "occ")
-    return a.join(b, ["gram", "occ"]).select("new_key", "cand_key", "n_len", "c_len")
+        F.col("key").alias("cand_key"), F.col("len").alias("c_len"), "g",
+        (F.col("len") / BAND_BUCKET).cast("int").alias("b"))
+    return a.join(b, ["g", "b"]).select("new_key", "cand_key", "n_len", "c_len")
 
 
 def _length_pairs(new: DataFrame, cand: DataFrame, max_len: int) -> DataFrame:
@@ -175,6 +194,12 @@ def candidate_pairs(new: DataFrame, cand: DataFrame, curve: ThresholdCurve = DEF
     inside the 2x ratio, the unpruned plan). All are exact after
     ``pair_filter``; they differ in how many pairs reach it.
     """
+    return pair_filter(raw_pairs(new, cand, curve, method).dropDuplicates(["new_key", "cand_key"]), curve)
+
+
+def raw_pairs(new: DataFrame, cand: DataFrame, curve: ThresholdCurve = DEFAULT_CURVE,
+              method: str = "auto") -> DataFrame:
+    """Generator output before the exact predicates (may repeat a pair)."""
     if method == "auto":
         method = choose_method(new, cand, curve)
     if method == "band":
@@ -185,13 +210,17 @@ def candidate_pairs(new: DataFrame, cand: DataFrame, curve: ThresholdCurve = DEF
         m0, m1 = tier_limits(curve)
         docs = _bounds(new.withColumn("role", F.lit("new")), "new", curve).unionByName(
             _bounds(cand.withColumn("role", F.lit("cand")), "cand", curve))
-        q3 = _prefix_pairs(docs.filter(F.col("len") >= 3), 3, F.col("U") * 6 + 1)
-        q1 = _prefix_pairs(docs.filter(F.col("len") <= m1), 1, F.col("U") + 1)
+        sc = new.sparkSession.sparkContext
+        total = docs.agg(F.sum("len")).collect()[0][0] or 0
+        o3 = sc.broadcast(gram_order(docs, 3, total))
+        o1 = sc.broadcast(gram_order(docs.filter(F.col("len") <= m1), 1, total))
+        q3 = _prefix_pairs(docs.filter(F.col("len") >= 3), 3, F.col("U") * 6 + 1, o3, curve)
+        q1 = _prefix_pairs(docs.filter(F.col("len") <= m1), 1, F.col("U") + 1, o1, curve)
         short = _length_pairs(new, cand, m0)
         raw = q3.unionByName(q1).unionByName(short)
     else:
         raise ValueError(f"unknown candidate method {method!r}")
-    return pair_filter(raw.dropDuplicates(["new_key", "cand_key"]), curve)
+    return raw
 
 
 def char_bags(docs: DataFrame) -> DataFrame:
