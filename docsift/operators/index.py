@@ -9,7 +9,7 @@ combined map-side instead of being collected into one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -28,22 +28,22 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def index_scope(history: DataFrame) -> DataFrame:
     """Per historical session, index only ``organized/`` files when the
-    session has any, else only ``window*`` files, else everything."""
+    session has any, else only ``window*`` files, else everything.
+
+    The per-session flags are a partial-aggregated group-by (one row per
+    session) joined back, so a session holding a third of the corpus is not
+    sorted in one task."""
     is_win = F.col("path").rlike("^[^/]+/window[0-9][^/]*/")
     is_org = F.col("path").rlike("^[^/]+/organized/")
-    w = Window.partitionBy("session_id")
-    flagged = (
-        history.withColumn("_org", is_org)
-        .withColumn("_win", is_win)
-        .withColumn("_has_org", F.max(F.col("_org").cast("int")).over(w) == 1)
-        .withColumn("_has_win", F.max(F.col("_win").cast("int")).over(w) == 1)
-    )
+    flagged = history.withColumn("_org", is_org).withColumn("_win", is_win)
+    flags = flagged.groupBy("session_id").agg(F.max(F.col("_org").cast("int")).alias("_has_org"),
+                                              F.max(F.col("_win").cast("int")).alias("_has_win"))
     keep = (
-        F.when(F.col("_has_org"), F.col("_org"))
-        .when(F.col("_has_win"), F.col("_win"))
+        F.when(F.col("_has_org") == 1, F.col("_org"))
+        .when(F.col("_has_win") == 1, F.col("_win"))
         .otherwise(F.lit(True))
     )
-    return flagged.filter(keep).drop("_org", "_win", "_has_org", "_has_win")
+    return flagged.join(flags, "session_id").filter(keep).drop("_org", "_win", "_has_org", "_has_win")
 
 
 def index_order_key() -> F.Column:

@@ -26,11 +26,12 @@ RESULT_COLUMNS = ["new_path", "status", "canonical_path", "char_diff", "session_
                   "new_hash", "canonical_hash"]
 
 
-def history_index(history: DataFrame) -> DataFrame:
-    """Fingerprint historical documents and collapse them per hash."""
+def history_index(history: DataFrame, with_text: bool = True) -> DataFrame:
+    """Fingerprint historical documents and collapse them per hash; the
+    normalised text rides along only when the near join needs it."""
     fp = with_fingerprint(history)
-    return hash_summary(fp.select("content_hash", "path", "session_id", "session_order", "ctime",
-                                  "norm", "n_len"))
+    cols = ["content_hash", "path", "session_id", "session_order", "ctime"]
+    return hash_summary(fp.select(*cols, *(["norm", "n_len"] if with_text else [])))
 
 
 def classify(new_docs: DataFrame, history: DataFrame, fuzzy="small",
@@ -47,7 +48,7 @@ def classify(new_docs: DataFrame, history: DataFrame, fuzzy="small",
     """
     policy = FuzzyPolicy.parse(fuzzy)
     new = with_fingerprint(new_docs.select("path", "text")).drop("text")
-    idx = history_index(history)
+    idx = history_index(history, with_text=policy.enabled)
     if cache and policy.enabled:
         new = new.persist(StorageLevel.MEMORY_AND_DISK)
         idx = idx.persist(StorageLevel.MEMORY_AND_DISK)
