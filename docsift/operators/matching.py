@@ -53,11 +53,9 @@ def classify(new_docs: DataFrame, history: DataFrame, fuzzy="small",
         new = new.persist(StorageLevel.MEMORY_AND_DISK)
         idx = idx.persist(StorageLevel.MEMORY_AND_DISK)
 
-    # Exact hash equi-join (one row per hash on the index side).
     canon = idx.select(
         "content_hash", "canonical_path", "canonical_session")
     live = new.filter(~F.col("is_blank"))
-    exact = live.join(canon, "content_hash", "inner")
 
     near = None
     if policy.enabled:
@@ -80,8 +78,9 @@ def classify(new_docs: DataFrame, history: DataFrame, fuzzy="small",
                  "canonical_path", "canonical_session")
 
     base = new.select("path", "content_hash", "is_blank")
-    out = base.join(exact.select("content_hash", F.col("canonical_path").alias("x_path"),
-                                 F.col("canonical_session").alias("x_sess")).distinct(),
+    # Exact hash equi-join (one row per hash on the index side).
+    out = base.join(canon.select("content_hash", F.col("canonical_path").alias("x_path"),
+                                 F.col("canonical_session").alias("x_sess")),
                     "content_hash", "left")
     if near is not None:
         out = out.join(near.select("content_hash", "cand_key", F.col("char_diff").alias("n_diff"),

@@ -116,7 +116,7 @@ FROM numbered GROUP BY ROLLUP (session_id, window_index) HAVING session_id IS NO
 SQL_TAB_FILES = f"WITH {NUMBERED_SQL} SELECT session_id, folder, filename, text FROM numbered WHERE filename IS NOT NULL"
 
 SQL_CAPTURE_KEYS = f"""WITH tabs AS ({_TABS})
-SELECT window_id, turn, length({S.capture_key('text')}) AS key_len, sha256({S.capture_key('text')}) AS key FROM tabs"""
+SELECT window_id, turn, CAST(length({S.capture_key('text')}) AS INTEGER) AS key_len, sha256({S.capture_key('text')}) AS key FROM tabs"""
 
 SQL_TEXT_FUNCTIONS = f"""WITH d0 AS (SELECT doc_id, text AS raw FROM documents),
 docs AS (SELECT doc_id, CASE

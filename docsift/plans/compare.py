@@ -129,7 +129,7 @@ def q_fuzzy_gate(spark, sf_dir):
 FP_SQL = f"""
 inv AS ({INVENTORY_SQL}),
 fp0 AS (SELECT *, {S.norm('text')} AS norm FROM inv),
-fp AS (SELECT *, length(norm) AS n_len, sha256(norm) AS content_hash, {S.is_blank('norm')} AS is_blank FROM fp0)
+fp AS (SELECT *, CAST(length(norm) AS INTEGER) AS n_len, sha256(norm) AS content_hash, {S.is_blank('norm')} AS is_blank FROM fp0)
 """
 
 HIST_SQL = FP_SQL + """,

@@ -244,7 +244,7 @@ plist AS (SELECT session_id, plan_id,
     from_json(js, '[{{"source":"VARCHAR","category":"VARCHAR","new_name":"VARCHAR","reason":"VARCHAR"}}]') AS plan
   FROM parsed),
 entries AS (
-  SELECT session_id, plan_id, pos - 1 AS pos, coalesce(e.source, '') AS source,
+  SELECT session_id, plan_id, CAST(pos - 1 AS INTEGER) AS pos, coalesce(e.source, '') AS source,
          coalesce(e.category, 'misc') AS category,
          coalesce(nullif(e.new_name, ''), translate(coalesce(e.source, ''), '/\\', '__')) AS new_name,
          coalesce(e.reason, '') AS reason
@@ -267,7 +267,7 @@ applied AS (
 
 SQL_PLAN_ENTRIES = f"WITH {CURRENT_SQL} SELECT session_id, plan_id, pos, source, category, new_name, reason FROM entries"
 SQL_PLAN_STATUS = f"""WITH {CURRENT_SQL}
-SELECT session_id, plan_id, plan IS NOT NULL AS parsed, coalesce(len(plan), 0) AS entries FROM plist"""
+SELECT session_id, plan_id, plan IS NOT NULL AS parsed, CAST(coalesce(len(plan), 0) AS INTEGER) AS entries FROM plist"""
 SQL_APPLY_PLAN = f"WITH {CURRENT_SQL} SELECT * FROM applied"
 SQL_ORGANIZE_STATS = f"""WITH {CURRENT_SQL}
 SELECT session_id, count(*) FILTER (WHERE action = 'copy') AS copied, count(*) FILTER (WHERE action = 'link') AS linked,
