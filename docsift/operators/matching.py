@@ -35,7 +35,8 @@ def history_index(history: DataFrame, with_text: bool = True) -> DataFrame:
 
 
 def classify(new_docs: DataFrame, history: DataFrame, fuzzy="small",
-             curve: ThresholdCurve = DEFAULT_CURVE, method: str = "auto", cache: bool = True) -> DataFrame:
+             curve: ThresholdCurve = DEFAULT_CURVE, method: str = "auto", cache: bool = True,
+             observations: dict | None = None) -> DataFrame:
     """Every new document gets exactly one of exact / near / new / skipped.
 
     ``new_docs`` needs path and text; ``history`` needs path, text, session_id,
@@ -45,6 +46,8 @@ def classify(new_docs: DataFrame, history: DataFrame, fuzzy="small",
     are each used by the exact join, the near-join planning step and the near
     join; ``cache`` persists them (memory, spilling to disk) so the
     normalisation runs once. A lost cache block is recomputed from lineage.
+    ``observations`` (see ``nearjoin.funnel_observations``) receives the pair
+    counts of each near-join stage once the result is computed.
     """
     policy = FuzzyPolicy.parse(fuzzy)
     new = with_fingerprint(new_docs.select("path", "text")).drop("text")
@@ -71,7 +74,7 @@ def classify(new_docs: DataFrame, history: DataFrame, fuzzy="small",
         cand = cand_all.select(F.col("content_hash").alias("key"), F.col("norm").alias("text"),
                                F.col("n_len").alias("len"))
         order = cand_all.select(F.col("content_hash").alias("cand_key"), "first_pos")
-        best = near_matches(pending, cand, order, curve, method)
+        best = near_matches(pending, cand, order, curve, method, observations)
         near = best.join(
             canon.withColumnRenamed("content_hash", "cand_key"), "cand_key"
         ).select(F.col("new_key").alias("content_hash"), "cand_key", "char_diff",

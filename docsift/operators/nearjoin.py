@@ -243,12 +243,13 @@ def bag_filter(pairs: DataFrame, new_bags: DataFrame, cand_bags: DataFrame) -> D
         "new_key", "cand_key", "n_len", "c_len", "k")
 
 
-def verified_pairs(pairs: DataFrame, new: DataFrame, cand: DataFrame) -> DataFrame:
+def verified_pairs(pairs: DataFrame, new: DataFrame, cand: DataFrame,
+                   observations: dict | None = None) -> DataFrame:
     """Character-bag bound in the JVM, then the bounded difflib check on
     the survivors; keep diff <= k.
 
     Output: new_key, cand_key, char_diff."""
-    survivors = bag_filter(pairs, char_bags(new), char_bags(cand))
+    survivors = _observe(bag_filter(pairs, char_bags(new), char_bags(cand)), observations, "bag_survivors")
     nt = new.select(F.col("key").alias("new_key"), F.col("text").alias("n_text"))
     ct = cand.select(F.col("key").alias("cand_key"), F.col("text").alias("c_text"))
     with_text = survivors.join(nt, "new_key").join(ct, "cand_key")
@@ -273,8 +274,28 @@ def best_match(verified: DataFrame, cand_order: DataFrame) -> DataFrame:
                        F.col("_b.char_diff").alias("char_diff"))
 
 
+FUNNEL = ("candidates", "bag_survivors", "verified")
+
+
+def funnel_observations() -> dict:
+    """One ``Observation`` per pruning stage (the batch equivalent of the
+    progress callbacks: pairs reaching each check). Read them with
+    ``obs[name].get`` after the result has been computed."""
+    from pyspark.sql import Observation
+
+    return {name: Observation(f"near_{name}") for name in FUNNEL}
+
+
+def _observe(df: DataFrame, observations: dict | None, name: str) -> DataFrame:
+    if not observations:
+        return df
+    return df.observe(observations[name], F.count(F.lit(1)).alias("pairs"))
+
+
 def near_matches(new: DataFrame, cand: DataFrame, cand_order: DataFrame,
-                 curve: ThresholdCurve = DEFAULT_CURVE, method: str = "auto") -> DataFrame:
-    """J2 → J3 → J4."""
-    pairs = candidate_pairs(new, cand, curve, method)
-    return best_match(verified_pairs(pairs, new, cand), cand_order)
+                 curve: ThresholdCurve = DEFAULT_CURVE, method: str = "auto",
+                 observations: dict | None = None) -> DataFrame:
+    """J2 → J3 → J4, optionally counting the pairs at every stage."""
+    pairs = _observe(candidate_pairs(new, cand, curve, method), observations, "candidates")
+    verified = verified_pairs(pairs, new, cand, observations)
+    return best_match(_observe(verified, observations, "verified"), cand_order)
