@@ -68,20 +68,43 @@ def _bounds(df: DataFrame, role: str, curve: ThresholdCurve) -> DataFrame:
 # are therefore estimated on a bounded sample of the texts, and only the most
 # frequent grams are kept: the table that is broadcast has a proven size
 # bound, grams outside it sort first (as rare), and no result depends on it.
-ORDER_SAMPLE_CHARS = 20_000_000   # characters of text sampled for frequencies
+ORDER_SAMPLE_CHARS = 4_000_000    # characters of text sampled for frequencies
 ORDER_MAX_GRAMS = 500_000         # entries kept (most frequent first)
 BAND_BUCKET = 32                  # length bucket width of the pair join key
 
 
-def gram_order(docs: DataFrame, q: int, total_chars: int, seed: int = 17) -> dict:
-    """gram → estimated document frequency, at most ORDER_MAX_GRAMS entries."""
+def gram_orders(docs: DataFrame, qs: tuple[int, ...], total_chars: int, seed: int = 17) -> dict[int, dict]:
+    """For every q: gram → estimated document frequency, at most
+    ORDER_MAX_GRAMS entries each, from one pass over a bounded sample.
+
+    Each partition counts document frequencies locally (a map-side combine
+    in the worker), so only (q, gram, partial count) rows are shuffled."""
     frac = min(1.0, ORDER_SAMPLE_CHARS / max(total_chars, 1))
-    sample = docs if frac >= 1.0 else docs.sample(fraction=frac, seed=seed)
-    prof = gram_profile_udf(q)
-    df = (sample.select(F.explode(F.map_keys(prof(F.col("text")))).alias("gram"))
-          .groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-          .orderBy(F.col("df").desc(), F.col("gram")).limit(ORDER_MAX_GRAMS))
-    return {r["gram"]: int(r["df"]) for r in df.collect()}
+    sample = docs.select("text") if frac >= 1.0 else docs.select("text").sample(fraction=frac, seed=seed)
+
+    def partial(batches):
+        import pandas as pd
+
+        from ..functions.chardiff import gram_profile_py
+
+        counts: dict = {}
+        for pdf in batches:
+            for t in pdf["text"]:
+                for q in qs:
+                    for g in gram_profile_py(t, q):
+                        counts[(q, g)] = counts.get((q, g), 0) + 1
+        yield pd.DataFrame({"q": pd.Series([k[0] for k in counts], dtype="int32"),
+                            "gram": pd.Series([k[1] for k in counts], dtype="object"),
+                            "n": pd.Series(list(counts.values()), dtype="int64")})
+
+    agg = sample.mapInPandas(partial, "q int, gram string, n long").groupBy("q", "gram").agg(
+        F.sum("n").alias("df"))
+    ranked = agg.withColumn("r", F.row_number().over(
+        Window.partitionBy("q").orderBy(F.col("df").desc(), F.col("gram"))))
+    out: dict[int, dict] = {q: {} for q in qs}
+    for r in ranked.filter(F.col("r") <= ORDER_MAX_GRAMS).select("q", "gram", "df").collect():
+        out[r["q"]][r["gram"]] = int(r["df"])
+    return out
 
 
 def _prefix_keys(docs: DataFrame, q: int, prefix_len, order_bc) -> DataFrame:
@@ -101,11 +124,13 @@ def _band_buckets(curve: ThresholdCurve) -> F.Column:
 
 
 def _prefix_pairs(docs: DataFrame, q: int, prefix_len, order_bc, curve: ThresholdCurve) -> DataFrame:
-    p = _prefix_keys(docs, q, prefix_len, order_bc)
-    a = p.filter(F.col("role") == "new").select(
+    # roles are split before the UDF so every text is profiled once
+    pn = _prefix_keys(docs.filter(F.col("role") == "new"), q, prefix_len, order_bc)
+    pc = _prefix_keys(docs.filter(F.col("role") == "cand"), q, prefix_len, order_bc)
+    a = pn.select(
         F.col("key").alias("new_key"), F.col("len").alias("n_len"), "g",
         F.explode(_band_buckets(curve)).alias("b"))
-    b = p.filter(F.col("role") == "cand").select(
+    b = pc.select(
         F.col("key").alias("cand_key"), F.col("len").alias("c_len"), "g",
         (F.col("len") / BAND_BUCKET).cast("int").alias("b"))
     return a.join(b, ["g", "b"]).select("new_key", "cand_key", "n_len", "c_len")
@@ -174,14 +199,17 @@ def band_stats(new: DataFrame, cand: DataFrame, curve: ThresholdCurve = DEFAULT_
         F.least(F.col("len") + t, F.col("len") * 2))).alias("c_len"))
     parts = (ne.join(ch, "c_len").select(F.lit("pairs").alias("k"), (F.col("nn") * F.col("cn")).alias("v"))
              .unionByName(nh.select(F.lit("texts").alias("k"), F.col("nn").alias("v")))
-             .unionByName(ch.select(F.lit("texts").alias("k"), F.col("cn").alias("v"))))
+             .unionByName(ch.select(F.lit("texts").alias("k"), F.col("cn").alias("v")))
+             .unionByName(nh.select(F.lit("chars").alias("k"), (F.col("nn") * F.col("len")).alias("v")))
+             .unionByName(ch.select(F.lit("chars").alias("k"), (F.col("cn") * F.col("c_len")).alias("v"))))
     got = {r["k"]: int(r["v"] or 0) for r in parts.groupBy("k").agg(F.sum("v").alias("v")).collect()}
-    return got.get("pairs", 0), got.get("texts", 0)
+    return got.get("pairs", 0), got.get("texts", 0), got.get("chars", 0)
 
 
-def choose_method(new: DataFrame, cand: DataFrame, curve: ThresholdCurve = DEFAULT_CURVE) -> str:
-    pairs, texts = band_stats(new, cand, curve)
-    return "band" if pairs <= BAND_PAIRS_PER_TEXT * max(texts, 1) else "prefix"
+def choose_method(new: DataFrame, cand: DataFrame, curve: ThresholdCurve = DEFAULT_CURVE) -> tuple[str, int]:
+    """('band' | 'prefix', total characters of both sides)."""
+    pairs, texts, chars = band_stats(new, cand, curve)
+    return ("band" if pairs <= BAND_PAIRS_PER_TEXT * max(texts, 1) else "prefix"), chars
 
 
 def candidate_pairs(new: DataFrame, cand: DataFrame, curve: ThresholdCurve = DEFAULT_CURVE,
@@ -200,8 +228,9 @@ def candidate_pairs(new: DataFrame, cand: DataFrame, curve: ThresholdCurve = DEF
 def raw_pairs(new: DataFrame, cand: DataFrame, curve: ThresholdCurve = DEFAULT_CURVE,
               method: str = "auto") -> DataFrame:
     """Generator output before the exact predicates (may repeat a pair)."""
+    total_chars = None
     if method == "auto":
-        method = choose_method(new, cand, curve)
+        method, total_chars = choose_method(new, cand, curve)
     if method == "band":
         raw = band_pairs(new, cand, curve)
     elif method == "ratio":
@@ -211,9 +240,9 @@ def raw_pairs(new: DataFrame, cand: DataFrame, curve: ThresholdCurve = DEFAULT_C
         docs = _bounds(new.withColumn("role", F.lit("new")), "new", curve).unionByName(
             _bounds(cand.withColumn("role", F.lit("cand")), "cand", curve))
         sc = new.sparkSession.sparkContext
-        total = docs.agg(F.sum("len")).collect()[0][0] or 0
-        o3 = sc.broadcast(gram_order(docs, 3, total))
-        o1 = sc.broadcast(gram_order(docs.filter(F.col("len") <= m1), 1, total))
+        total = total_chars if total_chars is not None else (docs.agg(F.sum("len")).collect()[0][0] or 0)
+        orders = gram_orders(docs, (3, 1), total)
+        o3, o1 = sc.broadcast(orders[3]), sc.broadcast(orders[1])
         q3 = _prefix_pairs(docs.filter(F.col("len") >= 3), 3, F.col("U") * 6 + 1, o3, curve)
         q1 = _prefix_pairs(docs.filter(F.col("len") <= m1), 1, F.col("U") + 1, o1, curve)
         short = _length_pairs(new, cand, m0)
