@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+SESSION_BROADCAST_ROWS = 1_000_000
+
 
 def with_fingerprint(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Add ``norm`` (P1), ``n_len`` (code points), ``content_hash`` (P2) and
@@ -38,6 +40,11 @@ def index_scope(history: DataFrame) -> DataFrame:
     flagged = history.withColumn("_org", is_org).withColumn("_win", is_win)
     flags = flagged.groupBy("session_id").agg(F.max(F.col("_org").cast("int")).alias("_has_org"),
                                               F.max(F.col("_win").cast("int")).alias("_has_win"))
+    # One row per session: broadcast it when the measured row count is small,
+    # so the text-carrying side is not shuffled; otherwise a shuffle join
+    # (AQE splits a skewed session partition).
+    if flags.count() <= SESSION_BROADCAST_ROWS:
+        flags = F.broadcast(flags)
     keep = (
         F.when(F.col("_has_org") == 1, F.col("_org"))
         .when(F.col("_has_win") == 1, F.col("_win"))
