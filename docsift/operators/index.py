@@ -24,7 +24,8 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text") -> DataFrame:
         docs.withColumn("norm", T.normalize_text(text_col))
         .withColumn("n_len", F.length("norm"))
         .withColumn("content_hash", F.sha2(F.col("norm"), 256))
-        .withColumn("is_blank", T.is_blank("norm"))
+        # a missing text counts as blank (skipped), like an unreadable file
+        .withColumn("is_blank", F.coalesce(T.is_blank("norm"), F.lit(True)))
     )
 
 
