@@ -278,7 +278,12 @@ def verified_pairs(pairs: DataFrame, new: DataFrame, cand: DataFrame,
     the survivors; keep diff <= k.
 
     Output: new_key, cand_key, char_diff."""
-    survivors = _observe(bag_filter(pairs, char_bags(new), char_bags(cand)), observations, "bag_survivors")
+    # bags only for texts that occur in some candidate pair
+    used_new = pairs.select(F.col("new_key").alias("key")).distinct()
+    used_cand = pairs.select(F.col("cand_key").alias("key")).distinct()
+    bags_new = char_bags(new.join(used_new, "key", "left_semi"))
+    bags_cand = char_bags(cand.join(used_cand, "key", "left_semi"))
+    survivors = _observe(bag_filter(pairs, bags_new, bags_cand), observations, "bag_survivors")
     nt = new.select(F.col("key").alias("new_key"), F.col("text").alias("n_text"))
     ct = cand.select(F.col("key").alias("cand_key"), F.col("text").alias("c_text"))
     with_text = survivors.join(nt, "new_key").join(ct, "cand_key")
