@@ -23,7 +23,22 @@ CURRENT_FROM = 16  # srcN with N >= 16 is the session being compared
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan at least twice ``defaultParallelism`` partitions.
+
+    A file with few row groups is read by few tasks, and the per-row text
+    work after the scan (regexes, hashing, UDFs) would run on just those
+    tasks. Large inputs already have many more splits than cores and are
+    left untouched, so no corpus-sized shuffle is added at scale."""
+    # Byte-based splits can outnumber the row groups that actually hold
+    # data, hence the factor two.
+    target = 2 * df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
 
 
 def captured_text(doc_id: Column, text: Column) -> Column:
