@@ -17,16 +17,26 @@ from ..functions import text as T
 SESSION_BROADCAST_ROWS = 1_000_000
 
 
-def with_fingerprint(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def with_fingerprint(docs: DataFrame, text_col: str = "text", bags: bool = False) -> DataFrame:
     """Add ``norm`` (P1), ``n_len`` (code points), ``content_hash`` (P2) and
-    ``is_blank`` (P11)."""
-    return (
+    ``is_blank`` (P11); with ``bags`` also the character multiset of the
+    normalised text as ``bag_keys`` / ``bag_counts`` (computed here, in the
+    scan's tasks, where the work is spread over the input splits)."""
+    out = (
         docs.withColumn("norm", T.normalize_text(text_col))
         .withColumn("n_len", F.length("norm"))
         .withColumn("content_hash", F.sha2(F.col("norm"), 256))
         # a missing text counts as blank (skipped), like an unreadable file
         .withColumn("is_blank", F.coalesce(T.is_blank("norm"), F.lit(True)))
     )
+    if bags:
+        from ..functions.chardiff import gram_profile_udf
+
+        out = (out.withColumn("_bag", gram_profile_udf(1)(F.col("norm")))
+               .withColumn("bag_keys", F.map_keys("_bag"))
+               .withColumn("bag_counts", F.map_values("_bag"))
+               .drop("_bag"))
+    return out
 
 
 def index_scope(history: DataFrame) -> DataFrame:
@@ -82,8 +92,10 @@ def hash_summary(members: DataFrame) -> DataFrame:
     every member by construction of the hash).
     """
     has_text = "norm" in members.columns
-    first = F.min(F.struct(index_order_key().alias("pos"),
-                           *( [F.col("norm"), F.col("n_len")] if has_text else [] ))).alias("_first")
+    has_bags = "bag_keys" in members.columns
+    extra = ([F.col("norm"), F.col("n_len")] if has_text else []) + \
+        ([F.col("bag_keys"), F.col("bag_counts")] if has_bags else [])
+    first = F.min(F.struct(index_order_key().alias("pos"), *extra)).alias("_first")
     canon = F.min(F.struct(canonical_key().alias("key"), F.col("path"), F.col("session_id"))).alias("_canon")
     g = members.groupBy("content_hash").agg(F.count(F.lit(1)).alias("n_members"), first, canon)
     cols = [
@@ -96,6 +108,8 @@ def hash_summary(members: DataFrame) -> DataFrame:
     ]
     if has_text:
         cols += [F.col("_first.norm").alias("norm"), F.col("_first.n_len").alias("n_len")]
+    if has_bags:
+        cols += [F.col("_first.bag_keys").alias("bag_keys"), F.col("_first.bag_counts").alias("bag_counts")]
     return g.select(*cols)
 
 

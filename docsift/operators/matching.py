@@ -28,10 +28,12 @@ RESULT_COLUMNS = ["new_path", "status", "canonical_path", "char_diff", "session_
 
 def history_index(history: DataFrame, with_text: bool = True) -> DataFrame:
     """Fingerprint historical documents and collapse them per hash; the
-    normalised text rides along only when the near join needs it."""
-    fp = with_fingerprint(history)
+    normalised text and its character bag ride along only when the near
+    join needs them."""
+    fp = with_fingerprint(history, bags=with_text)
     cols = ["content_hash", "path", "session_id", "session_order", "ctime"]
-    return hash_summary(fp.select(*cols, *(["norm", "n_len"] if with_text else [])))
+    extra = ["norm", "n_len", "bag_keys", "bag_counts"] if with_text else []
+    return hash_summary(fp.select(*cols, *extra))
 
 
 def classify(new_docs: DataFrame, history: DataFrame, fuzzy="small",
@@ -50,7 +52,7 @@ def classify(new_docs: DataFrame, history: DataFrame, fuzzy="small",
     counts of each near-join stage once the result is computed.
     """
     policy = FuzzyPolicy.parse(fuzzy)
-    new = with_fingerprint(new_docs.select("path", "text")).drop("text")
+    new = with_fingerprint(new_docs.select("path", "text"), bags=policy.enabled).drop("text")
     idx = history_index(history, with_text=policy.enabled)
     if cache and policy.enabled:
         new = new.persist(StorageLevel.MEMORY_AND_DISK)
@@ -67,12 +69,13 @@ def classify(new_docs: DataFrame, history: DataFrame, fuzzy="small",
             live.join(canon.select("content_hash"), "content_hash", "left_anti")
             .filter(policy.size_ok("n_len"))
             .groupBy("content_hash")
-            .agg(F.first("norm").alias("text"), F.first("n_len").alias("len"))
+            .agg(F.first("norm").alias("text"), F.first("n_len").alias("len"),
+                 F.first("bag_keys").alias("bag_keys"), F.first("bag_counts").alias("bag_counts"))
             .withColumnRenamed("content_hash", "key")
         )
         cand_all = idx.filter((F.col("n_len") > 0) & policy.size_ok("n_len"))
         cand = cand_all.select(F.col("content_hash").alias("key"), F.col("norm").alias("text"),
-                               F.col("n_len").alias("len"))
+                               F.col("n_len").alias("len"), "bag_keys", "bag_counts")
         order = cand_all.select(F.col("content_hash").alias("cand_key"), "first_pos")
         best = near_matches(pending, cand, order, curve, method, observations)
         near = best.join(

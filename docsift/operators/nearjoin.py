@@ -253,7 +253,10 @@ def raw_pairs(new: DataFrame, cand: DataFrame, curve: ThresholdCurve = DEFAULT_C
 
 
 def char_bags(docs: DataFrame) -> DataFrame:
-    """key → map of character counts (computed once per text)."""
+    """key → map of character counts: rebuilt in the JVM from the bag arrays
+    computed with the fingerprint when present, else computed here."""
+    if "bag_keys" in docs.columns:
+        return docs.select("key", F.map_from_arrays("bag_keys", "bag_counts").alias("bag"))
     return docs.select("key", gram_profile_udf(1)(F.col("text")).alias("bag"))
 
 
@@ -264,7 +267,10 @@ def bag_filter(pairs: DataFrame, new_bags: DataFrame, cand_bags: DataFrame) -> D
     bag; only survivors go on to the Python check."""
     nb = new_bags.select(F.col("key").alias("new_key"), F.col("bag").alias("n_bag"))
     cb = cand_bags.select(F.col("key").alias("cand_key"), F.col("bag").alias("c_bag"))
-    j = pairs.join(nb, "new_key").join(cb, "cand_key")
+    # The join on new_key needs this shuffle anyway; numbering it keeps AQE
+    # from folding a small-but-CPU-heavy pair table into one task.
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    j = pairs.repartition(n, "new_key").join(nb, "new_key").join(cb, "cand_key")
     common = F.aggregate(
         F.map_entries("n_bag"), F.lit(0),
         lambda acc, e: acc + F.least(e["value"], F.coalesce(F.try_element_at("c_bag", e["key"]), F.lit(0))))
@@ -278,12 +284,7 @@ def verified_pairs(pairs: DataFrame, new: DataFrame, cand: DataFrame,
     the survivors; keep diff <= k.
 
     Output: new_key, cand_key, char_diff."""
-    # bags only for texts that occur in some candidate pair
-    used_new = pairs.select(F.col("new_key").alias("key")).distinct()
-    used_cand = pairs.select(F.col("cand_key").alias("key")).distinct()
-    bags_new = char_bags(new.join(used_new, "key", "left_semi"))
-    bags_cand = char_bags(cand.join(used_cand, "key", "left_semi"))
-    survivors = _observe(bag_filter(pairs, bags_new, bags_cand), observations, "bag_survivors")
+    survivors = _observe(bag_filter(pairs, char_bags(new), char_bags(cand)), observations, "bag_survivors")
     nt = new.select(F.col("key").alias("new_key"), F.col("text").alias("n_text"))
     ct = cand.select(F.col("key").alias("cand_key"), F.col("text").alias("c_text"))
     with_text = survivors.join(nt, "new_key").join(ct, "cand_key")

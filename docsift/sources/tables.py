@@ -37,7 +37,8 @@ def spread(df: DataFrame) -> DataFrame:
     # data, hence the factor two.
     target = 2 * df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
+        # hash on the leading id column: deterministic, no pre-sort of rows
+        return df.repartition(target, df.columns[0])
     return df
 
 
