@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.threshold import DEFAULT_CURVE, FuzzyPolicy
+from ..functions.threshold import DEFAULT_CURVE, FuzzyPolicy, curve_from_conf
 from ..operators.index import hash_index, index_scope, index_stats, with_fingerprint
 from ..operators.matching import classify, compare_stats, history_index
 from ..operators.nearjoin import candidate_pairs
@@ -29,7 +29,7 @@ def sides(spark: SparkSession, sf_dir: str, scope: str = "reference"):
 def compare(spark: SparkSession, sf_dir: str, fuzzy="small", method: str = "auto",
             scope: str = "reference") -> DataFrame:
     new, hist = sides(spark, sf_dir, scope)
-    return classify(new, hist, fuzzy, DEFAULT_CURVE, method)
+    return classify(new, hist, fuzzy, curve_from_conf(spark), method)
 
 
 # ---------------------------------------------------------------------------
