@@ -222,6 +222,46 @@ SELECT n.window_id, n.name_idx, t.text_idx FROM n JOIN t USING (window_id)
 WHERE n.clean <> '' AND starts_with(t.start, substr(n.clean, 1, 25))"""
 
 
+def _assignment_ctes() -> str:
+    """CTE chain ending in ``assigned``: the greedy one-to-one assignment as
+    a recursion over each window's names, carrying the texts already used."""
+    body = SQL_PREFIX_PAIRS[len("WITH "):]
+    i = body.rindex("SELECT n.window_id")
+    ctes, final = body[:i].rstrip().rstrip(","), body[i:]
+    return f"""{ctes},
+pairs AS ({final}),
+pnames AS (SELECT window_id, name_idx, row_number() OVER (PARTITION BY window_id ORDER BY name_idx) AS r
+           FROM (SELECT DISTINCT window_id, name_idx FROM pairs)),
+rec(window_id, r, used, name_idx, text_idx) AS (
+  SELECT DISTINCT window_id, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT)
+  FROM pnames
+  UNION ALL
+  SELECT window_id, r, CASE WHEN text_idx IS NULL THEN used ELSE list_append(used, text_idx) END, name_idx, text_idx
+  FROM (
+    SELECT rec.window_id, rec.r + 1 AS r, rec.used, n.name_idx,
+           (SELECT min(p.text_idx) FROM pairs p WHERE p.window_id = rec.window_id AND p.name_idx = n.name_idx
+              AND NOT list_contains(rec.used, p.text_idx)) AS text_idx
+    FROM rec JOIN pnames n ON n.window_id = rec.window_id AND n.r = rec.r + 1)),
+assigned AS (SELECT window_id, name_idx, text_idx FROM rec WHERE text_idx IS NOT NULL)"""
+
+
+SQL_TAB_ASSIGNMENT = f"WITH RECURSIVE {_assignment_ctes()} SELECT * FROM assigned"
+SQL_COVERAGE = f"""WITH RECURSIVE {_assignment_ctes()},
+per_win AS (SELECT window_id, count(*) AS tabs FROM names GROUP BY window_id),
+lw AS (SELECT window_id, count(*) AS loaded FROM tabs WHERE phase = 1 GROUP BY window_id),
+tw AS (SELECT window_id, count(*) AS with_text, sum(length(text)) AS chars FROM tabs
+       WHERE phase = 1 AND text IS NOT NULL AND text <> '' GROUP BY window_id),
+mw AS (SELECT window_id, count(*) AS matched FROM assigned GROUP BY window_id),
+w AS (SELECT p.window_id, p.tabs, coalesce(lw.loaded, 0) AS loaded, coalesce(tw.with_text, 0) AS with_text,
+             coalesce(tw.chars, 0) AS chars, coalesce(mw.matched, 0) AS matched
+      FROM per_win p LEFT JOIN lw USING (window_id) LEFT JOIN tw USING (window_id) LEFT JOIN mw USING (window_id))
+SELECT count(*) AS windows, CAST(sum(tabs) AS BIGINT) AS total_tabs, CAST(sum(loaded) AS BIGINT) AS loaded_tabs,
+       CAST(sum(with_text) AS BIGINT) AS tabs_with_text, CAST(sum(tabs - matched) AS BIGINT) AS tabs_unloaded,
+       CAST(sum(chars) AS BIGINT) AS total_chars,
+       round(CAST(sum(with_text) AS DOUBLE) / greatest(sum(tabs), 1) * 100, 1) AS coverage_pct
+FROM w"""
+
+
 def register_queries(register):
     register("score_curves", q_score_curves, SQL_SCORE_CURVES)
     register("fit_curve", q_fit_curve, SQL_FIT_CURVE)
@@ -232,6 +272,6 @@ def register_queries(register):
     register("recent_items", q_recent_items, SQL_RECENT_ITEMS)
     register("nth_recent", q_nth_recent, SQL_NTH_RECENT)
     register("prefix_pairs", q_prefix_pairs, SQL_PREFIX_PAIRS)
-    register("tab_assignment", q_tab_assignment, None)
-    register("coverage", q_coverage, None)
+    register("tab_assignment", q_tab_assignment, SQL_TAB_ASSIGNMENT)
+    register("coverage", q_coverage, SQL_COVERAGE)
     register("unified_diff", q_unified_diff, None)
