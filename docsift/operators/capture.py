@@ -77,12 +77,17 @@ def merge_phases(tabs: DataFrame) -> DataFrame:
 
 
 def number_tabs(merged: DataFrame) -> DataFrame:
-    """W3 + P14 + P5: manifest fields of every tab (one row per tab)."""
-    w_rank = Window.partitionBy("session_id").orderBy("window_id")
+    """W3 + P14 + P5: manifest fields of every tab (one row per tab).
+
+    Window numbers are ranked over the distinct windows of a session (one
+    row per window), not over all its tabs, and joined back."""
+    wins = merged.select("session_id", "window_id").distinct().withColumn(
+        "_wi", F.row_number().over(Window.partitionBy("session_id").orderBy("window_id")))
+    merged = merged.join(wins, ["session_id", "window_id"])
     per_win = Window.partitionBy("session_id", "window_id")
     has_text = F.col("text").isNotNull() & (F.col("text") != "")
     idx = F.col("tab_index") + 1
-    wi = F.dense_rank().over(w_rank)
+    wi = F.col("_wi")
     return merged.select(
         "session_id", "window_id", "text",
         wi.cast("int").alias("window_index"),
