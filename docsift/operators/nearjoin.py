@@ -27,7 +27,6 @@ prefix. Everything before the difflib check runs in the JVM.
 from __future__ import annotations
 
 import functools
-import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -188,7 +187,7 @@ def pair_filter(pairs: DataFrame, curve: ThresholdCurve = DEFAULT_CURVE) -> Data
 BAND_PAIRS_PER_TEXT = 64
 
 
-def band_stats(new: DataFrame, cand: DataFrame, curve: ThresholdCurve = DEFAULT_CURVE) -> tuple[int, int]:
+def band_stats(new: DataFrame, cand: DataFrame, curve: ThresholdCurve = DEFAULT_CURVE) -> tuple[int, int, int]:
     """(band pairs, input texts), exactly, from the two length histograms (one
     row per distinct length) in a single job, without forming any pair."""
     nh = new.groupBy("len").agg(F.count(F.lit(1)).alias("nn"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.paths import category_of_path
 from ..functions.text import sanitize_filename
 from ..operators import links as L
 from ..operators import organize as O
