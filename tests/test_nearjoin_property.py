@@ -59,3 +59,21 @@ def test_all_methods_equal_brute_force(spark):
                    for r in classify(n, h, "small", method=method).collect()}
             assert got == expect, (seed, method)
         assert any(v[0] == "near" for v in expect.values())
+
+
+def test_prefix_exact_under_poor_gram_order(spark, monkeypatch):
+    """The gram order only steers selectivity: a tiny frequency sample and a
+    five-entry order table must give the same result."""
+    import docsift.operators.nearjoin as NJ
+
+    monkeypatch.setattr(NJ, "ORDER_SAMPLE_CHARS", 1000)
+    monkeypatch.setattr(NJ, "ORDER_MAX_GRAMS", 5)
+    hist, new = _corpus(7)
+    h, n = _frames(spark, hist, new)
+    expect = brute_compare(
+        [(f"new/t{i}.txt", t) for i, t in enumerate(new)],
+        [(f"nc-2024-01-{1 + i % 9:02d}__00-00-00/window01/t{i}.txt", t, -(i % 9), i)
+         for i, t in enumerate(hist)])
+    got = {r.new_path: (r.status, r.canonical_path, r.char_diff, r.canonical_hash)
+           for r in classify(n, h, "small", method="prefix").collect()}
+    assert got == expect
