@@ -26,14 +26,23 @@ def text_start(text) -> F.Column:
 
 
 def prefix_pairs(names: DataFrame, texts: DataFrame) -> DataFrame:
-    """J12 pairs: names (window_id, name_idx, name) × loaded texts
+    """J12 pairs: names (window_id, name_idx, name) and loaded texts
     (window_id, text_idx, text) of the same window where the text start
-    begins with the first 25 characters of the cleaned name."""
+    begins with the first 25 characters of the cleaned name.
+
+    An equi-join, not a per-window product: a name's key is its first
+    min(25, length) characters; a text offers its start's prefixes of length
+    1..25, and the join matches (window, length, prefix)."""
     n = names.withColumn("clean", clean_tab_name("name")).filter(F.col("clean") != "")
+    n = n.select("window_id", "name_idx",
+                 F.least(F.length("clean"), F.lit(NAME_PREFIX)).alias("plen"),
+                 F.substring("clean", 1, NAME_PREFIX).alias("prefix"))
     t = texts.filter(F.col("text").isNotNull() & (F.col("text") != "")).withColumn("start", text_start("text"))
-    j = n.join(t, "window_id")
-    return j.filter(F.col("start").startswith(F.substring("clean", 1, NAME_PREFIX))).select(
-        "window_id", "name_idx", "text_idx")
+    t = t.filter(F.length("start") > 0).select(
+        "window_id", "text_idx", "start",
+        F.explode(F.sequence(F.lit(1), F.least(F.length("start"), F.lit(NAME_PREFIX)))).alias("plen"))
+    t = t.select("window_id", "text_idx", "plen", F.substring("start", 1, F.col("plen")).alias("prefix"))
+    return n.join(t, ["window_id", "plen", "prefix"]).select("window_id", "name_idx", "text_idx")
 
 
 def _assign(pdf: pd.DataFrame) -> pd.DataFrame:
