@@ -106,6 +106,22 @@ def gram_orders(docs: DataFrame, qs: tuple[int, ...], total_chars: int, seed: in
     return out
 
 
+class _Value:
+    """Stand-in for a broadcast variable where none is available."""
+
+    def __init__(self, value):
+        self.value = value
+
+
+def _share(spark, value):
+    """Broadcast the (size-capped) order table; on sessions without a
+    SparkContext (Spark Connect) it travels in the UDF closure instead."""
+    try:
+        return spark.sparkContext.broadcast(value)
+    except Exception:  # noqa: BLE001 - no SparkContext on this session
+        return _Value(value)
+
+
 def _prefix_keys(docs: DataFrame, q: int, prefix_len, order_bc) -> DataFrame:
     """(role, key, len, U, g): the first P numbered grams of every text in the
     global (estimated df, gram) order, selected inside the Arrow UDF, so no
@@ -238,10 +254,9 @@ def raw_pairs(new: DataFrame, cand: DataFrame, curve: ThresholdCurve = DEFAULT_C
         m0, m1 = tier_limits(curve)
         docs = _bounds(new.withColumn("role", F.lit("new")), "new", curve).unionByName(
             _bounds(cand.withColumn("role", F.lit("cand")), "cand", curve))
-        sc = new.sparkSession.sparkContext
         total = total_chars if total_chars is not None else (docs.agg(F.sum("len")).collect()[0][0] or 0)
         orders = gram_orders(docs, (3, 1), total)
-        o3, o1 = sc.broadcast(orders[3]), sc.broadcast(orders[1])
+        o3, o1 = _share(new.sparkSession, orders[3]), _share(new.sparkSession, orders[1])
         q3 = _prefix_pairs(docs.filter(F.col("len") >= 3), 3, F.col("U") * 6 + 1, o3, curve)
         q1 = _prefix_pairs(docs.filter(F.col("len") <= m1), 1, F.col("U") + 1, o1, curve)
         short = _length_pairs(new, cand, m0)
