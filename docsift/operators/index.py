@@ -92,8 +92,9 @@ def hash_summary(members: DataFrame) -> DataFrame:
     every member by construction of the hash).
     """
     has_text = "norm" in members.columns
+    has_len = "n_len" in members.columns
     has_bags = "bag_keys" in members.columns
-    extra = ([F.col("norm"), F.col("n_len")] if has_text else []) + \
+    extra = ([F.col("norm")] if has_text else []) + ([F.col("n_len")] if has_len else []) + \
         ([F.col("bag_keys"), F.col("bag_counts")] if has_bags else [])
     first = F.min(F.struct(index_order_key().alias("pos"), *extra)).alias("_first")
     canon = F.min(F.struct(canonical_key().alias("key"), F.col("path"), F.col("session_id"))).alias("_canon")
@@ -107,7 +108,9 @@ def hash_summary(members: DataFrame) -> DataFrame:
         F.col("_canon.session_id").alias("canonical_session"),
     ]
     if has_text:
-        cols += [F.col("_first.norm").alias("norm"), F.col("_first.n_len").alias("n_len")]
+        cols += [F.col("_first.norm").alias("norm")]
+    if has_len:
+        cols += [F.col("_first.n_len").alias("n_len")]
     if has_bags:
         cols += [F.col("_first.bag_keys").alias("bag_keys"), F.col("_first.bag_counts").alias("bag_counts")]
     return g.select(*cols)

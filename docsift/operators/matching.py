@@ -26,13 +26,17 @@ RESULT_COLUMNS = ["new_path", "status", "canonical_path", "char_diff", "session_
                   "new_hash", "canonical_hash"]
 
 
-def history_index(history: DataFrame, with_text: bool = True) -> DataFrame:
-    """Fingerprint historical documents and collapse them per hash; the
-    normalised text and its character bag ride along only when the near
-    join needs them."""
-    fp = with_fingerprint(history, bags=with_text)
+def history_index(history: DataFrame, with_text: bool = True, fuzzy: bool | None = None) -> DataFrame:
+    """Fingerprint historical documents and collapse them per hash.
+
+    ``fuzzy`` (default: ``with_text``) adds the length and character bag the
+    near join needs; ``with_text`` also carries the normalised text. The
+    compare passes ``with_text=False``: texts stay in the scan and only the
+    few verified candidates are read again."""
+    fuzzy = with_text if fuzzy is None else fuzzy
+    fp = with_fingerprint(history, bags=fuzzy)
     cols = ["content_hash", "path", "session_id", "session_order", "ctime"]
-    extra = ["norm", "n_len", "bag_keys", "bag_counts"] if with_text else []
+    extra = (["n_len", "bag_keys", "bag_counts"] if fuzzy else []) + (["norm"] if with_text else [])
     return hash_summary(fp.select(*cols, *extra))
 
 
@@ -53,7 +57,7 @@ def classify(new_docs: DataFrame, history: DataFrame, fuzzy="small",
     """
     policy = FuzzyPolicy.parse(fuzzy)
     new = with_fingerprint(new_docs.select("path", "text"), bags=policy.enabled).drop("text")
-    idx = history_index(history, with_text=policy.enabled)
+    idx = history_index(history, with_text=False, fuzzy=policy.enabled)
     if cache and policy.enabled:
         new = new.persist(StorageLevel.MEMORY_AND_DISK)
         idx = idx.persist(StorageLevel.MEMORY_AND_DISK)
@@ -74,10 +78,11 @@ def classify(new_docs: DataFrame, history: DataFrame, fuzzy="small",
             .withColumnRenamed("content_hash", "key")
         )
         cand_all = idx.filter((F.col("n_len") > 0) & policy.size_ok("n_len"))
-        cand = cand_all.select(F.col("content_hash").alias("key"), F.col("norm").alias("text"),
-                               F.col("n_len").alias("len"), "bag_keys", "bag_counts")
+        cand = cand_all.select(F.col("content_hash").alias("key"), F.col("n_len").alias("len"),
+                               "bag_keys", "bag_counts", "first_path")
         order = cand_all.select(F.col("content_hash").alias("cand_key"), "first_pos")
-        best = near_matches(pending, cand, order, curve, method, observations)
+        best = near_matches(pending, cand, order, curve, method, observations,
+                            cand_source=history.select("path", "text"))
         near = best.join(
             canon.withColumnRenamed("content_hash", "cand_key"), "cand_key"
         ).select(F.col("new_key").alias("content_hash"), "cand_key", "char_diff",

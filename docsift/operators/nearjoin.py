@@ -138,10 +138,15 @@ def _band_buckets(curve: ThresholdCurve) -> F.Column:
     return F.sequence((lo / BAND_BUCKET).cast("int"), (hi / BAND_BUCKET).cast("int"))
 
 
-def _prefix_pairs(docs: DataFrame, q: int, prefix_len, order_bc, curve: ThresholdCurve) -> DataFrame:
+def _prefix_pairs(docs: DataFrame, q: int, prefix_len, order_bc, curve: ThresholdCurve,
+                  cand_keys: DataFrame | None = None) -> DataFrame:
     # roles are split before the UDF so every text is profiled once
     pn = _prefix_keys(docs.filter(F.col("role") == "new"), q, prefix_len, order_bc)
     pc = _prefix_keys(docs.filter(F.col("role") == "cand"), q, prefix_len, order_bc)
+    if cand_keys is not None:
+        # keys came from every raw document: copies of one text give the same
+        # rows, and texts outside the candidate set (gated, out of scope) go
+        pc = pc.dropDuplicates(["key", "g"]).join(cand_keys, "key", "left_semi")
     a = pn.select(
         F.col("key").alias("new_key"), F.col("len").alias("n_len"), "g",
         F.explode(_band_buckets(curve)).alias("b"))
@@ -228,20 +233,37 @@ def choose_method(new: DataFrame, cand: DataFrame, curve: ThresholdCurve = DEFAU
 
 
 def candidate_pairs(new: DataFrame, cand: DataFrame, curve: ThresholdCurve = DEFAULT_CURVE,
-                    method: str = "auto") -> DataFrame:
+                    method: str = "auto", cand_source: DataFrame | None = None) -> DataFrame:
     """Candidate pairs (new_key, cand_key, n_len, c_len, k).
 
-    ``new``/``cand`` have columns key, text (normalised), len. ``method`` is
+    ``new`` has columns key, text (normalised), len; ``cand`` has key, len and
+    either text or, with ``cand_source`` (raw documents: path, text), none:
+    its prefix keys are then computed map-side from the source. ``method`` is
     'auto' (band join while it is linear-size, else prefix), 'prefix'
     (q-gram prefix filter), 'band' (length band only) or 'ratio' (every pair
     inside the 2x ratio, the unpruned plan). All are exact after
     ``pair_filter``; they differ in how many pairs reach it.
     """
-    return pair_filter(raw_pairs(new, cand, curve, method).dropDuplicates(["new_key", "cand_key"]), curve)
+    raw = raw_pairs(new, cand, curve, method, cand_source)
+    return pair_filter(raw.dropDuplicates(["new_key", "cand_key"]), curve)
+
+
+def _source_docs(cand: DataFrame, cand_source: DataFrame, curve: ThresholdCurve) -> DataFrame:
+    """Candidate texts straight from the raw documents, keyed by content
+    hash, as (role, key, len, U, text) rows. Only projections: nothing is
+    shuffled here; rows of texts outside ``cand`` drop out after the prefix
+    keys are computed (see ``_prefix_pairs``)."""
+    from .index import with_fingerprint
+
+    fp = with_fingerprint(cand_source.select("path", "text"))
+    rows = fp.filter(~F.col("is_blank")).select(
+        F.lit("cand").alias("role"), F.col("content_hash").alias("key"), F.col("n_len").alias("len"),
+        F.col("norm").alias("text"))
+    return _bounds(rows, "cand", curve)
 
 
 def raw_pairs(new: DataFrame, cand: DataFrame, curve: ThresholdCurve = DEFAULT_CURVE,
-              method: str = "auto") -> DataFrame:
+              method: str = "auto", cand_source: DataFrame | None = None) -> DataFrame:
     """Generator output before the exact predicates (may repeat a pair)."""
     total_chars = None
     if method == "auto":
@@ -252,13 +274,18 @@ def raw_pairs(new: DataFrame, cand: DataFrame, curve: ThresholdCurve = DEFAULT_C
         raw = ratio_pairs(new, cand)
     elif method == "prefix":
         m0, m1 = tier_limits(curve)
-        docs = _bounds(new.withColumn("role", F.lit("new")), "new", curve).unionByName(
-            _bounds(cand.withColumn("role", F.lit("cand")), "cand", curve))
+        new_docs = _bounds(new.withColumn("role", F.lit("new")), "new", curve)
+        if "text" in cand.columns:
+            cand_docs, cand_keys = _bounds(cand.withColumn("role", F.lit("cand")), "cand", curve), None
+        else:
+            cand_docs, cand_keys = _source_docs(cand, cand_source, curve), cand.select("key")
+        cols = ["role", "key", "len", "U", "text"]
+        docs = new_docs.select(*cols).unionByName(cand_docs.select(*cols))
         total = total_chars if total_chars is not None else (docs.agg(F.sum("len")).collect()[0][0] or 0)
         orders = gram_orders(docs, (3, 1), total)
         o3, o1 = _share(new.sparkSession, orders[3]), _share(new.sparkSession, orders[1])
-        q3 = _prefix_pairs(docs.filter(F.col("len") >= 3), 3, F.col("U") * 6 + 1, o3, curve)
-        q1 = _prefix_pairs(docs.filter(F.col("len") <= m1), 1, F.col("U") + 1, o1, curve)
+        q3 = _prefix_pairs(docs.filter(F.col("len") >= 3), 3, F.col("U") * 6 + 1, o3, curve, cand_keys)
+        q1 = _prefix_pairs(docs.filter(F.col("len") <= m1), 1, F.col("U") + 1, o1, curve, cand_keys)
         short = _length_pairs(new, cand, m0)
         raw = q3.unionByName(q1).unionByName(short)
     else:
@@ -292,15 +319,40 @@ def bag_filter(pairs: DataFrame, new_bags: DataFrame, cand_bags: DataFrame) -> D
         "new_key", "cand_key", "n_len", "c_len", "k")
 
 
+# Survivor texts are fetched with a broadcast join on path while at most this
+# many candidate texts are needed (a measured count); above it, a shuffle join.
+SURVIVOR_BROADCAST_ROWS = 200_000
+
+
+def _candidate_texts(survivors: DataFrame, cand: DataFrame, cand_source: DataFrame | None) -> DataFrame:
+    """cand_key → c_text for the candidates that survived the bounds."""
+    if "text" in cand.columns:
+        return cand.select(F.col("key").alias("cand_key"), F.col("text").alias("c_text"))
+    from ..functions.text import normalize_text
+
+    needed = survivors.select("cand_key").distinct().join(
+        cand.select(F.col("key").alias("cand_key"), F.col("first_path").alias("path")), "cand_key")
+    if needed.count() <= SURVIVOR_BROADCAST_ROWS:
+        needed = F.broadcast(needed)
+    # only the matched documents are normalised again
+    return cand_source.select("path", "text").join(needed, "path").select(
+        "cand_key", normalize_text("text").alias("c_text"))
+
+
 def verified_pairs(pairs: DataFrame, new: DataFrame, cand: DataFrame,
-                   observations: dict | None = None) -> DataFrame:
+                   observations: dict | None = None, cand_source: DataFrame | None = None) -> DataFrame:
     """Character-bag bound in the JVM, then the bounded difflib check on
     the survivors; keep diff <= k.
 
+    Without candidate texts in ``cand``, the survivors are materialised
+    (they are few) and their texts read from ``cand_source`` by path.
+
     Output: new_key, cand_key, char_diff."""
     survivors = _observe(bag_filter(pairs, char_bags(new), char_bags(cand)), observations, "bag_survivors")
+    if "text" not in cand.columns:
+        survivors = survivors.persist()
     nt = new.select(F.col("key").alias("new_key"), F.col("text").alias("n_text"))
-    ct = cand.select(F.col("key").alias("cand_key"), F.col("text").alias("c_text"))
+    ct = _candidate_texts(survivors, cand, cand_source)
     with_text = survivors.join(nt, "new_key").join(ct, "cand_key")
     # The survivors are few but each check is costly: spread them over
     # shuffle-partitions tasks (a numbered repartition is not coalesced by AQE).
@@ -343,8 +395,8 @@ def _observe(df: DataFrame, observations: dict | None, name: str) -> DataFrame:
 
 def near_matches(new: DataFrame, cand: DataFrame, cand_order: DataFrame,
                  curve: ThresholdCurve = DEFAULT_CURVE, method: str = "auto",
-                 observations: dict | None = None) -> DataFrame:
+                 observations: dict | None = None, cand_source: DataFrame | None = None) -> DataFrame:
     """J2 → J3 → J4, optionally counting the pairs at every stage."""
-    pairs = _observe(candidate_pairs(new, cand, curve, method), observations, "candidates")
-    verified = verified_pairs(pairs, new, cand, observations)
+    pairs = _observe(candidate_pairs(new, cand, curve, method, cand_source), observations, "candidates")
+    verified = verified_pairs(pairs, new, cand, observations, cand_source)
     return best_match(_observe(verified, observations, "verified"), cand_order)
