@@ -79,9 +79,9 @@ def q_compare_all_history(spark, sf_dir):
     return compare(spark, sf_dir, fuzzy="small", scope="all")
 
 
-def _near_inputs(spark, sf_dir, policy: FuzzyPolicy):
+def _near_inputs(spark, sf_dir, policy: FuzzyPolicy, with_text: bool = True):
     new, hist = sides(spark, sf_dir)
-    idx = history_index(hist)
+    idx = history_index(hist, with_text=with_text, fuzzy=True)
     fp = with_fingerprint(new.select("path", "text"))
     pending = (
         fp.filter(~F.col("is_blank"))
@@ -91,13 +91,14 @@ def _near_inputs(spark, sf_dir, policy: FuzzyPolicy):
         .withColumnRenamed("content_hash", "key")
     )
     cand = idx.filter((F.col("n_len") > 0) & policy.size_ok("n_len")).select(
-        F.col("content_hash").alias("key"), F.col("norm").alias("text"), F.col("n_len").alias("len"))
+        F.col("content_hash").alias("key"), F.col("n_len").alias("len"),
+        *([F.col("norm").alias("text")] if with_text else []))
     return pending, cand
 
 
 def q_near_candidates(spark, sf_dir):
     """J2 + P10: candidate pairs inside the ratio gate and the length band."""
-    pending, cand = _near_inputs(spark, sf_dir, FuzzyPolicy.parse("small"))
+    pending, cand = _near_inputs(spark, sf_dir, FuzzyPolicy.parse("small"), with_text=False)
     return candidate_pairs(pending, cand, DEFAULT_CURVE, "band").select(
         F.col("new_key").alias("new_hash"), F.col("cand_key").alias("cand_hash"), "n_len", "c_len", "k")
 
