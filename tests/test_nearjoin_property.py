@@ -77,3 +77,21 @@ def test_prefix_exact_under_poor_gram_order(spark, monkeypatch):
     got = {r.new_path: (r.status, r.canonical_path, r.char_diff, r.canonical_hash)
            for r in classify(n, h, "small", method="prefix").collect()}
     assert got == expect
+
+
+def test_survivor_texts_by_shuffle_join(spark, monkeypatch):
+    """Above the broadcast limit the survivors' texts come through a shuffle
+    join; the result must not change."""
+    import docsift.operators.nearjoin as NJ
+
+    monkeypatch.setattr(NJ, "SURVIVOR_BROADCAST_ROWS", 0)
+    hist, new = _corpus(11)
+    h, n = _frames(spark, hist, new)
+    expect = brute_compare(
+        [(f"new/t{i}.txt", t) for i, t in enumerate(new)],
+        [(f"nc-2024-01-{1 + i % 9:02d}__00-00-00/window01/t{i}.txt", t, -(i % 9), i)
+         for i, t in enumerate(hist)])
+    for method in ("band", "prefix"):
+        got = {r.new_path: (r.status, r.canonical_path, r.char_diff, r.canonical_hash)
+               for r in classify(n, h, "small", method=method).collect()}
+        assert got == expect, method
