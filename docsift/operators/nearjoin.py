@@ -19,9 +19,16 @@ That gives three lossless candidate generators, all plain equi-joins:
 * ``len`` texts up to M0 characters (pairs with L <= k may share nothing) are
           joined on exact length.
 
-Gram rarity is a global order (document frequency, then gram), computed with a
-partial-aggregated count; the rarest grams go first so hot grams rarely reach a
-prefix. Everything before the difflib check runs in the JVM.
+Together these form the 'prefix' generator. 'band' (equi-join on candidate
+length within the band) and 'ratio' (every pair inside the 2x ratio, the
+unpruned plan) are the alternatives; 'auto' takes the band join while its
+exactly counted size stays linear.
+
+Gram rarity is a global order (estimated document frequency, then gram) from
+a bounded sample; rarest first keeps hot grams out of prefixes, and any order
+is lossless. Prefixes are picked inside an Arrow UDF per text. After the
+generators come the exact cheap predicates, a character-bag bound in the JVM,
+and the exact bounded matcher (``functions.blocks``) on the survivors only.
 """
 
 from __future__ import annotations
