@@ -22,8 +22,13 @@ from pyspark.sql import functions as F
 CURRENT_FROM = 16  # srcN with N >= 16 is the session being compared
 
 
+# Tables whose rows carry text that the queries process row by row.
+TEXT_TABLES = ("documents", "conversations", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def spread(df: DataFrame) -> DataFrame:
