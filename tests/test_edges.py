@@ -22,3 +22,20 @@ def test_classify_with_empty_sides(spark):
     hist2 = spark.createDataFrame([("s/a.txt", "hello", "s", 0, 1)],
                                   "path string, text string, session_id string, session_order int, ctime long")
     assert classify(none, hist2, "small").count() == 0
+
+
+def test_hot_hash_group(spark):
+    """A third of the history shares one text (a hot hash), and many new
+    documents are copies of it: one canonical, all exact, nothing dropped."""
+    hot = "the same boilerplate note\n"
+    rows = [(f"s{i % 7}/window01/t{i}.txt", hot if i % 3 == 0 else f"note number {i} about item {i * 7}",
+             f"s{i % 7}", -(i % 7), i) for i in range(3000)]
+    hist = spark.createDataFrame(rows, "path string, text string, session_id string, session_order int, ctime long")
+    new = spark.createDataFrame([(f"n/c{i}.txt", hot) for i in range(500)] + [("n/x.txt", "note number 5 about item 36")],
+                                "path string, text string")
+    res = classify(new, hist, "small")
+    st = compare_stats(res).first()
+    assert (st.total_scanned, st.exact_count) == (501, 500)
+    assert res.filter("status = 'exact'").select("canonical_path").distinct().first()[0] == "s0/window01/t0.txt"
+    near = res.filter("new_path = 'n/x.txt'").first()
+    assert near.status == "near" and near.canonical_path == "s5/window01/t5.txt"
