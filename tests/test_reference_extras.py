@@ -50,3 +50,15 @@ def test_hash_cache_builds_same_index_twice(spark):
     second = incremental_hashes(first.drop("source"), files, hasher)
     assert {r.source for r in second.collect()} == {"cache"}
     assert sorted((r.path, r.sha256) for r in first.collect()) == sorted((r.path, r.sha256) for r in second.collect())
+
+
+def test_unified_diff_udtf_in_sql(spark):
+    from docsift.functions.chardiff import unified_diff_udtf
+
+    spark.udtf.register("unified_diff", unified_diff_udtf())
+    spark.createDataFrame([("a", "b", "line 1\nline 2\nline 3", "line 1\nline 2 modified\nline 3")],
+                          "np string, cp string, x string, y string").createOrReplaceTempView("diff_pairs")
+    lines = [r.line for r in spark.sql(
+        "SELECT d.seq, d.line FROM diff_pairs p, LATERAL unified_diff(p.x, p.y, p.np, p.cp, 3) d "
+        "ORDER BY d.seq").collect()]
+    assert "-line 2\n" in lines and "+line 2 modified\n" in lines
