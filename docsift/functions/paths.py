@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 # ---------------------------------------------------------------------------
 # Fixed values
 # ---------------------------------------------------------------------------
-# Session folder names: legacy "notepad-cleanup-<date...>" and "nc-<date...>".
-SESSION_NAME_REGEX = "^(notepad-cleanup-|nc-)[0-9]{4}"
-SESSION_GLOB_REGEX = "^(notepad-cleanup-|nc-)"
+# Session folder name prefixes: the legacy one and the current "nc-"; a
+# session folder name is a prefix followed by a date.
+LEGACY_SESSION_PREFIX = "notepad-cleanup-"
+SESSION_PREFIX = "nc-"
+SESSION_NAME_REGEX = f"^({LEGACY_SESSION_PREFIX}|{SESSION_PREFIX})[0-9]{{4}}"
+SESSION_GLOB_REGEX = f"^({LEGACY_SESSION_PREFIX}|{SESSION_PREFIX})"
 # Extensions (lower case) accepted as text content; no extension is accepted too.
 TEXT_EXTENSIONS = [
     ".txt", ".md", ".py", ".js", ".ts", ".json", ".xml", ".html", ".htm",

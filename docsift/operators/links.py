@@ -16,10 +16,10 @@ from .ordering import sequence_number
 # ---------------------------------------------------------------------------
 # Fixed values
 # ---------------------------------------------------------------------------
-LINK_STRATEGIES = ["symlink", "hardlink", "dazzlelink", "auto"]
+LINK_STRATEGIES = ["symlink", "hardlink", "descriptor", "auto"]
 BACKUP_SUFFIX = ".orig"
 DESCRIPTOR_SCHEMA_VERSION = 1
-DESCRIPTOR_SUFFIX = ".dazzlelink"
+DESCRIPTOR_SUFFIX = ".link.json"
 LINK_MANIFEST_VERSION = "1.0"
 # ---------------------------------------------------------------------------
 
@@ -41,7 +41,7 @@ def plan_links(matches: DataFrame, inventory: DataFrame, strategy: str = "symlin
     the inventory; 'auto' resolves to 'symlink' (the non-desktop choice).
     """
     resolved = "symlink" if strategy == "auto" else strategy
-    known = resolved in ("symlink", "hardlink", "dazzlelink")
+    known = resolved in ("symlink", "hardlink", "descriptor")
     present = inventory.select(F.col("path").alias("canonical_path")).distinct().withColumn("_present", F.lit(True))
     m = matches.join(present, "canonical_path", "left")
     ok = F.lit(known) & F.coalesce(F.col("_present"), F.lit(False))
@@ -94,7 +94,7 @@ def link_descriptors(links: DataFrame, inventory: DataFrame, matches: DataFrame)
         F.lit(DESCRIPTOR_SCHEMA_VERSION).alias("schema_version"),
         F.col("new_path").alias("original_path"),
         F.col("canonical_path").alias("target_path"),
-        F.lit("dazzlelink").alias("link_type"),
+        F.lit("descriptor").alias("link_type"),
         F.col("target_size").isNotNull().alias("target_exists"),
         F.coalesce(F.col("target_size"), F.lit(0)).cast("long").alias("target_size"),
         suffix("canonical_path").alias("target_extension"),
@@ -107,7 +107,7 @@ def descriptor_json(desc: DataFrame) -> DataFrame:
     """S10 sink form: the nested descriptor as JSON text."""
     body = F.struct(
         F.col("schema_version"),
-        F.struct(F.col("original_path"), F.col("target_path"), F.lit("dazzlelink").alias("type"),
+        F.struct(F.col("original_path"), F.col("target_path"), F.lit("descriptor").alias("type"),
                  F.lit(False).alias("relative_path")).alias("link"),
         F.struct(F.col("target_exists").alias("exists"), F.lit("file").alias("type"),
                  F.col("target_size").alias("size"), F.col("target_extension").alias("extension"),

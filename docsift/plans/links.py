@@ -184,8 +184,8 @@ FROM links GROUP BY link_type"""
 SQL_LINKED_PATHS = f"WITH {LINKS_SQL} SELECT new_path, canonical_path FROM links WHERE success"
 SQL_LINK_DESCRIPTORS = f"""WITH {LINKS_SQL},
 pinv AS (SELECT path, size, ctime FROM inv WHERE doc_id % {GONE[0]} <> {GONE[1]})
-SELECT l.new_path || '.dazzlelink' AS descriptor_path, 1 AS schema_version, l.new_path AS original_path,
-       l.canonical_path AS target_path, 'dazzlelink' AS link_type, (p.size IS NOT NULL) AS target_exists,
+SELECT l.new_path || '.link.json' AS descriptor_path, 1 AS schema_version, l.new_path AS original_path,
+       l.canonical_path AS target_path, 'descriptor' AS link_type, (p.size IS NOT NULL) AS target_exists,
        CAST(coalesce(p.size, 0) AS BIGINT) AS target_size,
        coalesce(regexp_extract(lower((string_split(l.canonical_path, '/'))[-1]), '(\\.[^.]+)$', 1), '') AS target_extension,
        p.ctime AS target_created, 'dedup_' || m.match_type || '_match' AS reason

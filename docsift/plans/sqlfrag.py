@@ -6,6 +6,7 @@ into lines and strips each one.
 
 from __future__ import annotations
 
+from ..functions.paths import SESSION_NAME_REGEX
 from ..functions.text import CODE_INDICATORS, SHORT_NOTE_CHARS, TYPE_SCAN_CHARS
 from ..functions.threshold import DEFAULT_CURVE
 
@@ -82,7 +83,7 @@ def basename(e: str) -> str:
 def session_of_path(e: str) -> str:
     parts = f"string_split({e}, '/')"
     idx = (f"list_max(list_transform(generate_series(1, len({parts})), "
-           f"lambda i: CASE WHEN regexp_matches({parts}[i], '^(notepad-cleanup-|nc-)[0-9]{{4}}') THEN i END))")
+           f"lambda i: CASE WHEN regexp_matches({parts}[i], '{SESSION_NAME_REGEX}') THEN i END))")
     return (f"(CASE WHEN {idx} IS NOT NULL THEN array_to_string({parts}[1:{idx}], '/') "
             f"ELSE array_to_string({parts}[1:len({parts}) - 1], '/') END)")
 

@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.paths import LEGACY_SESSION_PREFIX
+
 CURRENT_FROM = 16  # srcN with N >= 16 is the session being compared
 
 
@@ -177,7 +179,7 @@ def capture_tabs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     window = conversation, tab = turn; phase 1 (already loaded, read silently,
     has a child handle) = role 'user', phase 2 (read by selecting the tab) =
-    the other roles. The title is the first turn's first line + ' - Notepad',
+    the other roles. The title is the first turn's first line + ' - Editor',
     starred (unsaved) for every third window.
     """
     from ..functions.text import first_line, pystrip
@@ -189,7 +191,7 @@ def capture_tabs(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = c.withColumn("text", _tab_noise(F.col("conv_id"), F.col("turn"), F.col("text"),
                                         F.col("first_text"), F.col("prev_first")))
     title = F.concat(F.when(F.col("conv_id") % 3 == 0, F.lit("*")).otherwise(F.lit("")),
-                     F.substring(pystrip(first_line(F.col("first_text"))), 1, 40), F.lit(" - Notepad"))
+                     F.substring(pystrip(first_line(F.col("first_text"))), 1, 40), F.lit(" - Editor"))
     phase = F.when(F.col("role") == "user", F.lit(1)).otherwise(F.lit(2))
     return c.select(
         F.format_string("nc-2024-02-%02d__10-00-00", (F.col("conv_id") / WINDOWS_PER_SESSION).cast("int") + 1)
@@ -223,7 +225,7 @@ c AS (
 )
 SELECT printf('nc-2024-02-%02d__10-00-00', CAST(trunc(conv_id / {WINDOWS_PER_SESSION}) AS INTEGER) + 1) AS session_id,
        conv_id AS window_id,
-       (CASE WHEN conv_id % 3 = 0 THEN '*' ELSE '' END) || substr(@@STRIP_FIRST@@, 1, 40) || ' - Notepad' AS title,
+       (CASE WHEN conv_id % 3 = 0 THEN '*' ELSE '' END) || substr(@@STRIP_FIRST@@, 1, 40) || ' - Editor' AS title,
        turn, CASE WHEN role = 'user' THEN 1 ELSE 2 END AS phase,
        CASE WHEN role = 'user' THEN conv_id * 1000 + turn END AS child_handle,
        text
@@ -245,7 +247,7 @@ PAGE_FILE_NAMES = ["manifest.json", "_info.json", ".hidden", "page{id}.HTML", "p
 def listed_session_name(session_no: Column) -> Column:
     """Every fourth session keeps the legacy folder name format."""
     day = F.format_string("%02d", session_no + 1)
-    return F.when(session_no % 4 == 1, F.concat(F.lit("notepad-cleanup-2024-01-"), day, F.lit("_09-00-00"))) \
+    return F.when(session_no % 4 == 1, F.concat(F.lit(LEGACY_SESSION_PREFIX + "2024-01-"), day, F.lit("_09-00-00"))) \
         .otherwise(F.concat(F.lit("nc-2024-01-"), day, F.lit("__09-00-00")))
 
 
@@ -271,7 +273,7 @@ def file_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(pid % 6 == 0, F.lit("nc-backups"))
         .when(pid % 6 == 1, F.lit("nc-scratch"))
         .when(pid % 6 == 2, F.lit("misc"))
-        .when(pid % 6 == 3, F.concat(F.lit("notepad-cleanup-2024-03-"), day, F.lit("_12-00-00")))
+        .when(pid % 6 == 3, F.concat(F.lit(LEGACY_SESSION_PREFIX + "2024-03-"), day, F.lit("_12-00-00")))
         .when(pid % 6 == 4, F.concat(F.lit("nc-2024-03-"), day, F.lit("__12-00-00")))
         .otherwise(F.concat(F.lit("nc-2024-03-"), day, F.lit("__12-00-00/organized/web")))
     )
@@ -285,7 +287,7 @@ def file_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _listed_session_sql(n: str) -> str:
-    return (f"(CASE WHEN {n} % 4 = 1 THEN 'notepad-cleanup-2024-01-' || printf('%02d', {n} + 1) || '_09-00-00' "
+    return (f"(CASE WHEN {n} % 4 = 1 THEN '{LEGACY_SESSION_PREFIX}2024-01-' || printf('%02d', {n} + 1) || '_09-00-00' "
             f"ELSE 'nc-2024-01-' || printf('%02d', {n} + 1) || '__09-00-00' END)")
 
 
@@ -312,7 +314,7 @@ ls_info AS (
 ls_web AS (
   SELECT '/archive/r' || CAST(page_id % {ROOTS} AS VARCHAR) || '/' ||
     CASE page_id % 6 WHEN 0 THEN 'nc-backups' WHEN 1 THEN 'nc-scratch' WHEN 2 THEN 'misc'
-      WHEN 3 THEN 'notepad-cleanup-2024-03-' || printf('%02d', page_id % 28 + 1) || '_12-00-00'
+      WHEN 3 THEN '{LEGACY_SESSION_PREFIX}2024-03-' || printf('%02d', page_id % 28 + 1) || '_12-00-00'
       WHEN 4 THEN 'nc-2024-03-' || printf('%02d', page_id % 28 + 1) || '__12-00-00'
       ELSE 'nc-2024-03-' || printf('%02d', page_id % 28 + 1) || '__12-00-00/organized/web' END
     || '/' || {_page_names_sql()} AS path,

@@ -22,7 +22,7 @@ def test_descriptor_fields(spark):
                                     "new_path string, canonical_path string, match_type string, char_diff int, "
                                     "canonical_hash string")
     inv = spark.createDataFrame([("old/b.txt", 12, 5)], "path string, size long, ctime long")
-    links = plan_links(matches, inv, "dazzlelink")
+    links = plan_links(matches, inv, "descriptor")
     d = json.loads(descriptor_json(link_descriptors(links, inv, matches)).first().descriptor)
     assert d["schema_version"] == 1
     assert d["link"]["original_path"] == "new/a.txt" and d["target"]["exists"] and d["target"]["size"] == 12
