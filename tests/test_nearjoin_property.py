@@ -95,3 +95,21 @@ def test_survivor_texts_by_shuffle_join(spark, monkeypatch):
         got = {r.new_path: (r.status, r.canonical_path, r.char_diff, r.canonical_hash)
                for r in classify(n, h, "small", method=method).collect()}
         assert got == expect, method
+
+
+def test_prefix_exact_for_other_curves(spark):
+    """Tier limits and partner bounds are derived from the curve, so other
+    coefficients must stay exact too (one flatter, one steeper)."""
+    from docsift.functions.threshold import ThresholdCurve
+
+    hist, new = _corpus(5)
+    h, n = _frames(spark, hist, new)
+    for curve in (ThresholdCurve(0.9, -3.0, 6.0), ThresholdCurve(2.0, -8.0, 12.0)):
+        expect = brute_compare(
+            [(f"new/t{i}.txt", t) for i, t in enumerate(new)],
+            [(f"nc-2024-01-{1 + i % 9:02d}__00-00-00/window01/t{i}.txt", t, -(i % 9), i)
+             for i, t in enumerate(hist)], curve=curve)
+        for method in ("prefix", "band"):
+            got = {r.new_path: (r.status, r.canonical_path, r.char_diff, r.canonical_hash)
+                   for r in classify(n, h, "small", curve=curve, method=method).collect()}
+            assert got == expect, (curve, method)
