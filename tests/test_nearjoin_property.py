@@ -113,3 +113,17 @@ def test_prefix_exact_for_other_curves(spark):
             got = {r.new_path: (r.status, r.canonical_path, r.char_diff, r.canonical_hash)
                    for r in classify(n, h, "small", curve=curve, method=method).collect()}
             assert got == expect, (curve, method)
+
+
+def test_fuzzy_modes_equal_brute_force(spark):
+    """Size gates apply to both sides of a pair, in every mode."""
+    hist, new = _corpus(13)
+    h, n = _frames(spark, hist, new)
+    for mode in ("none", "all", "lte 100", "gt 50"):
+        expect = brute_compare(
+            [(f"new/t{i}.txt", t) for i, t in enumerate(new)],
+            [(f"nc-2024-01-{1 + i % 9:02d}__00-00-00/window01/t{i}.txt", t, -(i % 9), i)
+             for i, t in enumerate(hist)], fuzzy=mode)
+        got = {r.new_path: (r.status, r.canonical_path, r.char_diff, r.canonical_hash)
+               for r in classify(n, h, mode).collect()}
+        assert got == expect, mode
