@@ -5,10 +5,13 @@
     new_path, status (exact | near | new | skipped), canonical_path,
     char_diff, session_dir, new_hash, canonical_hash
 
-Plan shape: fingerprint both sides once; the history collapses to one row per
-hash (partial aggregation); exact matches are a hash equi-join; only the
-remaining *distinct* new texts enter the near join, so duplicated new texts are
-compared once. The result of the near join is joined back by hash.
+Plan shape: fingerprint both sides once (normalised text, hash, length and
+character bag, all in the scan's projection); the history collapses to one
+row per hash carrying metadata only (partial aggregation, no texts); exact
+matches are a hash equi-join; only the remaining *distinct* new texts enter
+the near join, so duplicated new texts are compared once. Candidate texts are
+read again only for the pairs that survive the cheap bounds. The result of
+the near join is joined back by hash.
 """
 
 from __future__ import annotations
