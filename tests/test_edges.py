@@ -39,3 +39,15 @@ def test_hot_hash_group(spark):
     assert res.filter("status = 'exact'").select("canonical_path").distinct().first()[0] == "s0/window01/t0.txt"
     near = res.filter("new_path = 'n/x.txt'").first()
     assert near.status == "near" and near.canonical_path == "s5/window01/t5.txt"
+
+
+def test_spread_leaves_large_inputs_alone(spark):
+    from docsift.sources.tables import spread
+
+    target = 2 * spark.sparkContext.defaultParallelism
+    big = spark.range(0, 10000, numPartitions=target * 4)
+    assert spread(big) is big
+    small = spark.range(0, 100, numPartitions=1)
+    spread_small = spread(small)
+    assert spread_small is not small and spread_small.rdd.getNumPartitions() == target
+    assert sorted(r.id for r in spread_small.collect()) == list(range(100))
