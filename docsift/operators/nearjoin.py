@@ -74,7 +74,9 @@ def _bounds(df: DataFrame, role: str, curve: ThresholdCurve) -> DataFrame:
 # are therefore estimated on a bounded sample of the texts, and only the most
 # frequent grams are kept: the table that is broadcast has a proven size
 # bound, grams outside it sort first (as rare), and no result depends on it.
-ORDER_SAMPLE_CHARS = 4_000_000    # characters of text sampled for frequencies
+ORDER_SAMPLE_CHARS = 4_000_000    # characters of text sampled for frequencies (floor)
+ORDER_SAMPLE_SHARE = 1e-5         # ... growing with the corpus
+ORDER_SAMPLE_MAX = 2_000_000_000  # ... up to this many characters
 ORDER_MAX_GRAMS = 500_000         # entries kept (most frequent first)
 BAND_BUCKET = 32                  # length bucket width of the pair join key
 
@@ -85,7 +87,8 @@ def gram_orders(docs: DataFrame, qs: tuple[int, ...], total_chars: int, seed: in
 
     Each partition counts document frequencies locally (a map-side combine
     in the worker), so only (q, gram, partial count) rows are shuffled."""
-    frac = min(1.0, ORDER_SAMPLE_CHARS / max(total_chars, 1))
+    budget = min(ORDER_SAMPLE_MAX, max(ORDER_SAMPLE_CHARS, int(total_chars * ORDER_SAMPLE_SHARE)))
+    frac = min(1.0, budget / max(total_chars, 1))
     sample = docs.select("text") if frac >= 1.0 else docs.select("text").sample(fraction=frac, seed=seed)
 
     def partial(batches):
