@@ -10,7 +10,6 @@ from ..functions.threshold import DEFAULT_CURVE
 from ..operators import coverage as V
 from ..operators import curves as C
 from ..operators import history as H
-from ..operators.index import with_fingerprint
 from ..operators.links import unified_diffs
 from ..sources.tables import CAPTURE_TABS_SQL, capture_tabs, inventory, table
 from . import sqlfrag as S
@@ -126,9 +125,21 @@ def q_coverage(spark, sf_dir):
 
 # -- unified diffs ---------------------------------------------------------------------
 
+DIFF_BROADCAST_ROWS = 200_000
+
+
 def q_unified_diff(spark, sf_dir):
-    res = compare(spark, sf_dir, fuzzy="small", scope="all").filter(F.col("status") == "near")
-    texts = with_fingerprint(inventory(spark, sf_dir)).select("path", "norm")
+    """P20 for every near match: only the documents of near pairs are read
+    back and normalised (their paths are broadcast behind a count)."""
+    from ..functions.text import normalize_text
+
+    res = compare(spark, sf_dir, fuzzy="small", scope="all").filter(F.col("status") == "near").persist()
+    needed = res.select(F.col("new_path").alias("path")).union(
+        res.select(F.col("canonical_path").alias("path"))).distinct()
+    if needed.count() <= DIFF_BROADCAST_ROWS:
+        needed = F.broadcast(needed)
+    texts = (inventory(spark, sf_dir).select("path", "text").join(needed, "path", "left_semi")
+             .select("path", normalize_text("text").alias("norm")))
     pairs = (res.join(texts.withColumnRenamed("path", "new_path").withColumnRenamed("norm", "new_text"), "new_path")
              .join(texts.withColumnRenamed("path", "canonical_path").withColumnRenamed("norm", "canonical_text"),
                    "canonical_path"))
