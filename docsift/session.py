@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -48,9 +50,35 @@ def configure(spark: SparkSession) -> SparkSession:
         if spark.conf.get(key, None) is None:
             spark.conf.set(key, value)
     checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Arrow UDFs are pickled by reference, so every executor must be able to
+    import the package. A zip of its sources is added to the application
+    (Spark serves it to the executors); nothing needs to be installed there.
+    """
+    try:
+        app, add = spark.sparkContext.applicationId, spark.sparkContext.addPyFile
+    except Exception:  # noqa: BLE001 - Spark Connect
+        app, add = spark.session_id, lambda path: spark.addArtifacts(path, pyfile=True)
+    if app in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="docsift-ship-")) / f"{package.name}-sources.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, source.relative_to(package.parent))
+    add(str(target))
+    _SHIPPED.add(app)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
