@@ -58,7 +58,10 @@ def op3_minhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(table(spark, sf_dir, "documents"))
+    """Spans as text: ``start:stop`` in words, stop exclusive, comma-separated."""
+    found = repeated_passages(table(spark, sf_dir, "documents"))
+    shown = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"], s["stop"])), ",").alias(c)
+    return found.select("doc_id", "n_repeated", "n_removed", shown("repeated"), shown("removed"))
 
 
 def op5_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,5 +114,6 @@ QUERIES: dict[str, Query] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_chat_reply_trees": oracles.CHAT,
     "op3_minhash_decontamination": oracles.LEAKS,
+    "op4_suffix_array_dedup": oracles.REPEATS,
     "op7_line_frequency_rules": oracles.LINES,
 }
