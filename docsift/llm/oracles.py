@@ -84,14 +84,14 @@ WITH doc AS (
 ), marked AS (
   SELECT doc_id, i, doc_id <> low AS later FROM seen WHERE low <> high
 ), covered AS (
-  SELECT doc_id, i + j AS at, bool_and(later) AS later FROM marked, range(0, 50) AS r(j) GROUP BY doc_id, i + j
+  SELECT doc_id, i + j AS word, bool_and(later) AS later FROM marked, range(0, 50) AS r(j) GROUP BY doc_id, i + j
 ), islands AS (
-  SELECT doc_id, later, at, at - row_number() OVER (PARTITION BY doc_id ORDER BY at) AS all_run,
-    at - row_number() OVER (PARTITION BY doc_id, later ORDER BY at) AS own_run FROM covered
+  SELECT doc_id, later, word, word - row_number() OVER (PARTITION BY doc_id ORDER BY word) AS all_run,
+    word - row_number() OVER (PARTITION BY doc_id, later ORDER BY word) AS own_run FROM covered
 ), all_spans AS (
-  SELECT doc_id, min(at) - 1 AS s, max(at) AS e FROM islands GROUP BY doc_id, all_run
+  SELECT doc_id, min(word) - 1 AS s, max(word) AS e FROM islands GROUP BY doc_id, all_run
 ), cut_spans AS (
-  SELECT doc_id, min(at) - 1 AS s, max(at) AS e FROM islands WHERE later GROUP BY doc_id, own_run
+  SELECT doc_id, min(word) - 1 AS s, max(word) AS e FROM islands WHERE later GROUP BY doc_id, own_run
 ), shown AS (
   SELECT doc_id, sum(e - s)::BIGINT AS n_repeated, string_agg(s || ':' || e, ',' ORDER BY s) AS repeated FROM all_spans GROUP BY doc_id
 ), cut AS (
