@@ -26,12 +26,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, prepare
-from .hashing import STEP, mix
+from .hashing import STEP, mix, word_hashes
 
 BITS = 18
 SIZE = 1 << BITS
@@ -39,21 +38,11 @@ TRAIN_ROWS = 8000
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
-_CACHE: dict[str, int] = {}
-_CACHE_SIZE = 200_000
-
-
-def _token_hashes(tokens: list[str]) -> np.ndarray:
-    if len(_CACHE) > _CACHE_SIZE:
-        _CACHE.clear()
-    for t in set(tokens) - _CACHE.keys():
-        _CACHE[t] = xxhash.xxh3_64_intdigest(t)
-    return np.fromiter(map(_CACHE.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Indices and values of a text's sparse vector."""
-    h = _token_hashes(_TOKEN.findall(text or ""))
+    h = word_hashes(_TOKEN.findall(text or ""))
     pair = mix(h[:-1] * STEP + h[1:])
     pair[h[:-1] == h[1:]] = 0
     index = (np.concatenate([h, pair]) >> np.uint64(64 - BITS)).astype(np.int32)
