@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ from pyspark.sql import types as T
 
 from .common import prepare
 
-_CACHE_SIZE = 250_000
+_CACHE_SIZE = 150_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -55,7 +56,7 @@ class Ranks:
         self.longest = max(map(len, ranks))
         self.merged: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
-        self._follows: dict[tuple[int, int], bool] = {}
+        self.known: dict[int, bool] = {}
         for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
             if len(token) > 1 and (halves := self._split(token, rank)):
                 self.parts[rank] = halves
@@ -76,13 +77,10 @@ class Ranks:
 
     def follows(self, a: int, b: int) -> bool:
         """Whether BPE keeps the border between tokens a and b."""
-        key = (a, b)
-        known = self._follows.get(key)
-        if known is None:
-            if len(self._follows) > 2 * _CACHE_SIZE:
-                self._follows.clear()
-            known = self._follows[key] = self._border(a, b)
-        return known
+        if len(self.known) > 2 * _CACHE_SIZE:
+            self.known.clear()
+        kept = self.known[a << 32 | b] = self._border(a, b)
+        return kept
 
     def _border(self, a: int, b: int) -> bool:
         latest = len(self.ranks) + 256  # a merge across counts if it came before this one
@@ -113,10 +111,18 @@ class PrefixTable:
             self.last.append(self._last(end))
 
     def _last(self, end: int) -> int:
-        get, follows, data, last = self.ranks.made.get, self.ranks.follows, self.data, self.last
-        for begin in range(end - 1, max(end - self.ranks.longest, 0) - 1, -1):
-            token = get(data[begin:end])
-            if token is not None and (begin == 0 or follows(last[begin - 1], token)):
+        data, last, ranks = self.data, self.last, self.ranks
+        made, known = ranks.made.get, ranks.known.get
+        for begin in range(end - 1, max(end - ranks.longest, 0) - 1, -1):
+            token = made(data[begin:end])
+            if token is None:
+                continue
+            if not begin:
+                return token
+            kept = known(last[begin - 1] << 32 | token)
+            if kept is None:
+                kept = ranks.follows(last[begin - 1], token)
+            if kept:
                 return token
         raise ValueError("the vocabulary lacks a byte")
 
@@ -145,41 +151,56 @@ class PrefixTable:
         return out[::-1]
 
 
-class _Pieces(dict):
-    """Little-endian ids of a piece, encoded when first asked for."""
+class _Cache(dict):
+    """A bounded cache of two generations: what was used since the last change
+    of generation stays."""
+
+    def __init__(self):
+        super().__init__()
+        self.before: dict[str, bytes] = {}
+
+    def make(self, key: str) -> bytes:
+        raise NotImplementedError
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.before.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) < 64 and "\n" not in key:  # words around a line feed rarely recur
+            if len(self) >= _CACHE_SIZE:
+                self.before = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
+class _Pieces(_Cache):
+    """Little-endian ids of a piece."""
 
     def __init__(self, ranks: Ranks):
         super().__init__()
         self.ranks = ranks
 
-    def __missing__(self, piece: str) -> bytes:
+    def make(self, piece: str) -> bytes:
         data = piece.encode()
         whole = self.ranks.ranks.get(data)
         ids = [whole] if whole is not None else PrefixTable(self.ranks, data).tokens()
-        value = np.array(ids, dtype="<u4").tobytes()
-        if len(self) < _CACHE_SIZE and len(piece) < 64:
-            self[piece] = value
-        return value
+        return struct.pack(f"<{len(ids)}I", *ids)
 
 
-class _Parts(dict):
-    """The same for what stands between two single spaces; every part but a
-    text's first begins with its space."""
+class _Parts(_Cache):
+    """The same for what stands between two single spaces, with the space
+    before it."""
 
     def __init__(self, pieces: _Pieces, pattern: str):
         super().__init__()
         self.pieces, self.find = pieces, regex.compile(pattern).findall
 
-    def encode(self, part: str) -> bytes:
-        return b"".join([self.pieces[p] for p in self.find(part)])
+    def encode(self, text: str) -> bytes:
+        return b"".join([self.pieces[p] for p in self.find(text)])
 
-    def __missing__(self, part: str) -> bytes:
-        value = self.encode(" " + part)
-        if len(self) >= _CACHE_SIZE:
-            self.clear()
-        if len(part) < 64 and "\n" not in part:  # two words around a line feed rarely recur
-            self[part] = value
-        return value
+    def make(self, part: str) -> bytes:
+        return self.encode(" " + part)
 
 
 class Encoder:
@@ -201,8 +222,6 @@ class Encoder:
             return b""
         parts = self._BETWEEN.split(text) if self._GAPS.search(text) else text.split(" ")
         first = self.parts.encode(parts[0])
-        if len(self.parts.pieces) >= _CACHE_SIZE:
-            self.parts.pieces.clear()
         return first + b"".join([self.parts[p] for p in parts[1:]])
 
     def decode(self, ids: bytes) -> bytes:
