@@ -75,13 +75,13 @@ def _jumps(nodes: DataFrame, scratch: Scratch) -> list[DataFrame]:
     largest = now.groupBy("tree").count().agg(F.max("count")).first()[0] or 1
     tables = [now]
     for k in range(1, math.ceil(math.log2(largest)) + 1):
-        if not now.filter("up IS NOT NULL").limit(1).count():
+        climbing = now.filter("up IS NOT NULL")
+        if not climbing.limit(1).count():
             break
         on = now.select("tree", F.col("id").alias("up"), F.col("up").alias("up2"), F.col("total").alias("t2"), F.col("steps").alias("s2"))
-        far = now.join(on, ["tree", "up"], "left")
-        add = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
-        far = far.select("tree", "id", F.col("up2").alias("up"), add("total", "t2").alias("total"), add("steps", "s2").alias("steps"))
-        now = scratch.table(far, f"jump{k}")
+        far = climbing.join(on, ["tree", "up"])
+        far = far.select("tree", "id", F.col("up2").alias("up"), F.expr("total + t2").alias("total"), F.expr("steps + s2").alias("steps"))
+        now = scratch.table(now.filter("up IS NULL").unionByName(far), f"jump{k}")
         tables.append(now)
     return tables
 
