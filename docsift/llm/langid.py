@@ -47,7 +47,8 @@ LONGEST_WORD = 48
 START = "▁"
 UNDETERMINED = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
-_CACHE_SIZE = 200_000
+_CACHE_SIZE = 300_000
+_TEXTS = 100  # texts whose new words are worked out together
 _BLOCK = 20_000  # words that are worked on together; fewer than 2^15
 
 
@@ -157,8 +158,8 @@ class Model:
 
 
 def marked(run: str) -> list[str]:
-    """A run of letters as words of the vocabulary."""
-    word = START + run.lower()
+    """A run of lower-case letters as words of the vocabulary."""
+    word = START + run
     return [word[i : i + LONGEST_WORD] for i in range(0, len(word), LONGEST_WORD)]
 
 
@@ -167,7 +168,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         seen: Counter = Counter()
         for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
-            for run, n in Counter(_LETTERS.findall(text)).items():
+            for run, n in Counter(_LETTERS.findall(text.lower())).items():
                 for word in marked(run):
                     seen[lang, word] += n
         langs, words = zip(*seen, strict=True) if seen else ((), ())
@@ -217,51 +218,48 @@ def train(docs: DataFrame, pieces: list[str], rows: int = TRAIN_ROWS, rounds: in
 
 
 class Scorer:
-    """Log-probabilities of white-space separated parts, kept in a bounded cache."""
+    """Log-probabilities of runs of letters, in a bounded cache of two
+    generations: what was used since the last change of generation stays."""
 
     def __init__(self, model: Model):
         self.model, self.lattice = model, _lattice(model.pieces)
-        self._reset()
-
-    def _reset(self) -> None:
         self.row: dict[str, int] = {}
-        self.value = np.zeros((0, len(self.model.languages)))
-
-    def _learn(self, parts: set[str]) -> None:
-        parts = parts - self.row.keys()
-        if len(self.row) + len(parts) > _CACHE_SIZE and self.row:
-            self._reset()
-        words: list[str] = []
-        of: list[int] = []
-        new = sorted(parts)
-        for i, part in enumerate(new):
-            for run in _LETTERS.findall(part):
-                for word in marked(run):
-                    words.append(word)
-                    of.append(i)
-        value = np.zeros((len(new), len(self.model.languages)))
+        self.value = np.zeros((_CACHE_SIZE, len(model.languages)))
+        self.before: tuple[dict[str, int], np.ndarray] = ({}, self.value)
+
+    def _learn(self, needed: set[str]) -> None:
+        """Makes sure that this generation has a row for all of ``needed``."""
+        runs = needed - self.row.keys()
+        if len(self.row) + len(runs) > len(self.value):
+            self.before = (self.row, self.value)
+            self.row, self.value = {}, np.zeros((max(_CACHE_SIZE, len(needed)), self.value.shape[1]))
+            runs = needed
+        old, known = self.before
+        at = len(self.row)
+        have = [r for r in runs if r in old]
+        self.value[at : at + len(have)] = known[[old[r] for r in have]]
+        new = [r for r in runs if r not in old]
+        words = [w for r in new for w in marked(r)]
+        of = np.repeat(np.arange(len(new)), [-(-(len(r) + 1) // LONGEST_WORD) for r in new])
+        at += len(have)
         for i in range(0, len(words), _BLOCK):
-            np.add.at(value, of[i : i + _BLOCK], self.lattice.log_probabilities(words[i : i + _BLOCK], self.model.prob))
-        at = len(self.value)
-        self.value = np.concatenate([self.value, value])
-        self.row.update((part, at + i) for i, part in enumerate(new))
+            np.add.at(self.value, at + of[i : i + _BLOCK], self.lattice.log_probabilities(words[i : i + _BLOCK], self.model.prob))
+        self.row.update(zip([*have, *new], range(len(self.row), at + len(new)), strict=True))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        parts = [(t or "").split() for t in texts]
         langs, scores = [], []
-        for own, text in zip(parts, texts, strict=True):
-            if not self.model.languages or not any(map(str.isalpha, text or "")):
-                langs.append(UNDETERMINED)
-                scores.append(0.0)
-                continue
-            if any(p not in self.row for p in own):
-                self._learn(set().union(*parts) if len(self.row) < _CACHE_SIZE // 2 else set(own))
-                if any(p not in self.row for p in own):
-                    self._learn(set(own))
-            total = self.value[list(map(self.row.__getitem__, own))].sum(axis=0)
-            p = np.exp(total - total.max())
-            langs.append(self.model.languages[int(total.argmax())])
-            scores.append(float(p.max() / p.sum()))
+        for i in range(0, len(texts), _TEXTS):
+            runs = [_LETTERS.findall((t or "").lower()) for t in texts[i : i + _TEXTS]]
+            self._learn(set().union(*runs))
+            for own in runs:
+                if not self.model.languages or not any(any(map(str.isalpha, r)) for r in own):
+                    langs.append(UNDETERMINED)
+                    scores.append(0.0)
+                    continue
+                total = self.value[list(map(self.row.__getitem__, own))].sum(axis=0)
+                p = np.exp(total - total.max())
+                langs.append(self.model.languages[int(total.argmax())])
+                scores.append(float(p.max() / p.sum()))
         return langs, scores
 
 
