@@ -115,7 +115,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, epochs: in
     weight = {label: (sum(n.values()) / (len(n) * own)) ** 0.5 for label, own in n.items()}
     state = None
     for _ in range(epochs):
-        state = bytes(rows_in.mapInArrow(_trainer(state, weight), "state binary").first()["state"])
+        new = rows_in.mapInArrow(_trainer(state, weight), "state binary").first()
+        if new is None:  # no row to learn from
+            break
+        state = bytes(new["state"])
     return Ftrl(state).weights()
 
 

@@ -13,8 +13,8 @@ the others lose it.
 3. What is left is sorted again as suffix array entries with their context: 50
    words to the right, 34 to the left. Neighbours are compared (common prefix),
    then matches are extended to the left: for each of the 35 windows that hold
-   the suffix, entries of a run with a long enough common prefix and equal left
-   words are the same window.
+   the suffix and have it as their minimiser, entries of a run with a long
+   enough common prefix and equal left words are the same window.
 4. The sort is by ranges whose last keys are id and position, so a passage held
    by a third of all documents spreads over many tasks. Windows of a suffix
    group that may go on in the next range are settled by one aggregation over
@@ -116,9 +116,21 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (k1, k2, pos)], names=["k1", "k2", "pos"])
 
 
+def _windows(g: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Bit a: the window that begins a words before the suffix lies in the text
+    and the suffix is its minimiser. Whether a suffix is retained depends on
+    what stands around a window too; whether it is the window's minimiser, on
+    the window alone, so all copies of a window agree."""
+    low = _slide(g, SPAN, np.minimum)
+    start = pos[:, None] - np.arange(SPAN)
+    inside = (start >= 0) & (start < len(low))
+    own = inside & (low[np.where(inside, start, 0)] == g[pos][:, None])
+    return (own.astype(np.int64) << np.arange(SPAN)).sum(axis=1)
+
+
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows: list[list] = [[], [], [], [], [], []]
+        rows: list[list] = [[] for _ in range(7)]
         for k1, k2, text, at in zip(*(b.column(c).to_pylist() for c in ("k1", "k2", "text", "at")), strict=True):
             h = word_hashes(text.split())
             pos = np.array(sorted(set(at)), dtype=np.int64)
@@ -127,13 +139,13 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             padded = np.concatenate([np.zeros(LEFT, np.uint32), short, np.zeros(WINDOW, np.uint32)])
             right = padded[pos[:, None] + LEFT + np.arange(WINDOW)]
             left = padded[pos[:, None] + LEFT - 1 - np.arange(LEFT)]
-            key = gram_hashes(h, GRAM)[pos].view(np.int64)
+            g = gram_hashes(h, GRAM)
             n = len(pos)
-            new = (key, [r.tobytes() for r in right], [x.tobytes() for x in left], [k1] * n, [k2] * n, pos.astype(np.int32))
+            new = (g[pos].view(np.int64), [r.tobytes() for r in right], [x.tobytes() for x in left], _windows(g, pos), [k1] * n, [k2] * n, pos.astype(np.int32))
             for have, more in zip(rows, new, strict=True):
                 have.extend(more)
-        types = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, types, strict=True)], names=["key", "right", "left", "k1", "k2", "pos"])
+        types = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, types, strict=True)], names=["key", "right", "left", "windows", "k1", "k2", "pos"])
 
 
 def _words(column: pa.Array, width: int) -> np.ndarray:
@@ -146,6 +158,7 @@ class _Entries:
     def __init__(self, batches: list[pa.RecordBatch]):
         col = lambda c: np.concatenate([b.column(c).to_numpy() for b in batches])
         self.key, self.k1, self.k2, self.pos = col("key"), col("k1"), col("k2"), col("pos").astype(np.int64)
+        self.windows = col("windows")
         self.right = np.concatenate([_words(b.column("right"), WINDOW) for b in batches])
         self.left = np.concatenate([_words(b.column("left"), LEFT) for b in batches])
 
@@ -154,7 +167,6 @@ class _Entries:
         same = (self.right[1:] == self.right[:-1]) & (self.right[1:] != 0)
         common = np.r_[0, np.logical_and.accumulate(same, axis=1).sum(axis=1)]
         common[np.flatnonzero(np.r_[True, self.key[1:] != self.key[:-1]])] = 0
-        n_right, n_left = (self.right != 0).sum(axis=1), (self.left != 0).sum(axis=1)
         order = np.lexsort((self.k2, self.k1))
         new = np.r_[True, (np.diff(self.k1[order]) != 0) | (np.diff(self.k2[order]) != 0)]
         who = np.empty(n, dtype=np.int64)
@@ -168,7 +180,7 @@ class _Entries:
         for a in range(LEFT + 1):  # the window that begins a words before the suffix
             need = WINDOW - a
             run = np.cumsum(common < need).astype(np.uint64)
-            row = np.flatnonzero((n_right >= need) & (n_left >= a))
+            row = np.flatnonzero(self.windows >> a & 1)
             code = mix(left_hash[row] + run[row] * STEP)
             o = np.lexsort((who[row], code))
             r, c = row[o], code[o]
@@ -295,7 +307,7 @@ def passages(docs: DataFrame) -> DataFrame:
     at = shared.groupBy("k1", "k2").agg(F.collect_list("pos").alias("at"))
     at = scratch.table(at, "positions")
     found = texts.join(at, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
-    entries = found.mapInArrow(_contexts, "key long, right binary, left binary, k1 long, k2 long, pos int")
+    entries = found.mapInArrow(_contexts, "key long, right binary, left binary, windows long, k1 long, k2 long, pos int")
     order = ["key", "right", "left", "k1", "k2", "pos"]
     entries = scratch.table(entries, "entries").repartitionByRange(*order).sortWithinPartitions(*order)
     schema = "k1 long, k2 long, start int, stop int, later boolean, window long, m1 long, m2 long"
