@@ -47,7 +47,7 @@ LONGEST_WORD = 48
 START = "▁"
 UNDETERMINED = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
-_CACHE_SIZE = 300_000
+_CACHE_SIZE = 120_000
 _TEXTS = 100  # texts whose new words are worked out together
 _BLOCK = 20_000  # words that are worked on together; fewer than 2^15
 
