@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 # ---------------------------------------------------------------------------
 # Fixed values
 # ---------------------------------------------------------------------------
-# Session folder name prefixes: the legacy one and the current "nc-"; a
-# session folder name is a prefix followed by a date.
-LEGACY_SESSION_PREFIX = "notepad-cleanup-"
+# Session folder name prefixes: an older one and the current "nc-"; a
+# session folder name is a prefix followed by a date. Pass ``prefixes`` to
+# ``session_of_path`` where folders are named otherwise.
+LEGACY_SESSION_PREFIX = "session-"
 SESSION_PREFIX = "nc-"
 SESSION_NAME_REGEX = f"^({LEGACY_SESSION_PREFIX}|{SESSION_PREFIX})[0-9]{{4}}"
 SESSION_GLOB_REGEX = f"^({LEGACY_SESSION_PREFIX}|{SESSION_PREFIX})"
@@ -63,12 +64,16 @@ def is_content_file(path) -> Column:
     )
 
 
-def session_of_path(path) -> Column:
+def session_name_regex(prefixes) -> str:
+    return f"^({'|'.join(prefixes)})[0-9]{{4}}"
+
+
+def session_of_path(path, prefixes=(LEGACY_SESSION_PREFIX, SESSION_PREFIX)) -> Column:
     """The deepest path component (the file itself included) whose name
     starts with a session prefix and four digits; else the parent folder."""
     parts = path_parts(path)
     idx = F.array_max(F.transform(
-        parts, lambda x, i: F.when(x.rlike(SESSION_NAME_REGEX), i + 1)))
+        parts, lambda x, i: F.when(x.rlike(session_name_regex(prefixes)), i + 1)))
     return F.when(idx.isNotNull(), F.array_join(F.slice(parts, 1, idx), "/")).otherwise(parent(path))
 
 

@@ -32,6 +32,12 @@ FILENAME_MAX = 60
 TYPE_SCAN_CHARS = 500
 SHORT_NOTE_CHARS = 200
 # ---------------------------------------------------------------------------
+# Runs of white space at a line's or the text's end. The look-behind lets a
+# match start only at a run's first character and the possessive quantifier
+# never gives characters back, so a run is passed over once: linear time.
+_LINE_TAIL = f"(?<!{WS_LINE_CLASS}){WS_LINE_CLASS}++(?=\\n|\\z)"
+_TEXT_TAIL = f"(?<!{WS_CLASS}){WS_CLASS}++\\z"
+_EMPTY_TAIL = "(?<!\\n)\\n++\\z"
 
 
 def _col(c) -> Column:
@@ -40,12 +46,12 @@ def _col(c) -> Column:
 
 def pystrip(c) -> Column:
     """``str.strip()``: both ends, Python whitespace."""
-    return F.regexp_replace(_col(c), f"^{WS_CLASS}+|{WS_CLASS}+\\z", "")
+    return F.regexp_replace(_col(c), f"^{WS_CLASS}++|{_TEXT_TAIL}", "")
 
 
 def pyrstrip(c) -> Column:
     """``str.rstrip()``."""
-    return F.regexp_replace(_col(c), f"{WS_CLASS}+\\z", "")
+    return F.regexp_replace(_col(c), _TEXT_TAIL, "")
 
 
 def unify_newlines(c) -> Column:
@@ -59,8 +65,8 @@ def normalize_text(c) -> Column:
     Leading blank lines are kept. Null stays null.
     """
     s = unify_newlines(c)
-    s = F.regexp_replace(s, f"{WS_LINE_CLASS}+(?=\\n|\\z)", "")
-    return F.regexp_replace(s, "\\n+\\z", "")
+    s = F.regexp_replace(s, _LINE_TAIL, "")
+    return F.regexp_replace(s, _EMPTY_TAIL, "")
 
 
 def content_hash(c) -> Column:
@@ -79,7 +85,7 @@ def capture_key(c) -> Column:
     Null or empty input gives ''. The key itself is the SHA-256 of this text,
     a deterministic replacement for a process-local hash().
     """
-    s = F.regexp_replace(unify_newlines(c), f"{WS_LINE_CLASS}+(?=\\n|\\z)", "")
+    s = F.regexp_replace(unify_newlines(c), _LINE_TAIL, "")
     s = pystrip(s)
     return F.coalesce(s, F.lit(""))
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import paths as P
 from ..functions import text as T
 
 SESSION_BROADCAST_ROWS = 1_000_000
@@ -46,8 +47,11 @@ def index_scope(history: DataFrame) -> DataFrame:
     The per-session flags are a partial-aggregated group-by (one row per
     session) joined back, so a session holding a third of the corpus is not
     sorted in one task."""
-    is_win = F.col("path").rlike("^[^/]+/window[0-9][^/]*/")
-    is_org = F.col("path").rlike("^[^/]+/organized/")
+    # the part from the session folder on, for absolute paths too
+    prefixes = f"{P.LEGACY_SESSION_PREFIX}|{P.SESSION_PREFIX}"
+    here = F.regexp_replace("path", f"^.*/(?=({prefixes})[0-9]{{4}}[^/]*/)", "")
+    is_win = here.rlike("^[^/]+/window[0-9][^/]*/")
+    is_org = here.rlike("^[^/]+/organized/")
     flagged = history.withColumn("_org", is_org).withColumn("_win", is_win)
     flags = flagged.groupBy("session_id").agg(F.max(F.col("_org").cast("int")).alias("_has_org"),
                                               F.max(F.col("_win").cast("int")).alias("_has_win"))

@@ -64,14 +64,6 @@ def link_counts(links: DataFrame) -> DataFrame:
     )
 
 
-def link_manifest(links: DataFrame) -> DataFrame:
-    """S8 write side: one JSON document per link set with counts and entries.
-
-    Kept as rows (one entry per row) plus the count header; the writer in
-    ``sources.results`` persists it."""
-    return links.select(*LINK_COLUMNS)
-
-
 def linked_paths(links: DataFrame) -> DataFrame:
     """S8 read side: successful links as new_path → canonical_path; when a
     path appears twice the later entry wins (``seq`` order when present)."""

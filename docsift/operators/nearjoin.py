@@ -345,8 +345,11 @@ def _candidate_texts(survivors: DataFrame, cand: DataFrame, cand_source: DataFra
     if needed.count() <= SURVIVOR_BROADCAST_ROWS:
         needed = F.broadcast(needed)
     # only the matched documents are normalised again
-    return cand_source.select("path", "text").join(needed, "path").select(
+    texts = cand_source.select("path", "text").join(needed, "path").select(
         "cand_key", normalize_text("text").alias("c_text"))
+    # a path can stand in the history in several versions: the key is the
+    # hash of the one that was meant
+    return texts.filter(F.sha2("c_text", 256) == F.col("cand_key")).dropDuplicates(["cand_key"])
 
 
 def verified_pairs(pairs: DataFrame, new: DataFrame, cand: DataFrame,

@@ -46,7 +46,6 @@ def _doc_variants(df):
                          .when(d % 6 == 2, F.concat(F.lit("[core]"), lf, t))
                          .when(d % 6 == 3, F.concat(F.lit("["), t, F.lit("]")))
                          .when(d % 6 == 4, F.concat(F.lit("Intro"), lf, F.lit("## Part"), lf, t))
-                         .when(d % 12 == 5, F.substring(t, 1, 150))
                          .otherwise(t))
 
 
@@ -124,7 +123,6 @@ docs AS (SELECT doc_id, CASE
     WHEN doc_id % 6 = 2 THEN '[core]' || chr(10) || raw
     WHEN doc_id % 6 = 3 THEN '[' || raw || ']'
     WHEN doc_id % 6 = 4 THEN 'Intro' || chr(10) || '## Part' || chr(10) || raw
-    WHEN doc_id % 12 = 5 THEN substr(raw, 1, 150)
     ELSE raw END AS text FROM d0)
 SELECT doc_id, {S.tab_label('text')} AS label, {S.file_type('text')} AS file_type,
        {S.sanitize("(' .x<' || substr(text, 1, 70) || ':?* . ')")} AS safe_name,

@@ -16,7 +16,6 @@ from . import sqlfrag as S
 from .compare import compare
 
 T = DEFAULT_CURVE
-HISTORY_UNTIL = "2024-01-10"  # days up to here are already in the stored history
 RECENT_DEPTH = 10
 
 
@@ -42,14 +41,23 @@ def _day(ts):
     return F.date_format(ts, "yyyy-MM-dd'T'00:00:00'Z'")
 
 
-def _series(spark, sf_dir, kind):
-    ev = table(spark, sf_dir, "events").filter(F.col("event_type") == kind)
+def _is_stored(ts):
+    """Even days are in the stored history already; purchases of odd days are
+    traffic still to be merged, so every event counts on one side."""
+    return F.dayofmonth(ts) % 2 == 0
+
+
+def _series(spark, sf_dir, kind, open_purchases=False):
+    wanted = F.col("event_type") == kind
+    if open_purchases:
+        wanted |= (F.col("event_type") == "purchase") & ~_is_stored(F.col("ts"))
+    ev = table(spark, sf_dir, "events").filter(wanted)
     return ev.groupBy(_day(F.col("ts")).alias("timestamp")).agg(
         F.count(F.lit(1)).cast("int").alias("count"), F.countDistinct("user_id").cast("int").alias("uniques"))
 
 
 def _stored_history(spark, sf_dir):
-    p = _series(spark, sf_dir, "purchase").filter(F.col("timestamp") <= F.lit(HISTORY_UNTIL + "T00:00:00Z"))
+    p = _series(spark, sf_dir, "purchase").filter(F.substring("timestamp", 9, 2).cast("int") % 2 == 0)
     z = F.lit(0).cast("int")
     return p.select(
         F.col("timestamp").alias("date"), F.replace(F.col("timestamp"), F.lit("T00:00:00Z"), F.lit("T12:00:00.000Z"))
@@ -68,7 +76,7 @@ def q_date_union(spark, sf_dir):
 
 
 def _backfilled(spark, sf_dir):
-    merged = H.merge_traffic(_series(spark, sf_dir, "click"), _series(spark, sf_dir, "view"))
+    merged = H.merge_traffic(_series(spark, sf_dir, "click", open_purchases=True), _series(spark, sf_dir, "view"))
     return H.backfill(_stored_history(spark, sf_dir), merged)
 
 
@@ -190,14 +198,14 @@ merged AS (SELECT coalesce(c.timestamp, v.timestamp) AS date,
                   CAST(coalesce(v.count, 0) AS INTEGER) AS views, CAST(coalesce(v.uniques, 0) AS INTEGER) AS view_uniques
            FROM click c FULL OUTER JOIN view v ON c.timestamp = v.timestamp)"""
 
-HISTORY_SQL = SERIES_SQL + f""",
+HISTORY_SQL = SERIES_SQL.replace("event_type = 'click'", "(event_type = 'click' OR (event_type = 'purchase' AND day(ts) % 2 = 1))") + """,
 purchase AS (SELECT strftime(ts, '%Y-%m-%dT00:00:00Z') AS timestamp, CAST(count(*) AS INTEGER) AS count,
                     CAST(count(DISTINCT user_id) AS INTEGER) AS uniques FROM events WHERE event_type = 'purchase' GROUP BY 1),
 stored AS (SELECT timestamp AS date, replace(timestamp, 'T00:00:00Z', 'T12:00:00.000Z') AS capturedAt,
                   count AS clones, 0 AS downloads, 0 AS views, count AS total, 0 AS ciCheckouts, count AS organicClones,
                   0 AS stars, 0 AS forks, 0 AS openIssues, uniques AS uniqueClones, 0 AS uniqueViews, 0 AS ciRuns,
                   uniques AS organicUniqueClones, FALSE AS added
-           FROM purchase WHERE timestamp <= '{HISTORY_UNTIL}T00:00:00Z'),
+           FROM purchase WHERE CAST(substr(timestamp, 9, 2) AS INTEGER) % 2 = 0),
 added AS (SELECT date, date AS capturedAt, clones, 0 AS downloads, views, clones + views AS total, 0 AS ciCheckouts,
                  clones AS organicClones, 0 AS stars, 0 AS forks, 0 AS openIssues, clone_uniques AS uniqueClones,
                  view_uniques AS uniqueViews, 0 AS ciRuns, clone_uniques AS organicUniqueClones, TRUE AS added

@@ -56,22 +56,24 @@ def spread(df: DataFrame) -> DataFrame:
 def captured_text(doc_id: Column, text: Column) -> Column:
     """Deterministic capture noise, one kind per document.
 
-    id % 101 = 5 : blank text (spaces, tab and newlines only)
     id % 7 = 1   : CRLF line ends
     id % 11 = 2  : two trailing spaces and two blank lines appended
     id % 13 = 3  : a space and a tab before every line feed
     """
     return (
-        F.when(doc_id % 101 == 5, F.lit(" \n\t\n"))
-        .when(doc_id % 7 == 1, F.replace(text, F.lit("\n"), F.lit("\r\n")))
+        F.when(doc_id % 7 == 1, F.replace(text, F.lit("\n"), F.lit("\r\n")))
         .when(doc_id % 11 == 2, F.concat(text, F.lit("  \n\n")))
         .when(doc_id % 13 == 3, F.replace(text, F.lit("\n"), F.lit(" \t\n")))
         .otherwise(text)
     )
 
 
+# Blank captures (the table has none) are added as rows of their own: one, of
+# blanks and line feeds only, beside every document with id % 101 = 5.
+BLANK_ID_OFFSET = 1_000_000_000
+BLANK_TEXT = " \n\t\n"
+
 CAPTURED_TEXT_SQL = """CASE
-    WHEN doc_id % 101 = 5 THEN ' ' || chr(10) || chr(9) || chr(10)
     WHEN doc_id % 7 = 1 THEN replace(text, chr(10), chr(13) || chr(10))
     WHEN doc_id % 11 = 2 THEN text || '  ' || chr(10) || chr(10)
     WHEN doc_id % 13 = 3 THEN replace(text, chr(10), ' ' || chr(9) || chr(10))
@@ -89,6 +91,9 @@ def inventory(spark: SparkSession, sf_dir: str, with_text: bool = True) -> DataF
     is_organized, category, path, ctime, size, text (optional).
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    blank = docs.filter(F.col("doc_id") % 101 == 5).select(
+        (F.col("doc_id") + BLANK_ID_OFFSET).alias("doc_id"), F.lit(BLANK_TEXT).alias("text"), "lang", "source")
+    docs = docs.unionByName(blank)
     labels = table(spark, sf_dir, "labels").select("doc_id").distinct()
     d = docs.join(labels.withColumn("is_organized", F.lit(True)), "doc_id", "left")
     session_no = F.substring(F.col("source"), 4, 10).cast("int")
@@ -132,7 +137,9 @@ INVENTORY_SQL = f"""
 WITH lab AS (SELECT DISTINCT doc_id FROM labels),
 d0 AS (
   SELECT doc_id, text, lang, source, (lab.doc_id IS NOT NULL) AS is_organized
-  FROM documents LEFT JOIN lab USING (doc_id)
+  FROM (SELECT doc_id, text, lang, source FROM documents
+        UNION ALL SELECT doc_id + {BLANK_ID_OFFSET}, ' ' || chr(10) || chr(9) || chr(10), lang, source
+        FROM documents WHERE doc_id % 101 = 5) alldocs LEFT JOIN lab USING (doc_id)
 ),
 d AS (
   SELECT doc_id, CAST(substr(source, 4) AS INTEGER) AS session_no, is_organized,

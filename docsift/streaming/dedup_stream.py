@@ -5,7 +5,7 @@
   watermark, so "seen" means "seen within the watermark delay" (the batch
   twin W2 keeps an unbounded set within one run).
 * ST2 ``compare_exact``: classify arriving documents against the stored hash
-  index with a stream–static join (the index is re-read per micro-batch).
+  index with a stream–static join (the index is the one the query was started with).
 * ST3 ``index_upsert``: fold every micro-batch into the versioned hash cache
   with ``foreachBatch``; replaying a batch rewrites the same rows, so the
   upsert is idempotent.
@@ -22,10 +22,11 @@ from ..sources.results import load_hash_cache, save_hash_cache
 
 def first_seen(stream: DataFrame, text_col: str = "text", event_time: str = "ts",
                delay: str = "1 hour") -> DataFrame:
-    """ST1: keep the first arrival of every capture key (empty texts skipped)."""
+    """ST1: keep the first arrival of every capture key of a session (empty
+    texts skipped)."""
     keyed = stream.filter(F.col(text_col).isNotNull() & (F.col(text_col) != "")).withColumn(
         "key", capture_hash(text_col))
-    return keyed.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["key"])
+    return keyed.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["session_id", "key"])
 
 
 def compare_exact(stream: DataFrame, canonical_index: DataFrame) -> DataFrame:
@@ -47,7 +48,9 @@ def upsert_batch(batch: DataFrame, root: str) -> None:
     rows of the batch replace stored rows of the same path."""
     spark = batch.sparkSession
     rows = batch.select("path", content_hash("text").alias("sha256"), F.col("mtime").cast("double"),
-                        F.col("size").cast("long")).dropDuplicates(["path"])
+                        F.col("size").cast("long"))
+    newest = rows.groupBy("path").agg(F.max(F.struct("mtime", "size", "sha256")).alias("n"))
+    rows = newest.select("path", "n.sha256", "n.mtime", "n.size")
     old = load_hash_cache(spark, root)
     merged = old.join(rows.select("path"), "path", "left_anti").unionByName(rows)
     save_hash_cache(merged, root)

@@ -24,7 +24,7 @@ def _hist(session, order, files, t0=0):
 
 
 def test_exact_match(spark):
-    hist = _hist("notepad-cleanup-2026-01-01_00-00-00", 0,
+    hist = _hist("session-2026-01-01_00-00-00", 0,
                  [("tab01.txt", "shopping list\nmilk\neggs\n"), ("tab02.txt", "meeting notes\n")])
     new = [("new/tab01.txt", "shopping list\r\nmilk\r\neggs"), ("new/tab02.txt", "brand new content")]
     res, stats = _run(spark, hist, new, fuzzy="none")
@@ -66,7 +66,7 @@ def test_multi_session(spark):
 
 
 def test_tiny_file_rejects_large_diff(spark):
-    hist = _hist("notepad-cleanup-2026-01-01_00-00-00", 0, [("tab01.txt", "short original text")])
+    hist = _hist("session-2026-01-01_00-00-00", 0, [("tab01.txt", "short original text")])
     _, stats = _run(spark, hist, [("new/tab01.txt", "XXXXX XXXXXXXX XXXX")])
     assert stats["near_count"] == 0 and stats["new_count"] == 1
 
@@ -80,9 +80,9 @@ def test_canonical_is_oldest_then_organized(spark):
 
 
 def test_discovery_formats_and_false_positives(spark):
-    files = [("/base/notepad-cleanup-2026-01-01_00-00-00/manifest.json",),
-             ("/base/notepad-cleanup-2026-01-01_00-00-00/window01/tab01.txt",),
-             ("/base/notepad-cleanup-2026-01-02/manifest.json",),
+    files = [("/base/session-2026-01-01_00-00-00/manifest.json",),
+             ("/base/session-2026-01-01_00-00-00/window01/tab01.txt",),
+             ("/base/session-2026-01-02/manifest.json",),
              ("/base/nc-2026-01-03__00-00-00/manifest.json",),
              ("/base/nc-2026-01-04__00-00-00/manifest.json",),
              ("/base/nc-backups/x.txt",), ("/base/nc-scratch/y.txt",), ("/base/nc-old-stuff/z.txt",)]

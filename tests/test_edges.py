@@ -51,3 +51,58 @@ def test_spread_leaves_large_inputs_alone(spark):
     spread_small = spread(small)
     assert spread_small is not small and spread_small.rdd.getNumPartitions() == target
     assert sorted(r.id for r in spread_small.collect()) == list(range(100))
+
+
+def test_sequence_number_with_extra_columns(spark):
+    df = spark.range(300_000).select((F.col("id") * 7919 % 300_007).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("x"))
+    out = sequence_number(df, ["k"], "n", partitions=16)
+    got = out.agg(F.count("n"), F.countDistinct("n"), F.max("n"), F.min("n"), F.countDistinct("x")).first()
+    assert tuple(got) == (300_000, 300_000, 300_000, 1, 300_000)
+    first = out.orderBy("n").select("k").limit(1000).collect()
+    assert [r.k for r in first] == sorted(r.k for r in first)
+
+
+def test_white_space_runs_are_linear(spark):
+    import time
+
+    from docsift.functions import text as T
+
+    text = "a" + " " * 400_000 + "x" + "\n" * 200_000 + "y" + "\t" * 200_000
+    df = spark.createDataFrame([(text,)], "t string")
+    began = time.time()
+    row = df.select(T.normalize_text("t").alias("n"), T.capture_key("t").alias("k"), T.pystrip("t").alias("s")).first()
+    assert time.time() - began < 20
+    assert row.n == text.rstrip("\t") and row.k == row.n and row.s == text.strip()
+
+
+def test_later_link_of_a_path_wins(spark, tmp_path):
+    from docsift.operators import links as L
+    from docsift.sources import results as R
+
+    rows = [(i, f"p{i % 50}", f"c{i}", "symlink", True, None, None) for i in range(5000)]
+    df = spark.createDataFrame(rows, "seq long, new_path string, canonical_path string, link_type string, success boolean, error string, backup_path string")
+    R.write_link_manifest(df.repartition(9), str(tmp_path))
+    got = {r.new_path: r.canonical_path for r in L.linked_paths(R.load_link_manifest(spark, str(tmp_path))).collect()}
+    assert got == {f"p{k}": f"c{4950 + k}" for k in range(50)}
+
+
+def test_index_scope_of_absolute_paths(spark):
+    from docsift.operators.index import index_scope
+
+    rows = [("s", "/archive/r1/nc-2024-01-02__09/organized/a/x.txt"), ("s", "/archive/r1/nc-2024-01-02__09/window01/y.txt")]
+    kept = index_scope(spark.createDataFrame(rows, "session_id string, path string")).collect()
+    assert [r.path for r in kept] == [rows[0][1]]
+
+
+def test_a_path_in_two_versions(spark):
+    from docsift.operators.matching import classify
+
+    old = "the quick brown fox jumps over the lazy dog again and again " * 3
+    hist = spark.createDataFrame([("h/a.txt", old, "nc-2024-01-01", -1, 1), ("h/a.txt", old[::-1], "nc-2024-01-01", -1, 2)],
+                                 "path string, text string, session_id string, session_order int, ctime long")
+    new = spark.createDataFrame([("n/b.txt", old.replace("lazy", "lazi", 1))], "path string, text string")
+    row = classify(new, hist, fuzzy="all").first()
+    from docsift.functions.text import content_hash
+
+    want = hist.filter(F.col("ctime") == 1).select(content_hash("text").alias("h")).first().h
+    assert row.status == "near" and row.canonical_hash == want

@@ -138,7 +138,7 @@ def test_parse_size():
 def _py_session_of(path):
     parts = path.split("/")
     for i in range(len(parts) - 1, -1, -1):
-        if re.match(r"(notepad-cleanup-|nc-)\d{4}", parts[i]):
+        if re.match(r"(session-|nc-)\d{4}", parts[i]):
             return "/".join(parts[: i + 1])
     return "/".join(parts[:-1])
 
@@ -159,7 +159,7 @@ def _py_is_content(path):
     return True if not m else m.group(1) in P.TEXT_EXTENSIONS
 
 
-PATHS = ["/a/nc-2024-01-02__10-00-00/window01/tab01.txt", "/a/notepad-cleanup-2023-05-01/organized/code/x.py",
+PATHS = ["/a/nc-2024-01-02__10-00-00/window01/tab01.txt", "/a/session-2023-05-01/organized/code/x.py",
          "/a/nc-backups/old.txt", "/x/nc-2024-01-01/nc-2024-02-02/ORGANIZED/notes/a.md", "rel/file",
          "/a/b/_info.json", "/a/b/manifest.json", "/a/b/.hidden", "/a/b/x.gitignore", "/a/b/readme.TXT",
          "/a/b/img.png", "/a/b/archive.tar.gz", "/a/organized", "/a/b/noext"]
