@@ -1,5 +1,4 @@
-"""Python-worker functions: character difference (P19), unified diff (P20) and
-q-gram profiles for the prefix filter.
+"""Python-worker functions: character difference (P19) and unified diff (P20).
 
 These are the only places where per-row Python runs. They are Arrow-batched
 and are applied to *pruned candidate pairs* only, never to all pairs.
@@ -57,57 +56,6 @@ def char_diff(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([char_diff_py(x or "", y or "") for x, y in zip(a, b)], dtype="int32")
 
 
-def gram_profile_py(text: str, q: int) -> dict:
-    """Distinct q-grams of ``text`` (code points) with their counts.
-
-    Texts shorter than q give no grams."""
-    if not text or len(text) < q:
-        return {}
-    if q == 1:
-        return dict(Counter(text))
-    return dict(Counter(text[i:i + q] for i in range(len(text) - q + 1)))
-
-
-GRAM_TYPE = T.MapType(T.StringType(), T.IntegerType())
-
-
-def gram_profile_udf(q: int):
-    @F.pandas_udf(GRAM_TYPE)
-    def profile(texts: pd.Series) -> pd.Series:
-        return pd.Series([gram_profile_py(t, q) for t in texts])
-
-    return profile
-
-
-def prefix_keys_py(text: str, q: int, size: int, order: dict) -> list[str]:
-    """The first ``size`` numbered q-grams of ``text`` in the global order
-    (order.get(gram, 0), gram); a numbered gram is written 'occ:gram'."""
-    prof = gram_profile_py(text, q)
-    if not prof or size <= 0:
-        return []
-    items = sorted(prof.items(), key=lambda kv: (order.get(kv[0], 0), kv[0]))
-    keys: list[str] = []
-    need = size
-    for gram, count in items:
-        take = min(count, need)
-        keys.extend(f"{occ}:{gram}" for occ in range(1, take + 1))
-        need -= take
-        if need <= 0:
-            break
-    return keys
-
-
-def prefix_udf(q: int, order_bc):
-    """Arrow UDF (text, size) → prefix keys, with the order broadcast once."""
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def prefix(texts: pd.Series, sizes: pd.Series) -> pd.Series:
-        order = order_bc.value
-        return pd.Series([prefix_keys_py(t, q, int(n), order) for t, n in zip(texts, sizes)])
-
-    return prefix
-
-
 def unified_diff_lines(a: str, b: str, from_name: str, to_name: str, n: int = 3) -> list[str]:
     """P20: unified line diff of two normalised texts (lines keep their ends)."""
     return list(difflib.unified_diff(

@@ -14,15 +14,15 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import text as T
+from ..functions.chunks import chunk_hashes, chunk_plan
+from ..functions.threshold import ThresholdCurve
+from ..session import broadcast_if_small
 
-SESSION_BROADCAST_ROWS = 1_000_000
 
-
-def with_fingerprint(docs: DataFrame, text_col: str = "text", bags: bool = False) -> DataFrame:
+def with_fingerprint(docs: DataFrame, text_col: str = "text", chunks: ThresholdCurve | None = None) -> DataFrame:
     """Add ``norm`` (P1), ``n_len`` (code points), ``content_hash`` (P2) and
-    ``is_blank`` (P11); with ``bags`` also the character multiset of the
-    normalised text as ``bag_keys`` / ``bag_counts`` (computed here, in the
-    scan's tasks, where the work is spread over the input splits)."""
+    ``is_blank`` (P11); with a curve in ``chunks`` also ``chunk_width`` and
+    ``chunks``, by which the near join finds the text."""
     out = (
         docs.withColumn("norm", T.normalize_text(text_col))
         .withColumn("n_len", F.length("norm"))
@@ -30,13 +30,11 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", bags: bool = False
         # a missing text counts as blank (skipped), like an unreadable file
         .withColumn("is_blank", F.coalesce(T.is_blank("norm"), F.lit(True)))
     )
-    if bags:
-        from ..functions.chardiff import gram_profile_udf
-
-        out = (out.withColumn("_bag", gram_profile_udf(1)(F.col("norm")))
-               .withColumn("bag_keys", F.map_keys("_bag"))
-               .withColumn("bag_counts", F.map_values("_bag"))
-               .drop("_bag"))
+    if chunks is not None:
+        out = (out.withColumn("_plan", chunk_plan(F.col("n_len"), chunks))
+               .withColumn("chunk_width", F.col("_plan.width"))
+               .withColumn("chunks", chunk_hashes(F.col("norm"), F.col("_plan")))
+               .drop("_plan"))
     return out
 
 
@@ -55,11 +53,10 @@ def index_scope(history: DataFrame) -> DataFrame:
     flagged = history.withColumn("_org", is_org).withColumn("_win", is_win)
     flags = flagged.groupBy("session_id").agg(F.max(F.col("_org").cast("int")).alias("_has_org"),
                                               F.max(F.col("_win").cast("int")).alias("_has_win"))
-    # One row per session: broadcast it when the measured row count is small,
-    # so the text-carrying side is not shuffled; otherwise a shuffle join
-    # (AQE splits a skewed session partition).
-    if flags.count() <= SESSION_BROADCAST_ROWS:
-        flags = F.broadcast(flags)
+    # One row per session, about 100 bytes: by far the smaller side. It is
+    # broadcast behind a check of its bytes, so texts are not shuffled;
+    # otherwise a shuffle join (AQE splits a skewed session partition).
+    flags = broadcast_if_small(flags)
     keep = (
         F.when(F.col("_has_org") == 1, F.col("_org"))
         .when(F.col("_has_win") == 1, F.col("_win"))
@@ -97,9 +94,9 @@ def hash_summary(members: DataFrame) -> DataFrame:
     """
     has_text = "norm" in members.columns
     has_len = "n_len" in members.columns
-    has_bags = "bag_keys" in members.columns
+    has_chunks = "chunks" in members.columns
     extra = ([F.col("norm")] if has_text else []) + ([F.col("n_len")] if has_len else []) + \
-        ([F.col("bag_keys"), F.col("bag_counts")] if has_bags else [])
+        ([F.col("chunk_width"), F.col("chunks")] if has_chunks else [])
     first = F.min(F.struct(index_order_key().alias("pos"), *extra)).alias("_first")
     canon = F.min(F.struct(canonical_key().alias("key"), F.col("path"), F.col("session_id"))).alias("_canon")
     g = members.groupBy("content_hash").agg(F.count(F.lit(1)).alias("n_members"), first, canon)
@@ -115,8 +112,8 @@ def hash_summary(members: DataFrame) -> DataFrame:
         cols += [F.col("_first.norm").alias("norm")]
     if has_len:
         cols += [F.col("_first.n_len").alias("n_len")]
-    if has_bags:
-        cols += [F.col("_first.bag_keys").alias("bag_keys"), F.col("_first.bag_counts").alias("bag_counts")]
+    if has_chunks:
+        cols += [F.col("_first.chunk_width").alias("chunk_width"), F.col("_first.chunks").alias("chunks")]
     return g.select(*cols)
 
 

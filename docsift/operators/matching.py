@@ -5,23 +5,25 @@
     new_path, status (exact | near | new | skipped), canonical_path,
     char_diff, session_dir, new_hash, canonical_hash
 
-Plan shape: fingerprint both sides once (normalised text, hash, length and
-character bag, all in the scan's projection); the history collapses to one
-row per hash carrying metadata only (partial aggregation, no texts); exact
+Plan shape: fingerprint both sides (normalised text, hash, length and chunk
+hashes, all JVM expressions in the scan's projection); the history collapses to
+one row per hash carrying metadata only (partial aggregation, no texts); exact
 matches are a hash equi-join; only the remaining *distinct* new texts enter
 the near join, so duplicated new texts are compared once. Candidate texts are
-read again only for the pairs that survive the cheap bounds. The result of
+read again only for the pairs that share enough chunks. The result of
 the near join is joined back by hash.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import session_of_path
 from ..functions.threshold import DEFAULT_CURVE, FuzzyPolicy, ThresholdCurve
+from ..session import scratch_path
 from .index import hash_summary, with_fingerprint
 from .nearjoin import near_matches
 
@@ -29,61 +31,62 @@ RESULT_COLUMNS = ["new_path", "status", "canonical_path", "char_diff", "session_
                   "new_hash", "canonical_hash"]
 
 
-def history_index(history: DataFrame, with_text: bool = True, fuzzy: bool | None = None) -> DataFrame:
+def history_index(history: DataFrame, with_text: bool = True, curve: ThresholdCurve | None = None) -> DataFrame:
     """Fingerprint historical documents and collapse them per hash.
 
-    ``fuzzy`` (default: ``with_text``) adds the length and character bag the
-    near join needs; ``with_text`` also carries the normalised text. The
-    compare passes ``with_text=False``: texts stay in the scan and only the
-    few verified candidates are read again."""
-    fuzzy = with_text if fuzzy is None else fuzzy
-    fp = with_fingerprint(history, bags=fuzzy)
+    A ``curve`` adds the length and the chunks the near join needs;
+    ``with_text`` also carries the normalised text. The compare passes
+    ``with_text=False``: texts stay in the scan and only those of candidate
+    pairs are read again."""
+    fp = with_fingerprint(history, chunks=curve)
     cols = ["content_hash", "path", "session_id", "session_order", "ctime"]
-    extra = (["n_len", "bag_keys", "bag_counts"] if fuzzy else []) + (["norm"] if with_text else [])
+    extra = (["n_len", "chunk_width", "chunks"] if curve else []) + (["norm"] if with_text else [])
     return hash_summary(fp.select(*cols, *extra))
 
 
+def pending_texts(new: DataFrame, idx: DataFrame, policy: FuzzyPolicy) -> DataFrame:
+    """key, text, len of the distinct new texts that have no exact match and
+    pass the size gate."""
+    live = new.filter(~F.col("is_blank")).join(idx.select("content_hash"), "content_hash", "left_anti")
+    return live.filter(policy.size_ok("n_len")).groupBy(F.col("content_hash").alias("key")).agg(
+        F.first("norm").alias("text"), F.first("n_len").alias("len"))
+
+
+def candidate_texts(idx: DataFrame, policy: FuzzyPolicy) -> DataFrame:
+    """The index entries that can be near matches, in the near join's names."""
+    return idx.filter((F.col("n_len") > 0) & policy.size_ok("n_len")) \
+        .withColumnsRenamed({"content_hash": "key", "n_len": "len", "norm": "text"})
+
+
 def classify(new_docs: DataFrame, history: DataFrame, fuzzy="small",
-             curve: ThresholdCurve = DEFAULT_CURVE, method: str = "auto", cache: bool = True,
+             curve: ThresholdCurve = DEFAULT_CURVE, method: str = "chunk",
              observations: dict | None = None) -> DataFrame:
     """Every new document gets exactly one of exact / near / new / skipped.
 
     ``new_docs`` needs path and text; ``history`` needs path, text, session_id,
     session_order and ctime (already scoped, see ``index_scope``).
 
-    With fuzzy matching on, the fingerprinted new side and the history index
-    are each used by the exact join, the near-join planning step and the near
-    join; ``cache`` persists them (memory, spilling to disk) so the
-    normalisation runs once. A lost cache block is recomputed from lineage.
-    ``observations`` (see ``nearjoin.funnel_observations``) receives the pair
-    counts of each near-join stage once the result is computed.
+    Without fuzzy matching the result is lazy. With it, the history index and
+    then the candidate pairs are written below ``spark.checkpoint.dir`` when
+    this is called: several joins read them, and a lost executor costs no more
+    than its own tasks. ``observations`` (see ``nearjoin.funnel_observations``)
+    receives the pair counts of each near-join stage.
     """
     policy = FuzzyPolicy.parse(fuzzy)
-    new = with_fingerprint(new_docs.select("path", "text"), bags=policy.enabled).drop("text")
-    idx = history_index(history, with_text=False, fuzzy=policy.enabled)
-    if cache and policy.enabled:
-        new = new.persist(StorageLevel.MEMORY_AND_DISK)
-        idx = idx.persist(StorageLevel.MEMORY_AND_DISK)
+    new = with_fingerprint(new_docs.select("path", "text")).drop("text")
+    idx = history_index(history, with_text=False, curve=curve if policy.enabled else None)
+    if policy.enabled:
+        at = scratch_path(history.sparkSession, f"index/{uuid.uuid4().hex[:12]}")
+        idx.write.parquet(at)
+        idx = history.sparkSession.read.parquet(at)
 
     canon = idx.select(
         "content_hash", "canonical_path", "canonical_session")
-    live = new.filter(~F.col("is_blank"))
 
     near = None
     if policy.enabled:
-        # Distinct non-exact texts that pass the size gate.
-        pending = (
-            live.join(canon.select("content_hash"), "content_hash", "left_anti")
-            .filter(policy.size_ok("n_len"))
-            .groupBy("content_hash")
-            .agg(F.first("norm").alias("text"), F.first("n_len").alias("len"),
-                 F.first("bag_keys").alias("bag_keys"), F.first("bag_counts").alias("bag_counts"))
-            .withColumnRenamed("content_hash", "key")
-        )
-        cand_all = idx.filter((F.col("n_len") > 0) & policy.size_ok("n_len"))
-        cand = cand_all.select(F.col("content_hash").alias("key"), F.col("n_len").alias("len"),
-                               "bag_keys", "bag_counts", "first_path")
-        order = cand_all.select(F.col("content_hash").alias("cand_key"), "first_pos")
+        pending, cand = pending_texts(new, idx, policy), candidate_texts(idx, policy)
+        order = cand.select(F.col("key").alias("cand_key"), "first_pos")
         best = near_matches(pending, cand, order, curve, method, observations,
                             cand_source=history.select("path", "text"))
         near = best.join(

@@ -7,174 +7,68 @@ A pair (new text x, candidate y) is a near match when
     d(x, y) <= k,  k = min(T(|x|), T(max(|x|,|y|)))          (two thresholds)
 
 with d = max length - matched characters of difflib's matching blocks. The
-matching blocks are an order-preserving common subsequence, so the indel
-distance is at most 2d - |Δ| <= 2k, and every indel destroys at most q q-grams.
-That gives three lossless candidate generators, all plain equi-joins:
-
-* ``q3``  every text keeps its 6U+1 rarest numbered trigrams (U bounds k for any
-          partner); a qualifying pair shares one whenever the longer text has
-          more than 6U trigrams (prefix filtering, Ukkonen's q-gram lemma).
-* ``q1``  texts up to M1 characters (those where the trigram bound can fail)
-          keep their U+1 rarest numbered characters; covers pairs with L > k.
-* ``len`` texts up to M0 characters (pairs with L <= k may share nothing) are
-          joined on exact length.
-
-Together these form the 'prefix' generator. 'band' (equi-join on candidate
-length within the band) and 'ratio' (every pair inside the 2x ratio, the
-unpruned plan) are the alternatives; 'auto' takes the band join while its
-exactly counted size stays linear.
-
-Gram rarity is a global order (estimated document frequency, then gram) from
-a bounded sample; rarest first keeps hot grams out of prefixes, and any order
-is lossless. Prefixes are picked inside an Arrow UDF per text. After the
-generators come the exact cheap predicates, a character-bag bound in the JVM,
-and the exact bounded matcher (``functions.blocks``) on the survivors only.
+matching blocks are an order-preserving common subsequence, so x and y differ
+by at most 2d - |Δ| <= 2k insertions and deletions. That gives one lossless
+generator (``functions.chunks``): y is cut into chunks, and all but 2k - |Δ| of
+them stand in x within k places. Chunks meet x's windows in an equi-join on
+their hash, and a pair goes on when enough of them met. Texts too short to
+keep a chunk whole (a handful of characters) are joined on their length.
+
+'band' (equi-join on candidate length within the band) and 'ratio' (every pair
+inside the 2x ratio, the unpruned plan) serve the bench and the tests.
+
+All of it runs in the JVM. After the generator come the exact cheap predicates;
+only then the texts of the remaining pairs are read and go to the exact bounded
+matcher (``functions.blocks``).
 """
 
 from __future__ import annotations
 
-import functools
+import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.chardiff import bounded_char_diff, gram_profile_udf, prefix_udf
+from ..functions.chardiff import bounded_char_diff
+from ..functions.chunks import partner_plans, window_hashes
 from ..functions.threshold import DEFAULT_CURVE, ThresholdCurve
-
-SCAN_LIMIT = 200_000
-
-
-@functools.lru_cache(maxsize=8)
-def tier_limits(curve: ThresholdCurve = DEFAULT_CURVE, q: int = 3) -> tuple[int, int]:
-    """(M0, M1): longest text that can match with zero shared characters, and
-    longest text whose q-gram prefix guarantee can fail in either role."""
-    m0 = 0
-    m1 = 0
-    for n in range(1, SCAN_LIMIT + 1):
-        t = curve.allowed(n)
-        if n <= t:
-            m0 = n
-        u = max(t, curve.partner_bound_py(n))
-        if n - q + 1 <= 2 * q * u:
-            m1 = n
-    # Beyond the scan the curve (a > 0: O(ln^2 n)) is far below n / 6.
-    if m1 >= SCAN_LIMIT - 1 or m0 >= SCAN_LIMIT - 1:
-        raise ValueError("threshold curve too generous for the prefix filter")
-    return m0, m1
-
-
-def _bounds(df: DataFrame, role: str, curve: ThresholdCurve) -> DataFrame:
-    """Attach U (bound of k for any partner) by role."""
-    u = curve.column("len") if role == "new" else curve.partner_bound("len")
-    return df.withColumn("U", u.cast("int"))
-
-
-# Gram order. Prefix filtering is exact under *any* global order of the
-# numbered grams; rarer-first only makes it selective. Document frequencies
-# are therefore estimated on a bounded sample of the texts, and only the most
-# frequent grams are kept: the table that is broadcast has a proven size
-# bound, grams outside it sort first (as rare), and no result depends on it.
-ORDER_SAMPLE_CHARS = 4_000_000    # characters of text sampled for frequencies (floor)
-ORDER_SAMPLE_SHARE = 1e-5         # ... growing with the corpus
-ORDER_SAMPLE_MAX = 2_000_000_000  # ... up to this many characters
-ORDER_MAX_GRAMS = 500_000         # entries kept (most frequent first)
-BAND_BUCKET = 32                  # length bucket width of the pair join key
-
-
-def gram_orders(docs: DataFrame, qs: tuple[int, ...], total_chars: int, seed: int = 17) -> dict[int, dict]:
-    """For every q: gram → estimated document frequency, at most
-    ORDER_MAX_GRAMS entries each, from one pass over a bounded sample.
-
-    Each partition counts document frequencies locally (a map-side combine
-    in the worker), so only (q, gram, partial count) rows are shuffled."""
-    budget = min(ORDER_SAMPLE_MAX, max(ORDER_SAMPLE_CHARS, int(total_chars * ORDER_SAMPLE_SHARE)))
-    frac = min(1.0, budget / max(total_chars, 1))
-    sample = docs.select("text") if frac >= 1.0 else docs.select("text").sample(fraction=frac, seed=seed)
-
-    def partial(batches):
-        import pandas as pd
-
-        from ..functions.chardiff import gram_profile_py
-
-        counts: dict = {}
-        for pdf in batches:
-            for t in pdf["text"]:
-                for q in qs:
-                    for g in gram_profile_py(t, q):
-                        counts[(q, g)] = counts.get((q, g), 0) + 1
-        yield pd.DataFrame({"q": pd.Series([k[0] for k in counts], dtype="int32"),
-                            "gram": pd.Series([k[1] for k in counts], dtype="object"),
-                            "n": pd.Series(list(counts.values()), dtype="int64")})
-
-    agg = sample.mapInPandas(partial, "q int, gram string, n long").groupBy("q", "gram").agg(
-        F.sum("n").alias("df"))
-    ranked = agg.withColumn("r", F.row_number().over(
-        Window.partitionBy("q").orderBy(F.col("df").desc(), F.col("gram"))))
-    out: dict[int, dict] = {q: {} for q in qs}
-    for r in ranked.filter(F.col("r") <= ORDER_MAX_GRAMS).select("q", "gram", "df").collect():
-        out[r["q"]][r["gram"]] = int(r["df"])
-    return out
-
-
-class _Value:
-    """Stand-in for a broadcast variable where none is available."""
-
-    def __init__(self, value):
-        self.value = value
-
-
-def _share(spark, value):
-    """Broadcast the (size-capped) order table; on sessions without a
-    SparkContext (Spark Connect) it travels in the UDF closure instead."""
-    try:
-        return spark.sparkContext.broadcast(value)
-    except Exception:  # noqa: BLE001 - no SparkContext on this session
-        return _Value(value)
-
-
-def _prefix_keys(docs: DataFrame, q: int, prefix_len, order_bc) -> DataFrame:
-    """(role, key, len, U, g): the first P numbered grams of every text in the
-    global (estimated df, gram) order, selected inside the Arrow UDF, so no
-    per-gram rows exist before the pair join."""
-    return docs.select("role", "key", "len", "U",
-                       F.explode(prefix_udf(q, order_bc)(F.col("text"), prefix_len)).alias("g"))
-
-
-def _band_buckets(curve: ThresholdCurve) -> F.Column:
-    """Length buckets a new text of length ``len`` can pair with."""
-    t = curve.column("len")
-    lo = F.greatest(F.col("len") - t, F.ceil(F.col("len") / 2).cast("int"), F.lit(1))
-    hi = F.least(F.col("len") + t, F.col("len") * 2)
-    return F.sequence((lo / BAND_BUCKET).cast("int"), (hi / BAND_BUCKET).cast("int"))
-
-
-def _prefix_pairs(docs: DataFrame, q: int, prefix_len, order_bc, curve: ThresholdCurve,
-                  cand_keys: DataFrame | None = None) -> DataFrame:
-    # roles are split before the UDF so every text is profiled once
-    pn = _prefix_keys(docs.filter(F.col("role") == "new"), q, prefix_len, order_bc)
-    pc = _prefix_keys(docs.filter(F.col("role") == "cand"), q, prefix_len, order_bc)
-    if cand_keys is not None:
-        # keys came from every raw document: copies of one text give the same
-        # rows, and texts outside the candidate set (gated, out of scope) go
-        pc = pc.dropDuplicates(["key", "g"]).join(cand_keys, "key", "left_semi")
-    a = pn.select(
-        F.col("key").alias("new_key"), F.col("len").alias("n_len"), "g",
-        F.explode(_band_buckets(curve)).alias("b"))
-    b = pc.select(
-        F.col("key").alias("cand_key"), F.col("len").alias("c_len"), "g",
-        (F.col("len") / BAND_BUCKET).cast("int").alias("b"))
-    return a.join(b, ["g", "b"]).select("new_key", "cand_key", "n_len", "c_len")
-
-
-def _length_pairs(new: DataFrame, cand: DataFrame, max_len: int) -> DataFrame:
-    """Pairs of texts up to ``max_len`` characters within the ratio gate,
-    joined on exact candidate length."""
-    n = new.filter(F.col("len") <= max_len).select(
-        F.col("key").alias("new_key"), F.col("len").alias("n_len"),
-        F.explode(F.sequence(F.ceil(F.col("len") / 2).cast("int"),
-                             F.least(F.col("len") * 2, F.lit(max_len)).cast("int"))).alias("c_len"))
-    c = cand.filter(F.col("len") <= max_len).select(F.col("key").alias("cand_key"), F.col("len").alias("c_len"))
-    return n.join(c, "c_len").select("new_key", "cand_key", "n_len", "c_len")
+from ..session import scratch_path
+
+
+def _new_windows(new: DataFrame, curve: ThresholdCurve) -> DataFrame:
+    """(new_key, n_len, t, plans, text) → one row per window of every width
+    that a partner's chunks can have: new_key, n_len, t, h, at."""
+    width = F.explode(F.array_distinct(F.filter(F.col("plans")["width"], lambda w: w > 0)))
+    reach = F.array_max(F.col("plans")["reach"])
+    w = new.select("new_key", "n_len", "t", "text", reach.alias("reach"), width.alias("width"))
+    last = F.least(F.col("n_len"), F.col("reach") + F.col("t")) - F.col("width")
+    head = F.substring("text", F.lit(1), F.col("reach") + F.col("t"))
+    w = w.select("new_key", "n_len", "t", head.alias("head"), "width", last.cast("int").alias("last"))
+    return w.select("new_key", "n_len", "t", F.posexplode(window_hashes(F.col("head"), F.col("width"), F.col("last"))).alias("at", "h"))
+
+
+def chunk_pairs(new: DataFrame, cand: DataFrame, curve: ThresholdCurve = DEFAULT_CURVE) -> DataFrame:
+    """Pairs that share as many chunks as a match must, each once."""
+    keyed = new.select(F.unhex("key").alias("new_key"), F.col("len").alias("n_len"), "text",
+                       curve.column("len").alias("t"))
+    keyed = keyed.withColumn("plans", partner_plans(F.col("n_len"), F.col("t"), curve))
+    c = cand.select(F.unhex("key").alias("cand_key"), F.col("len").alias("c_len"), "chunk_width", "chunks")
+
+    rows = c.select("cand_key", "c_len", "chunk_width", F.size("chunks").alias("n_chunks"),
+                    F.posexplode("chunks").alias("i", "h"))
+    met = _new_windows(keyed, curve).join(rows, "h").filter(
+        (F.abs(F.col("at") - F.col("i") * F.col("chunk_width")) <= F.col("t"))
+        & (F.abs(F.col("n_len") - F.col("c_len")) <= F.col("t")))
+    met = met.groupBy("new_key", "cand_key", "n_len", "c_len", "n_chunks").agg(F.count(F.lit(1)).alias("met"))
+    most_spoilt = F.col("k") * 2 - F.abs(F.col("n_len") - F.col("c_len"))
+    enough = pair_filter(met, curve).filter(F.col("met") >= F.col("n_chunks") - most_spoilt)
+
+    # candidates too short for a chunk: by their exact length
+    short = keyed.select("new_key", "n_len", F.explode(
+        F.transform(F.filter("plans", lambda p: p["width"] == 0), lambda p: p["len"])).alias("c_len"))
+    short = short.join(c.filter(F.size("chunks") == 0).select("cand_key", "c_len"), "c_len")
+    cols = [F.lower(F.hex("new_key")).alias("new_key"), F.lower(F.hex("cand_key")).alias("cand_key"), "n_len", "c_len"]
+    return enough.select(*cols).unionByName(short.select(*cols))
 
 
 def band_pairs(new: DataFrame, cand: DataFrame, curve: ThresholdCurve = DEFAULT_CURVE) -> DataFrame:
@@ -212,164 +106,59 @@ def pair_filter(pairs: DataFrame, curve: ThresholdCurve = DEFAULT_CURVE) -> Data
     )
 
 
-# 'auto' takes the length-band join while it stays linear in size: at most
-# this many band pairs per input text on average; beyond it the q-gram prefix
-# join, whose size does not depend on how densely lengths are populated.
-BAND_PAIRS_PER_TEXT = 64
-
-
-def band_stats(new: DataFrame, cand: DataFrame, curve: ThresholdCurve = DEFAULT_CURVE) -> tuple[int, int, int]:
-    """(band pairs, input texts), exactly, from the two length histograms (one
-    row per distinct length) in a single job, without forming any pair."""
-    nh = new.groupBy("len").agg(F.count(F.lit(1)).alias("nn"))
-    ch = cand.groupBy(F.col("len").alias("c_len")).agg(F.count(F.lit(1)).alias("cn"))
-    t = curve.column("len")
-    ne = nh.select("nn", F.explode(F.sequence(
-        F.greatest(F.col("len") - t, F.ceil(F.col("len") / 2).cast("int"), F.lit(1)),
-        F.least(F.col("len") + t, F.col("len") * 2))).alias("c_len"))
-    parts = (ne.join(ch, "c_len").select(F.lit("pairs").alias("k"), (F.col("nn") * F.col("cn")).alias("v"))
-             .unionByName(nh.select(F.lit("texts").alias("k"), F.col("nn").alias("v")))
-             .unionByName(ch.select(F.lit("texts").alias("k"), F.col("cn").alias("v")))
-             .unionByName(nh.select(F.lit("chars").alias("k"), (F.col("nn") * F.col("len")).alias("v")))
-             .unionByName(ch.select(F.lit("chars").alias("k"), (F.col("cn") * F.col("c_len")).alias("v"))))
-    got = {r["k"]: int(r["v"] or 0) for r in parts.groupBy("k").agg(F.sum("v").alias("v")).collect()}
-    return got.get("pairs", 0), got.get("texts", 0), got.get("chars", 0)
-
-
-def choose_method(new: DataFrame, cand: DataFrame, curve: ThresholdCurve = DEFAULT_CURVE) -> tuple[str, int]:
-    """('band' | 'prefix', total characters of both sides)."""
-    pairs, texts, chars = band_stats(new, cand, curve)
-    return ("band" if pairs <= BAND_PAIRS_PER_TEXT * max(texts, 1) else "prefix"), chars
-
-
-def candidate_pairs(new: DataFrame, cand: DataFrame, curve: ThresholdCurve = DEFAULT_CURVE,
-                    method: str = "auto", cand_source: DataFrame | None = None) -> DataFrame:
-    """Candidate pairs (new_key, cand_key, n_len, c_len, k).
-
-    ``new`` has columns key, text (normalised), len; ``cand`` has key, len and
-    either text or, with ``cand_source`` (raw documents: path, text), none:
-    its prefix keys are then computed map-side from the source. ``method`` is
-    'auto' (band join while it is linear-size, else prefix), 'prefix'
-    (q-gram prefix filter), 'band' (length band only) or 'ratio' (every pair
-    inside the 2x ratio, the unpruned plan). All are exact after
-    ``pair_filter``; they differ in how many pairs reach it.
-    """
-    raw = raw_pairs(new, cand, curve, method, cand_source)
-    return pair_filter(raw.dropDuplicates(["new_key", "cand_key"]), curve)
-
-
-def _source_docs(cand: DataFrame, cand_source: DataFrame, curve: ThresholdCurve) -> DataFrame:
-    """Candidate texts straight from the raw documents, keyed by content
-    hash, as (role, key, len, U, text) rows. Only projections: nothing is
-    shuffled here; rows of texts outside ``cand`` drop out after the prefix
-    keys are computed (see ``_prefix_pairs``)."""
-    from .index import with_fingerprint
-
-    fp = with_fingerprint(cand_source.select("path", "text"))
-    rows = fp.filter(~F.col("is_blank")).select(
-        F.lit("cand").alias("role"), F.col("content_hash").alias("key"), F.col("n_len").alias("len"),
-        F.col("norm").alias("text"))
-    return _bounds(rows, "cand", curve)
-
-
 def raw_pairs(new: DataFrame, cand: DataFrame, curve: ThresholdCurve = DEFAULT_CURVE,
-              method: str = "auto", cand_source: DataFrame | None = None) -> DataFrame:
-    """Generator output before the exact predicates (may repeat a pair)."""
-    total_chars = None
-    if method == "auto":
-        method, total_chars = choose_method(new, cand, curve)
+              method: str = "chunk") -> DataFrame:
+    """Generator output before the exact predicates, each pair once."""
+    if method == "chunk":
+        return chunk_pairs(new, cand, curve)
     if method == "band":
-        raw = band_pairs(new, cand, curve)
-    elif method == "ratio":
-        raw = ratio_pairs(new, cand)
-    elif method == "prefix":
-        m0, m1 = tier_limits(curve)
-        new_docs = _bounds(new.withColumn("role", F.lit("new")), "new", curve)
-        if "text" in cand.columns:
-            cand_docs, cand_keys = _bounds(cand.withColumn("role", F.lit("cand")), "cand", curve), None
-        else:
-            cand_docs, cand_keys = _source_docs(cand, cand_source, curve), cand.select("key")
-        cols = ["role", "key", "len", "U", "text"]
-        docs = new_docs.select(*cols).unionByName(cand_docs.select(*cols))
-        total = total_chars if total_chars is not None else (docs.agg(F.sum("len")).collect()[0][0] or 0)
-        orders = gram_orders(docs, (3, 1), total)
-        o3, o1 = _share(new.sparkSession, orders[3]), _share(new.sparkSession, orders[1])
-        q3 = _prefix_pairs(docs.filter(F.col("len") >= 3), 3, F.col("U") * 6 + 1, o3, curve, cand_keys)
-        q1 = _prefix_pairs(docs.filter(F.col("len") <= m1), 1, F.col("U") + 1, o1, curve, cand_keys)
-        short = _length_pairs(new, cand, m0)
-        raw = q3.unionByName(q1).unionByName(short)
-    else:
-        raise ValueError(f"unknown candidate method {method!r}")
-    return raw
-
-
-def char_bags(docs: DataFrame) -> DataFrame:
-    """key → map of character counts: rebuilt in the JVM from the bag arrays
-    computed with the fingerprint when present, else computed here."""
-    if "bag_keys" in docs.columns:
-        return docs.select("key", F.map_from_arrays("bag_keys", "bag_counts").alias("bag"))
-    return docs.select("key", gram_profile_udf(1)(F.col("text")).alias("bag"))
-
-
-def bag_filter(pairs: DataFrame, new_bags: DataFrame, cand_bags: DataFrame) -> DataFrame:
-    """Keep pairs whose character-bag bound max(len) - Σ min(count) <= k.
-
-    Evaluated in the JVM with a higher-order aggregate over the smaller
-    bag; only survivors go on to the Python check."""
-    nb = new_bags.select(F.col("key").alias("new_key"), F.col("bag").alias("n_bag"))
-    cb = cand_bags.select(F.col("key").alias("cand_key"), F.col("bag").alias("c_bag"))
-    # The join on new_key needs this shuffle anyway; numbering it keeps AQE
-    # from folding a small-but-CPU-heavy pair table into one task.
-    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    j = pairs.repartition(n, "new_key").join(nb, "new_key").join(cb, "cand_key")
-    common = F.aggregate(
-        F.map_entries("n_bag"), F.lit(0),
-        lambda acc, e: acc + F.least(e["value"], F.coalesce(F.try_element_at("c_bag", e["key"]), F.lit(0))))
-    return j.filter(F.greatest("n_len", "c_len") - common <= F.col("k")).select(
-        "new_key", "cand_key", "n_len", "c_len", "k")
+        return band_pairs(new, cand, curve)
+    if method == "ratio":
+        return ratio_pairs(new, cand)
+    raise ValueError(f"unknown candidate method {method!r}")
 
 
-# Survivor texts are fetched with a broadcast join on path while at most this
-# many candidate texts are needed (a measured count); above it, a shuffle join.
-SURVIVOR_BROADCAST_ROWS = 200_000
-
-
-def _candidate_texts(survivors: DataFrame, cand: DataFrame, cand_source: DataFrame | None) -> DataFrame:
-    """cand_key → c_text for the candidates that survived the bounds."""
-    if "text" in cand.columns:
-        return cand.select(F.col("key").alias("cand_key"), F.col("text").alias("c_text"))
-    from ..functions.text import normalize_text
+def candidate_pairs(new: DataFrame, cand: DataFrame, curve: ThresholdCurve = DEFAULT_CURVE,
+                    method: str = "chunk") -> DataFrame:
+    """Candidate pairs (new_key, cand_key, n_len, c_len, k), each once.
 
-    needed = survivors.select("cand_key").distinct().join(
-        cand.select(F.col("key").alias("cand_key"), F.col("first_path").alias("path")), "cand_key")
-    if needed.count() <= SURVIVOR_BROADCAST_ROWS:
-        needed = F.broadcast(needed)
-    # only the matched documents are normalised again
-    texts = cand_source.select("path", "text").join(needed, "path").select(
-        "cand_key", normalize_text("text").alias("c_text"))
-    # a path can stand in the history in several versions: the key is the
-    # hash of the one that was meant
-    return texts.filter(F.sha2("c_text", 256) == F.col("cand_key")).dropDuplicates(["cand_key"])
+    ``new`` has columns key, text (normalised), len; ``cand`` has key, len,
+    chunk_width and chunks (see ``index.with_fingerprint``). Every method is
+    exact after verification; they differ in how many pairs reach it."""
+    return pair_filter(raw_pairs(new, cand, curve, method), curve)
 
 
 def verified_pairs(pairs: DataFrame, new: DataFrame, cand: DataFrame,
-                   observations: dict | None = None, cand_source: DataFrame | None = None) -> DataFrame:
-    """Character-bag bound in the JVM, then the bounded difflib check on
-    the survivors; keep diff <= k.
+                   cand_source: DataFrame | None = None) -> DataFrame:
+    """The bounded difflib check; keep diff <= k.
 
-    Without candidate texts in ``cand``, the survivors are materialised
-    (they are few) and their texts read from ``cand_source`` by path.
+    Candidate texts come from ``cand`` when it has them. Otherwise the pairs
+    are written out with the path of each candidate and the texts are read
+    from ``cand_source`` (path, text): the planner then knows the bytes of the
+    pairs and broadcasts their paths only where these are small.
 
     Output: new_key, cand_key, char_diff."""
-    survivors = _observe(bag_filter(pairs, char_bags(new), char_bags(cand)), observations, "bag_survivors")
-    if "text" not in cand.columns:
-        survivors = survivors.persist()
+    spark = pairs.sparkSession
+    if "text" in cand.columns:
+        ct = cand.select(F.col("key").alias("cand_key"), F.col("text").alias("c_text"))
+    else:
+        from ..functions.text import normalize_text
+
+        at = scratch_path(spark, f"near/{uuid.uuid4().hex[:12]}")
+        pairs.join(cand.select(F.col("key").alias("cand_key"), F.col("first_path").alias("path")), "cand_key") \
+            .write.parquet(at)
+        pairs = spark.read.parquet(at)
+        needed = pairs.select("cand_key", "path").distinct()
+        texts = cand_source.select("path", "text").join(needed, "path").select(
+            "cand_key", normalize_text("text").alias("c_text"))
+        # a path can stand in the history in several versions: the key is the
+        # hash of the one that was meant
+        ct = texts.filter(F.sha2("c_text", 256) == F.col("cand_key")).dropDuplicates(["cand_key"])
     nt = new.select(F.col("key").alias("new_key"), F.col("text").alias("n_text"))
-    ct = _candidate_texts(survivors, cand, cand_source)
-    with_text = survivors.join(nt, "new_key").join(ct, "cand_key")
-    # The survivors are few but each check is costly: spread them over
+    with_text = pairs.select("new_key", "cand_key", "k").join(nt, "new_key").join(ct, "cand_key")
+    # The pairs are few but each check is costly: spread them over
     # shuffle-partitions tasks (a numbered repartition is not coalesced by AQE).
-    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     with_text = with_text.repartition(n, "new_key", "cand_key")
     scored = with_text.select(
         "new_key", "cand_key",
@@ -388,7 +177,7 @@ def best_match(verified: DataFrame, cand_order: DataFrame) -> DataFrame:
                        F.col("_b.char_diff").alias("char_diff"))
 
 
-FUNNEL = ("candidates", "bag_survivors", "verified")
+FUNNEL = ("candidates", "verified")
 
 
 def funnel_observations() -> dict:
@@ -407,9 +196,9 @@ def _observe(df: DataFrame, observations: dict | None, name: str) -> DataFrame:
 
 
 def near_matches(new: DataFrame, cand: DataFrame, cand_order: DataFrame,
-                 curve: ThresholdCurve = DEFAULT_CURVE, method: str = "auto",
+                 curve: ThresholdCurve = DEFAULT_CURVE, method: str = "chunk",
                  observations: dict | None = None, cand_source: DataFrame | None = None) -> DataFrame:
     """J2 → J3 → J4, optionally counting the pairs at every stage."""
-    pairs = _observe(candidate_pairs(new, cand, curve, method, cand_source), observations, "candidates")
-    verified = verified_pairs(pairs, new, cand, observations, cand_source)
+    pairs = _observe(candidate_pairs(new, cand, curve, method), observations, "candidates")
+    verified = verified_pairs(pairs, new, cand, cand_source)
     return best_match(_observe(verified, observations, "verified"), cand_order)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.threshold import DEFAULT_CURVE, FuzzyPolicy, curve_from_conf
 from ..operators.index import hash_index, index_scope, index_stats, with_fingerprint
-from ..operators.matching import classify, compare_stats, history_index
+from ..operators.matching import candidate_texts, classify, compare_stats, history_index, pending_texts
 from ..operators.nearjoin import candidate_pairs
 from ..sources.tables import INVENTORY_SQL, inventory
 from . import sqlfrag as S
@@ -26,7 +26,7 @@ def sides(spark: SparkSession, sf_dir: str, scope: str = "reference"):
     return inv.filter(F.col("is_current")), hist
 
 
-def compare(spark: SparkSession, sf_dir: str, fuzzy="small", method: str = "auto",
+def compare(spark: SparkSession, sf_dir: str, fuzzy="small", method: str = "chunk",
             scope: str = "reference") -> DataFrame:
     new, hist = sides(spark, sf_dir, scope)
     return classify(new, hist, fuzzy, curve_from_conf(spark), method)
@@ -81,19 +81,9 @@ def q_compare_all_history(spark, sf_dir):
 
 def _near_inputs(spark, sf_dir, policy: FuzzyPolicy, with_text: bool = True):
     new, hist = sides(spark, sf_dir)
-    idx = history_index(hist, with_text=with_text, fuzzy=True)
+    idx = history_index(hist, with_text=with_text, curve=DEFAULT_CURVE)
     fp = with_fingerprint(new.select("path", "text"))
-    pending = (
-        fp.filter(~F.col("is_blank"))
-        .join(idx.select("content_hash"), "content_hash", "left_anti")
-        .filter(policy.size_ok("n_len"))
-        .groupBy("content_hash").agg(F.first("norm").alias("text"), F.first("n_len").alias("len"))
-        .withColumnRenamed("content_hash", "key")
-    )
-    cand = idx.filter((F.col("n_len") > 0) & policy.size_ok("n_len")).select(
-        F.col("content_hash").alias("key"), F.col("n_len").alias("len"),
-        *([F.col("norm").alias("text")] if with_text else []))
-    return pending, cand
+    return pending_texts(fp, idx, policy), candidate_texts(idx, policy)
 
 
 def q_near_candidates(spark, sf_dir):

@@ -12,7 +12,8 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings the library relies on; applied only when the session has no value.
 _DEFAULTS = {
@@ -54,6 +55,17 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+BROADCAST_BYTES = 64 << 20
+
+
+def broadcast_if_small(side: DataFrame) -> DataFrame:
+    """``side`` marked for broadcast when its measured bytes allow it, else as
+    it is (a shuffle join). The measuring reads ``side`` once."""
+    row_bytes = sum((F.coalesce(F.octet_length(F.col(f.name).cast("string")), F.lit(0)) + 16 for f in side.schema), F.lit(0))
+    size = side.agg(F.sum(row_bytes.cast("long"))).first()[0] or 0
+    return F.broadcast(side) if size <= BROADCAST_BYTES else side
+
+
 _SHIPPED: set[str] = set()
 
 

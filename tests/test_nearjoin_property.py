@@ -54,62 +54,27 @@ def test_all_methods_equal_brute_force(spark):
             [(f"new/t{i}.txt", t) for i, t in enumerate(new)],
             [(f"nc-2024-01-{1 + i % 9:02d}__00-00-00/window01/t{i}.txt", t, -(i % 9), i)
              for i, t in enumerate(hist)])
-        for method in ("prefix", "band", "ratio", "auto"):
+        for method in ("chunk", "band", "ratio"):
             got = {r.new_path: (r.status, r.canonical_path, r.char_diff, r.canonical_hash)
                    for r in classify(n, h, "small", method=method).collect()}
             assert got == expect, (seed, method)
         assert any(v[0] == "near" for v in expect.values())
 
 
-def test_prefix_exact_under_poor_gram_order(spark, monkeypatch):
-    """The gram order only steers selectivity: a tiny frequency sample and a
-    five-entry order table must give the same result."""
-    import docsift.operators.nearjoin as NJ
-
-    monkeypatch.setattr(NJ, "ORDER_SAMPLE_CHARS", 1000)
-    monkeypatch.setattr(NJ, "ORDER_MAX_GRAMS", 5)
-    hist, new = _corpus(7)
-    h, n = _frames(spark, hist, new)
-    expect = brute_compare(
-        [(f"new/t{i}.txt", t) for i, t in enumerate(new)],
-        [(f"nc-2024-01-{1 + i % 9:02d}__00-00-00/window01/t{i}.txt", t, -(i % 9), i)
-         for i, t in enumerate(hist)])
-    got = {r.new_path: (r.status, r.canonical_path, r.char_diff, r.canonical_hash)
-           for r in classify(n, h, "small", method="prefix").collect()}
-    assert got == expect
-
-
-def test_survivor_texts_by_shuffle_join(spark, monkeypatch):
-    """Above the broadcast limit the survivors' texts come through a shuffle
-    join; the result must not change."""
-    import docsift.operators.nearjoin as NJ
-
-    monkeypatch.setattr(NJ, "SURVIVOR_BROADCAST_ROWS", 0)
-    hist, new = _corpus(11)
-    h, n = _frames(spark, hist, new)
-    expect = brute_compare(
-        [(f"new/t{i}.txt", t) for i, t in enumerate(new)],
-        [(f"nc-2024-01-{1 + i % 9:02d}__00-00-00/window01/t{i}.txt", t, -(i % 9), i)
-         for i, t in enumerate(hist)])
-    for method in ("band", "prefix"):
-        got = {r.new_path: (r.status, r.canonical_path, r.char_diff, r.canonical_hash)
-               for r in classify(n, h, "small", method=method).collect()}
-        assert got == expect, method
-
-
-def test_prefix_exact_for_other_curves(spark):
-    """Tier limits and partner bounds are derived from the curve, so other
+def test_chunks_exact_for_other_curves(spark):
+    """Chunk widths and partner bounds are derived from the curve, so other
     coefficients must stay exact too (one flatter, one steeper)."""
     from docsift.functions.threshold import ThresholdCurve
 
     hist, new = _corpus(5)
     h, n = _frames(spark, hist, new)
-    for curve in (ThresholdCurve(0.9, -3.0, 6.0), ThresholdCurve(2.0, -8.0, 12.0)):
+    for curve in (ThresholdCurve(0.9, -3.0, 6.0), ThresholdCurve(2.0, -8.0, 12.0),
+                  ThresholdCurve(0.0, 0.0, 300.0)):
         expect = brute_compare(
             [(f"new/t{i}.txt", t) for i, t in enumerate(new)],
             [(f"nc-2024-01-{1 + i % 9:02d}__00-00-00/window01/t{i}.txt", t, -(i % 9), i)
              for i, t in enumerate(hist)], curve=curve)
-        for method in ("prefix", "band"):
+        for method in ("chunk", "band"):
             got = {r.new_path: (r.status, r.canonical_path, r.char_diff, r.canonical_hash)
                    for r in classify(n, h, "small", curve=curve, method=method).collect()}
             assert got == expect, (curve, method)
