@@ -19,22 +19,54 @@ from .threshold import ThresholdCurve
 CHUNK_CHARS = 12  # widest chunk; any width is exact, wider is more selective
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: an expression used inside a
+    lambda is otherwise evaluated again for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _plan(n: Column, bound: Column) -> tuple[Column, Column]:
+    spoilt = bound.cast("int") * 2
+    width = F.least(F.lit(CHUNK_CHARS), F.floor(n / (spoilt + 1)).cast("int"))
+    return width, F.when(width > 0, F.least(F.floor(n / width).cast("int"), spoilt * 2 + 2)).otherwise(F.lit(0))
+
+
 def chunk_plan(n: Column, curve: ThresholdCurve) -> Column:
     """(width, count) of a candidate of ``n`` characters: twice the chunks
     that can be spoilt where the text has them; count 0 where the text is
     too short to leave any chunk whole."""
-    spoilt = curve.partner_bound(n).cast("int") * 2
-    width = F.least(F.lit(CHUNK_CHARS), F.floor(n / (spoilt + 1)).cast("int"))
-    count = F.when(width > 0, F.least(F.floor(n / width).cast("int"), spoilt * 2 + 2)).otherwise(F.lit(0))
-    return F.struct(width.alias("width"), count.alias("count"))
+    def plan(bound):
+        width, count = _plan(n, bound)
+        return F.struct(width.alias("width"), count.alias("count"))
+
+    return _let(_let(curve.first_bound(n), lambda u: curve.second_bound(n, u)), plan)
+
+
+def _hashes(text: Column, width: Column, count: Column, stride: Column, block: int) -> Column:
+    """Hashes of ``count`` pieces of ``width`` characters, ``stride`` apart,
+    cut from short blocks: a substring costs the length of what it is cut from."""
+    def pieces(part, b):
+        here = F.least(F.lit(block), count - b * block)
+        return F.transform(F.sequence(F.lit(0), here - 1), lambda j: F.xxhash64(F.substring(part, j * stride + 1, width)))
+
+    def cut(head):
+        starts = F.sequence(F.lit(0), F.floor((count - 1) / block).cast("int"))
+        parts = F.transform(starts, lambda b: F.substring(head, b * block * stride + 1, stride * (block - 1) + width))
+        return F.flatten(F.transform(parts, pieces))
+
+    head = F.substring(text, F.lit(1), (count - 1) * stride + width)
+    return F.when(count > 0, _let(head, cut)).otherwise(F.array().cast("array<bigint>"))
 
 
 def chunk_hashes(text: Column, plan: Column) -> Column:
     """array<bigint>: the hashes of a candidate's chunks, in order."""
-    width, count = plan["width"], plan["count"]
-    return F.when(count > 0, F.transform(
-        F.sequence(F.lit(0), count - 1), lambda i: F.xxhash64(F.substring(text, i * width + 1, width)),
-    )).otherwise(F.array().cast("array<bigint>"))
+    return _hashes(text, plan["width"], plan["count"], plan["width"], 8)
+
+
+def window_hashes(text: Column, width: Column, count: Column) -> Column:
+    """array<bigint>: the hashes of the first ``count`` windows of ``width``
+    characters, one at every place."""
+    return _hashes(text, width, count, F.lit(1), 64)
 
 
 def partner_plans(n: Column, allowed: Column, curve: ThresholdCurve) -> Column:
@@ -43,17 +75,11 @@ def partner_plans(n: Column, allowed: Column, curve: ThresholdCurve) -> Column:
     chunks cover."""
     low = F.greatest(n - allowed, F.ceil(n / 2).cast("int"), F.lit(1))
     lengths = F.sequence(low, F.least(n + allowed, n * 2))
+    firsts = F.transform(lengths, curve.first_bound)
+    bounds = F.transform(firsts, lambda u, i: curve.second_bound(low + i, u))
 
-    def one(length):
-        plan = chunk_plan(length, curve)
-        return F.struct(length.alias("len"), plan["width"].alias("width"), (plan["width"] * plan["count"]).alias("reach"))
-
-    return F.transform(lengths, one)
-
+    def one(bound, i):
+        width, count = _plan(low + i, bound)
+        return F.struct((low + i).alias("len"), width.alias("width"), (width * count).alias("reach"))
 
-def window_hashes(text: Column, width: Column, last: Column) -> Column:
-    """array<bigint>: the hashes of the windows of ``width`` characters that
-    begin at places 0 .. last."""
-    return F.when(last >= 0, F.transform(
-        F.sequence(F.lit(0), last), lambda at: F.xxhash64(F.substring(text, at + 1, width)),
-    )).otherwise(F.array().cast("array<bigint>"))
+    return F.transform(bounds, one)

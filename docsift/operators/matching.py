@@ -44,6 +44,12 @@ def history_index(history: DataFrame, with_text: bool = True, curve: ThresholdCu
     return hash_summary(fp.select(*cols, *extra))
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    at = scratch_path(df.sparkSession, f"{name}/{uuid.uuid4().hex[:12]}")
+    df.write.parquet(at)
+    return df.sparkSession.read.parquet(at)
+
+
 def pending_texts(new: DataFrame, idx: DataFrame, policy: FuzzyPolicy) -> DataFrame:
     """key, text, len of the distinct new texts that have no exact match and
     pass the size gate."""
@@ -66,8 +72,8 @@ def classify(new_docs: DataFrame, history: DataFrame, fuzzy="small",
     ``new_docs`` needs path and text; ``history`` needs path, text, session_id,
     session_order and ctime (already scoped, see ``index_scope``).
 
-    Without fuzzy matching the result is lazy. With it, the history index and
-    then the candidate pairs are written below ``spark.checkpoint.dir`` when
+    Without fuzzy matching the result is lazy. With it, the fingerprinted new
+    side, the history index and then the candidate pairs are written below ``spark.checkpoint.dir`` when
     this is called: several joins read them, and a lost executor costs no more
     than its own tasks. ``observations`` (see ``nearjoin.funnel_observations``)
     receives the pair counts of each near-join stage.
@@ -76,9 +82,7 @@ def classify(new_docs: DataFrame, history: DataFrame, fuzzy="small",
     new = with_fingerprint(new_docs.select("path", "text")).drop("text")
     idx = history_index(history, with_text=False, curve=curve if policy.enabled else None)
     if policy.enabled:
-        at = scratch_path(history.sparkSession, f"index/{uuid.uuid4().hex[:12]}")
-        idx.write.parquet(at)
-        idx = history.sparkSession.read.parquet(at)
+        new, idx = _written(new, "new"), _written(idx, "index")
 
     canon = idx.select(
         "content_hash", "canonical_path", "canonical_session")

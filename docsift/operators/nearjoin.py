@@ -41,10 +41,10 @@ def _new_windows(new: DataFrame, curve: ThresholdCurve) -> DataFrame:
     width = F.explode(F.array_distinct(F.filter(F.col("plans")["width"], lambda w: w > 0)))
     reach = F.array_max(F.col("plans")["reach"])
     w = new.select("new_key", "n_len", "t", "text", reach.alias("reach"), width.alias("width"))
-    last = F.least(F.col("n_len"), F.col("reach") + F.col("t")) - F.col("width")
-    head = F.substring("text", F.lit(1), F.col("reach") + F.col("t"))
-    w = w.select("new_key", "n_len", "t", head.alias("head"), "width", last.cast("int").alias("last"))
-    return w.select("new_key", "n_len", "t", F.posexplode(window_hashes(F.col("head"), F.col("width"), F.col("last"))).alias("at", "h"))
+    count = F.least(F.col("n_len"), F.col("reach") + F.col("t")) - F.col("width") + 1
+    w = w.withColumn("windows", count.cast("int"))
+    hashes = window_hashes(F.col("text"), F.col("width"), F.col("windows"))
+    return w.select("new_key", "n_len", "t", F.posexplode(hashes).alias("at", "h"))
 
 
 def chunk_pairs(new: DataFrame, cand: DataFrame, curve: ThresholdCurve = DEFAULT_CURVE) -> DataFrame:
