@@ -18,14 +18,15 @@ NAME_PREFIX = 25
 TEXT_PREFIX = 50
 
 
-def text_start(text) -> F.Column:
-    """First 50 characters without line breaks, nbsp as space, stripped."""
-    t = F.substring(F.col(text) if isinstance(text, str) else text, 1, TEXT_PREFIX)
+def text_start(text, size: int = TEXT_PREFIX) -> F.Column:
+    """First 50 (``size``) characters without line breaks, nbsp as space, stripped."""
+    t = F.substring(F.col(text) if isinstance(text, str) else text, 1, size)
     t = F.replace(F.replace(F.replace(t, F.lit("\r\n"), F.lit("")), F.lit("\r"), F.lit("")), F.lit("\n"), F.lit(""))
     return pystrip(F.replace(t, F.lit("\u00a0"), F.lit(" ")))
 
 
-def prefix_pairs(names: DataFrame, texts: DataFrame) -> DataFrame:
+def prefix_pairs(names: DataFrame, texts: DataFrame, name_prefix: int = NAME_PREFIX,
+                 text_prefix: int = TEXT_PREFIX) -> DataFrame:
     """J12 pairs: names (window_id, name_idx, name) and loaded texts
     (window_id, text_idx, text) of the same window where the text start
     begins with the first 25 characters of the cleaned name.
@@ -35,12 +36,12 @@ def prefix_pairs(names: DataFrame, texts: DataFrame) -> DataFrame:
     1..25, and the join matches (window, length, prefix)."""
     n = names.withColumn("clean", clean_tab_name("name")).filter(F.col("clean") != "")
     n = n.select("window_id", "name_idx",
-                 F.least(F.length("clean"), F.lit(NAME_PREFIX)).alias("plen"),
-                 F.substring("clean", 1, NAME_PREFIX).alias("prefix"))
-    t = texts.filter(F.col("text").isNotNull() & (F.col("text") != "")).withColumn("start", text_start("text"))
+                 F.least(F.length("clean"), F.lit(name_prefix)).alias("plen"),
+                 F.substring("clean", 1, name_prefix).alias("prefix"))
+    t = texts.filter(F.col("text").isNotNull() & (F.col("text") != "")).withColumn("start", text_start("text", text_prefix))
     t = t.filter(F.length("start") > 0).select(
         "window_id", "text_idx", "start",
-        F.explode(F.sequence(F.lit(1), F.least(F.length("start"), F.lit(NAME_PREFIX)))).alias("plen"))
+        F.explode(F.sequence(F.lit(1), F.least(F.length("start"), F.lit(name_prefix)))).alias("plen"))
     t = t.select("window_id", "text_idx", "plen", F.substring("start", 1, F.col("plen")).alias("prefix"))
     return n.join(t, ["window_id", "plen", "prefix"]).select("window_id", "name_idx", "text_idx")
 

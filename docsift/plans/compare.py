@@ -54,6 +54,12 @@ def q_hash_index(spark, sf_dir):
     return hash_index(with_fingerprint(hist))
 
 
+def q_index_members(spark, sf_dir):
+    """A1, flat: every indexed file under its hash."""
+    _, hist = sides(spark, sf_dir)
+    return with_fingerprint(hist).select("content_hash", "path")
+
+
 def q_index_stats(spark, sf_dir):
     _, hist = sides(spark, sf_dir)
     return index_stats(with_fingerprint(hist))
@@ -161,6 +167,8 @@ SELECT g.content_hash, g.n_members, f.first_path, c.canonical_path
 FROM (SELECT content_hash, count(*) AS n_members FROM hist GROUP BY content_hash) g
 JOIN firsts f USING (content_hash) JOIN canon c USING (content_hash)"""
 
+SQL_INDEX_MEMBERS = f"WITH {HIST_SQL} SELECT content_hash, path FROM hist"
+
 SQL_INDEX_STATS = f"""WITH {HIST_SQL}
 SELECT count(*) AS indexed_files, count(DISTINCT content_hash) AS unique_hashes FROM hist"""
 

@@ -13,17 +13,14 @@ from . import sqlfrag as S
 from .compare import RES_SQL, compare
 
 STRATEGY = "hardlink"
-GONE = 10, 3  # canonical copies with doc_id % 10 = 3 were deleted since the compare
-
-
-def _present(spark, sf_dir):
-    return inventory(spark, sf_dir, with_text=False).filter(F.col("doc_id") % GONE[0] != GONE[1])
+GONE = ".gone"  # beside every match, one whose canonical copy does not exist
 
 
 def _links(spark, sf_dir):
-    res = compare(spark, sf_dir, fuzzy="none")
-    matches = L.matches_to_link(res)
-    return matches, L.plan_links(matches, _present(spark, sf_dir), STRATEGY)
+    found = L.matches_to_link(compare(spark, sf_dir, fuzzy="none"))
+    gone = found.withColumns({c: F.concat(c, F.lit(GONE)) for c in ("new_path", "canonical_path")})
+    matches = found.unionByName(gone)
+    return matches, L.plan_links(matches, inventory(spark, sf_dir, with_text=False), STRATEGY)
 
 
 def q_link_plan(spark, sf_dir):
@@ -40,7 +37,7 @@ def q_linked_paths(spark, sf_dir):
 
 def q_link_descriptors(spark, sf_dir):
     matches, links = _links(spark, sf_dir)
-    return L.link_descriptors(links, _present(spark, sf_dir), matches)
+    return L.link_descriptors(links, inventory(spark, sf_dir, with_text=False), matches)
 
 
 def q_review_list(spark, sf_dir):
@@ -126,6 +123,10 @@ def q_category_summary(spark, sf_dir):
     return O.category_summary(_applied(spark, sf_dir))
 
 
+def q_category_files(spark, sf_dir):
+    return O.category_files(_applied(spark, sf_dir))
+
+
 def q_reference_names(spark, sf_dir):
     return O.reference_names(_linked_rel(spark, sf_dir))
 
@@ -167,9 +168,11 @@ def q_join_links(spark, sf_dir):
 # ---------------------------------------------------------------------------
 
 LINKS_SQL = f"""{RES_SQL},
-present AS (SELECT DISTINCT path FROM inv WHERE doc_id % {GONE[0]} <> {GONE[1]}),
-matches AS (SELECT new_path, canonical_path, status AS match_type, char_diff, canonical_hash
-            FROM res WHERE status IN ('exact')),
+present AS (SELECT DISTINCT path FROM inv),
+found AS (SELECT new_path, canonical_path, status AS match_type, char_diff, canonical_hash
+          FROM res WHERE status IN ('exact')),
+matches AS (SELECT * FROM found UNION ALL
+            SELECT new_path || '{GONE}', canonical_path || '{GONE}', match_type, char_diff, canonical_hash FROM found),
 links AS (
   SELECT m.new_path, m.canonical_path, '{STRATEGY}' AS link_type, (p.path IS NOT NULL) AS success,
          CASE WHEN p.path IS NULL THEN 'Target missing: ' || m.canonical_path END AS error,
@@ -183,7 +186,7 @@ SELECT link_type, count(*) FILTER (WHERE success) AS link_count, count(*) FILTER
 FROM links GROUP BY link_type"""
 SQL_LINKED_PATHS = f"WITH {LINKS_SQL} SELECT new_path, canonical_path FROM links WHERE success"
 SQL_LINK_DESCRIPTORS = f"""WITH {LINKS_SQL},
-pinv AS (SELECT path, size, ctime FROM inv WHERE doc_id % {GONE[0]} <> {GONE[1]})
+pinv AS (SELECT path, size, ctime FROM inv)
 SELECT l.new_path || '.link.json' AS descriptor_path, 1 AS schema_version, l.new_path AS original_path,
        l.canonical_path AS target_path, 'descriptor' AS link_type, (p.size IS NOT NULL) AS target_exists,
        CAST(coalesce(p.size, 0) AS BIGINT) AS target_size,
@@ -274,6 +277,7 @@ SELECT session_id, count(*) FILTER (WHERE action = 'copy') AS copied, count(*) F
 SQL_CATEGORY_SUMMARY = f"""WITH {CURRENT_SQL}
 SELECT session_id, category, count(*) AS files, min(new_name) AS first_file, max(new_name) AS last_file
 FROM applied WHERE action <> 'error' GROUP BY session_id, category"""
+SQL_CATEGORY_FILES = f"WITH {CURRENT_SQL} SELECT session_id, category, new_name FROM applied WHERE action <> 'error'"
 SQL_REFERENCE_NAMES = f"""WITH {CURRENT_SQL}
 SELECT DISTINCT session_id, {S.category_of_path('canonical_path')} AS reference FROM linkrel"""
 SQL_PROMPT_CONTEXT = f"""WITH {CURRENT_SQL},
@@ -320,6 +324,7 @@ def register_queries(register):
     register("apply_plan", q_apply_plan, SQL_APPLY_PLAN)
     register("organize_stats", q_organize_stats, SQL_ORGANIZE_STATS)
     register("category_summary", q_category_summary, SQL_CATEGORY_SUMMARY)
+    register("category_files", q_category_files, SQL_CATEGORY_FILES)
     register("reference_names", q_reference_names, SQL_REFERENCE_NAMES)
     register("prompt_context", q_prompt_context, SQL_PROMPT_CONTEXT)
     register("separate_links", q_separate_links, SQL_SEPARATE_LINKS)

@@ -11,6 +11,7 @@ from ..operators import coverage as V
 from ..operators import curves as C
 from ..operators import history as H
 from ..operators.links import unified_diffs
+from ..session import broadcast_if_small
 from ..sources.tables import CAPTURE_TABS_SQL, capture_tabs, inventory, table
 from . import sqlfrag as S
 from .compare import compare
@@ -121,6 +122,12 @@ def q_prefix_pairs(spark, sf_dir):
     return V.prefix_pairs(names, texts)
 
 
+def q_prefix_pairs_30(spark, sf_dir):
+    """J12 by the first 30 characters of a text."""
+    names, texts = _names_texts(spark, sf_dir)
+    return V.prefix_pairs(names, texts, text_prefix=30)
+
+
 def q_tab_assignment(spark, sf_dir):
     names, texts = _names_texts(spark, sf_dir)
     return V.assign(V.prefix_pairs(names, texts))
@@ -133,20 +140,15 @@ def q_coverage(spark, sf_dir):
 
 # -- unified diffs ---------------------------------------------------------------------
 
-DIFF_BROADCAST_ROWS = 200_000
-
-
 def q_unified_diff(spark, sf_dir):
     """P20 for every near match: only the documents of near pairs are read
-    back and normalised (their paths are broadcast behind a count)."""
+    back and normalised (their paths are broadcast behind a check of their bytes)."""
     from ..functions.text import normalize_text
 
-    res = compare(spark, sf_dir, fuzzy="small", scope="all").filter(F.col("status") == "near").persist()
+    res = compare(spark, sf_dir, fuzzy="small", scope="all").filter(F.col("status") == "near")
     needed = res.select(F.col("new_path").alias("path")).union(
         res.select(F.col("canonical_path").alias("path"))).distinct()
-    if needed.count() <= DIFF_BROADCAST_ROWS:
-        needed = F.broadcast(needed)
-    texts = (inventory(spark, sf_dir).select("path", "text").join(needed, "path", "left_semi")
+    texts = (inventory(spark, sf_dir).select("path", "text").join(broadcast_if_small(needed), "path", "left_semi")
              .select("path", normalize_text("text").alias("norm")))
     pairs = (res.join(texts.withColumnRenamed("path", "new_path").withColumnRenamed("norm", "new_text"), "new_path")
              .join(texts.withColumnRenamed("path", "canonical_path").withColumnRenamed("norm", "canonical_text"),
@@ -240,6 +242,8 @@ t AS (SELECT window_id, turn AS text_idx, text, {_text_start} AS start FROM tabs
 SELECT n.window_id, n.name_idx, t.text_idx FROM n JOIN t USING (window_id)
 WHERE n.clean <> '' AND starts_with(t.start, substr(n.clean, 1, 25))"""
 
+SQL_PREFIX_PAIRS_30 = SQL_PREFIX_PAIRS.replace("substr(text, 1, 50)", "substr(text, 1, 30)")
+
 
 def _assignment_ctes() -> str:
     """CTE chain ending in ``assigned``: the greedy one-to-one assignment as
@@ -291,6 +295,7 @@ def register_queries(register):
     register("recent_items", q_recent_items, SQL_RECENT_ITEMS)
     register("nth_recent", q_nth_recent, SQL_NTH_RECENT)
     register("prefix_pairs", q_prefix_pairs, SQL_PREFIX_PAIRS)
+    register("prefix_pairs_30", q_prefix_pairs_30, SQL_PREFIX_PAIRS_30)
     register("tab_assignment", q_tab_assignment, SQL_TAB_ASSIGNMENT)
     register("coverage", q_coverage, SQL_COVERAGE)
     register("unified_diff", q_unified_diff, None)

@@ -164,8 +164,10 @@ FROM d
 WINDOWS_PER_SESSION = 20  # a capture session holds conv_id div 20
 
 
-def _tab_noise(conv: Column, turn: Column, text: Column, first_text: Column, prev_first: Column) -> Column:
-    """Deterministic capture variations, one per (window, tab)."""
+# Variants of tabs (empty, with headers, copies) are added beside the given
+# ones, as tabs before the first: turn -1 - turn.
+def _tab_variant(conv: Column, turn: Column, text: Column, first_text: Column, prev_first: Column) -> Column:
+    """Text of the variant added for a (window, tab); null: none."""
     lf = F.lit("\n")
     return (
         F.when((conv % 9 == 5) & (turn == 0), F.lit(""))
@@ -175,8 +177,7 @@ def _tab_noise(conv: Column, turn: Column, text: Column, first_text: Column, pre
         .when((conv % 8 == 5) & (turn == 0), F.concat(F.lit("[section]"), lf, text))
         .when((conv % 8 == 6) & (turn == 0), F.concat(F.lit("{"), text, F.lit("}")))
         .when((conv % 4 == 0) & (turn == 3), F.concat(first_text, F.lit("  \r\n")))
-        .when((conv % 6 == 1) & (turn == 1) & prev_first.isNotNull(), F.concat(prev_first, F.lit("\r\n")))
-        .otherwise(text)
+        .when((conv % 6 == 1) & (turn == 1), F.concat(prev_first, F.lit("\r\n")))
     )
 
 
@@ -195,8 +196,12 @@ def capture_tabs(spark: SparkSession, sf_dir: str) -> DataFrame:
     firsts = conv.filter(F.col("turn") == 0).select("conv_id", F.col("text").alias("first_text"))
     prev = firsts.select((F.col("conv_id") + 1).alias("conv_id"), F.col("first_text").alias("prev_first"))
     c = conv.join(firsts, "conv_id", "left").join(prev, "conv_id", "left")
-    c = c.withColumn("text", _tab_noise(F.col("conv_id"), F.col("turn"), F.col("text"),
-                                        F.col("first_text"), F.col("prev_first")))
+    variant = _tab_variant(F.col("conv_id"), F.col("turn"), F.col("text"), F.col("first_text"), F.col("prev_first"))
+    tabs = F.array(F.struct(F.col("turn").cast("long").alias("turn"), "text"),
+                   F.struct((-1 - F.col("turn")).cast("long").alias("turn"), variant.alias("text")))
+    c = c.select("conv_id", "role", "first_text", F.posexplode(tabs).alias("added", "tab"))
+    c = c.filter((F.col("added") == 0) | F.col("tab.text").isNotNull()).select(
+        "conv_id", "role", "first_text", "tab.turn", "tab.text")
     title = F.concat(F.when(F.col("conv_id") % 3 == 0, F.lit("*")).otherwise(F.lit("")),
                      F.substring(pystrip(first_line(F.col("first_text"))), 1, 40), F.lit(" - Editor"))
     phase = F.when(F.col("role") == "user", F.lit(1)).otherwise(F.lit(2))
@@ -213,23 +218,25 @@ def capture_tabs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CAPTURE_TABS_SQL = f"""
-WITH conv AS (SELECT conv_id, turn, role, text FROM conversations),
+WITH conv AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, text FROM conversations),
 firsts AS (SELECT conv_id, text AS first_text FROM conv WHERE turn = 0),
 prev AS (SELECT conv_id + 1 AS conv_id, first_text AS prev_first FROM firsts),
-c AS (
-  SELECT conv.conv_id, conv.turn, conv.role, f.first_text, p.prev_first,
+j AS (SELECT conv.*, f.first_text, p.prev_first
+      FROM conv LEFT JOIN firsts f ON conv.conv_id = f.conv_id LEFT JOIN prev p ON conv.conv_id = p.conv_id),
+added AS (
+  SELECT conv_id, -1 - turn AS turn, role, first_text,
     CASE
-      WHEN conv.conv_id % 9 = 5 AND conv.turn = 0 THEN ''
-      WHEN conv.conv_id % 9 = 4 AND conv.turn = 1 THEN ''
-      WHEN conv.conv_id % 10 = 7 AND conv.turn = 0 THEN '   ' || chr(10) || conv.text
-      WHEN conv.conv_id % 8 = 3 AND conv.turn = 0 THEN '# ' || conv.text
-      WHEN conv.conv_id % 8 = 5 AND conv.turn = 0 THEN '[section]' || chr(10) || conv.text
-      WHEN conv.conv_id % 8 = 6 AND conv.turn = 0 THEN '{{' || conv.text || '}}'
-      WHEN conv.conv_id % 4 = 0 AND conv.turn = 3 THEN f.first_text || '  ' || chr(13) || chr(10)
-      WHEN conv.conv_id % 6 = 1 AND conv.turn = 1 AND p.prev_first IS NOT NULL THEN p.prev_first || chr(13) || chr(10)
-      ELSE conv.text END AS text
-  FROM conv LEFT JOIN firsts f ON conv.conv_id = f.conv_id LEFT JOIN prev p ON conv.conv_id = p.conv_id
-)
+      WHEN conv_id % 9 = 5 AND turn = 0 THEN ''
+      WHEN conv_id % 9 = 4 AND turn = 1 THEN ''
+      WHEN conv_id % 10 = 7 AND turn = 0 THEN '   ' || chr(10) || text
+      WHEN conv_id % 8 = 3 AND turn = 0 THEN '# ' || text
+      WHEN conv_id % 8 = 5 AND turn = 0 THEN '[section]' || chr(10) || text
+      WHEN conv_id % 8 = 6 AND turn = 0 THEN '{{' || text || '}}'
+      WHEN conv_id % 4 = 0 AND turn = 3 THEN first_text || '  ' || chr(13) || chr(10)
+      WHEN conv_id % 6 = 1 AND turn = 1 THEN prev_first || chr(13) || chr(10) END AS text
+  FROM j),
+c AS (SELECT conv_id, turn, role, first_text, text FROM j
+      UNION ALL SELECT conv_id, turn, role, first_text, text FROM added WHERE text IS NOT NULL)
 SELECT printf('nc-2024-02-%02d__10-00-00', CAST(trunc(conv_id / {WINDOWS_PER_SESSION}) AS INTEGER) + 1) AS session_id,
        conv_id AS window_id,
        (CASE WHEN conv_id % 3 = 0 THEN '*' ELSE '' END) || substr(@@STRIP_FIRST@@, 1, 40) || ' - Editor' AS title,
