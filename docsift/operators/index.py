@@ -76,7 +76,7 @@ def canonical_key() -> F.Column:
     'organized' (a substring test), then index order."""
     return F.struct(
         F.col("ctime").isNull().alias("k0"),
-        F.coalesce(F.col("ctime"), F.lit(0)).alias("k1"),
+        F.col("ctime").alias("k1"),  # a number or a timestamp
         (~F.col("path").contains("organized")).alias("k2"),
         F.col("session_order").alias("k3"),
         F.col("path").alias("k4"),

@@ -6,9 +6,10 @@
   twin W2 keeps an unbounded set within one run).
 * ST2 ``compare_exact``: classify arriving documents against the stored hash
   index with a stream–static join (the index is the one the query was started with).
-* ST3 ``index_upsert``: fold every micro-batch into the versioned hash cache
-  with ``foreachBatch``; replaying a batch rewrites the same rows, so the
-  upsert is idempotent.
+* ST3 ``index_upsert``: every micro-batch writes its rows as one delta named
+  by its batch id (``foreachBatch``); a replayed batch overwrites its own delta,
+  and no batch touches what is stored already. ``load_upserted`` gives the
+  newest row of every path.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import capture_hash, content_hash, is_blank, normalize_text
-from ..sources.results import load_hash_cache, save_hash_cache
 
 
 def first_seen(stream: DataFrame, text_col: str = "text", event_time: str = "ts",
@@ -43,24 +43,29 @@ def compare_exact(stream: DataFrame, canonical_index: DataFrame) -> DataFrame:
                     F.when(~F.col("blank"), F.col("content_hash")).alias("new_hash"))
 
 
-def upsert_batch(batch: DataFrame, root: str) -> None:
-    """Merge one batch of (path, text, mtime, size) into the hash cache:
-    rows of the batch replace stored rows of the same path."""
-    spark = batch.sparkSession
+def _newest(rows: DataFrame, *order: str) -> DataFrame:
+    fields = [*order, "size", "sha256"]
+    return rows.groupBy("path").agg(F.max(F.struct(*fields)).alias("n")).select("path", "n.sha256", "n.mtime", "n.size")
+
+
+def upsert_batch(batch: DataFrame, root: str, batch_id: int) -> None:
+    """Write one batch of (path, text, mtime, size) as the delta ``batch_id``:
+    the newest version of each of its paths."""
     rows = batch.select("path", content_hash("text").alias("sha256"), F.col("mtime").cast("double"),
                         F.col("size").cast("long"))
-    newest = rows.groupBy("path").agg(F.max(F.struct("mtime", "size", "sha256")).alias("n"))
-    rows = newest.select("path", "n.sha256", "n.mtime", "n.size")
-    old = load_hash_cache(spark, root)
-    merged = old.join(rows.select("path"), "path", "left_anti").unionByName(rows)
-    save_hash_cache(merged, root)
+    _newest(rows, "mtime").write.mode("overwrite").parquet(f"{root.rstrip('/')}/batch={batch_id}")
+
+
+def load_upserted(spark: SparkSession, root: str) -> DataFrame:
+    """The newest row (by mtime, then batch) of every path over all deltas."""
+    return _newest(spark.read.parquet(root), "mtime", "batch")
 
 
 def index_upsert(stream: DataFrame, root: str, checkpoint: str):
     """ST3: start the upsert query (caller chooses the trigger via the
     returned writer)."""
     return (stream.writeStream.option("checkpointLocation", checkpoint)
-            .foreachBatch(lambda df, batch_id: upsert_batch(df, root)))
+            .foreachBatch(lambda df, batch_id: upsert_batch(df, root, batch_id)))
 
 
 def file_stream(spark: SparkSession, directory: str, schema, glob: str | None = None,
