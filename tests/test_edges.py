@@ -106,3 +106,37 @@ def test_a_path_in_two_versions(spark):
 
     want = hist.filter(F.col("ctime") == 1).select(content_hash("text").alias("h")).first().h
     assert row.status == "near" and row.canonical_hash == want
+
+
+def test_replayed_batch_of_the_upsert(spark, tmp_path):
+    from docsift.functions.text import content_hash
+    from docsift.streaming import dedup_stream as D
+
+    root, schema = str(tmp_path / "cache"), "path string, text string, mtime double, size long"
+    one = spark.createDataFrame([("a", "old", 1.0, 3), ("a", "older", 0.5, 5), ("b", "kept", 1.0, 4)], schema)
+    two = spark.createDataFrame([("a", "new", 2.0, 3), ("b", "late", 0.1, 4)], schema)
+    for batch, at in ((one, 0), (two, 1), (two, 1)):
+        D.upsert_batch(batch, root, at)
+    want = spark.createDataFrame([("a", "new"), ("b", "kept")], "path string, text string").select("path", content_hash("text").alias("sha256"))
+    assert set(D.load_upserted(spark, root).select("path", "sha256").collect()) == set(want.collect())
+
+
+def test_every_given_text_reaches_the_queries_whole(spark):
+    from docsift.sources.tables import capture_tabs, inventory, table
+
+    sf = "/root/testdata/sf0.01"
+    tabs = capture_tabs(spark, sf).select(F.col("window_id").alias("conv_id"), "turn", "text")
+    given = table(spark, sf, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "text")
+    assert given.exceptAll(tabs).count() == 0
+    plain = lambda c: F.regexp_replace(c, r"\s+", "")  # noqa: E731 - captures change line ends and trailing blanks only
+    docs = table(spark, sf, "documents").select("doc_id", plain("text").alias("t"))
+    assert docs.exceptAll(inventory(spark, sf).select("doc_id", plain("text").alias("t"))).count() == 0
+
+
+def test_near_join_takes_timestamps_as_age(spark):
+    import datetime
+
+    rows = [("h/a.txt", "some text", "s", 0, datetime.datetime(2024, 1, 2)), ("h/b.txt", "some text", "s", 0, datetime.datetime(2024, 1, 1))]
+    hist = spark.createDataFrame(rows, "path string, text string, session_id string, session_order int, ctime timestamp")
+    new = spark.createDataFrame([("n/a.txt", "some text")], "path string, text string")
+    assert classify(new, hist, "none").first().canonical_path == "h/b.txt"
