@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare
+from .common import prepare, resident
 
 _CACHE_SIZE = 150_000
 
@@ -228,17 +228,16 @@ class Encoder:
         return b"".join(self.vocabulary[np.frombuffer(ids, dtype="<u4")].tolist())
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(data: bytes, pattern: str) -> Encoder:
-    """One encoder per worker and vocabulary; ``data`` are the bytes of the
+    """The encoder that a worker keeps for a vocabulary; ``data`` are the bytes of the
     vocabulary file."""
     key = hashlib.md5(data + pattern.encode()).hexdigest()
-    if key not in _ENCODERS:
+
+    def make() -> Encoder:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines()) if a}
-        _ENCODERS[key] = Encoder(ranks, pattern)
-    return _ENCODERS[key]
+        return Encoder(ranks, pattern)
+
+    return resident(("bpe", key), make)
 
 
 def encode_texts(df: DataFrame, vocabulary: str, pattern: str, keep: list[str], as_array: bool = False) -> DataFrame:

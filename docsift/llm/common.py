@@ -79,3 +79,15 @@ class Scratch:
         path = f"{self.base}/{name}"
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
+
+
+_RESIDENT: dict = {}
+
+
+def resident(key, make):
+    """What ``make`` gives, kept by a worker until it asks for another key: the
+    tables and caches of one operator do not outlive it in a reused worker."""
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]

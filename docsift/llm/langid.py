@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, prepare, whole_rows
+from .common import Scratch, prepare, resident, whole_rows
 from .quality import held_out
 
 TRAIN_ROWS = 400
@@ -263,15 +263,9 @@ class Scorer:
         return langs, scores
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def _scorer(model: Model) -> Scorer:
     """A worker keeps the scorer of the model it last saw."""
-    if model.key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[model.key] = Scorer(model)
-    return _SCORERS[model.key]
+    return resident(("langid", model.key), lambda: Scorer(model))
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
