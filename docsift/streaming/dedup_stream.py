@@ -1,9 +1,10 @@
 """Structured Streaming twins of the batch operators (ST1–ST3).
 
 * ST1 ``first_seen``: drop arriving documents whose capture key was already
-  seen — ``dropDuplicatesWithinWatermark``; state is bounded by the
-  watermark, so "seen" means "seen within the watermark delay" (the batch
-  twin W2 keeps an unbounded set within one run).
+  seen. All keys are kept, as in the batch twin W2, so no first arrival is
+  lost in whatever order documents come. With a ``delay`` the state is bounded
+  by a watermark (``dropDuplicatesWithinWatermark``): documents that come later
+  than the delay allows are dropped, first arrivals too.
 * ST2 ``compare_exact``: classify arriving documents against the stored hash
   index with a stream–static join (the index is the one the query was started with).
 * ST3 ``index_upsert``: every micro-batch writes its rows as one delta named
@@ -21,11 +22,13 @@ from ..functions.text import capture_hash, content_hash, is_blank, normalize_tex
 
 
 def first_seen(stream: DataFrame, text_col: str = "text", event_time: str = "ts",
-               delay: str = "1 hour") -> DataFrame:
+               delay: str | None = None) -> DataFrame:
     """ST1: keep the first arrival of every capture key of a session (empty
-    texts skipped)."""
+    texts skipped). ``delay`` bounds the state and gives up what comes later."""
     keyed = stream.filter(F.col(text_col).isNotNull() & (F.col(text_col) != "")).withColumn(
         "key", capture_hash(text_col))
+    if delay is None:
+        return keyed.dropDuplicates(["session_id", "key"])
     return keyed.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["session_id", "key"])
 
 
