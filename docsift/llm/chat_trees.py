@@ -17,8 +17,9 @@ Defined results: null text or role counts as empty; a parent that is missing
 makes a root; messages on a reply cycle, or behind one, belong to no path; of
 messages with the same id in a tree the smallest (parent, role, text, score)
 counts, so repeated rows collapse; ties of the score go to the smaller leaf id;
-a null score counts as 0; an empty table gives an empty result. A conversation
-is one string, so it must stay below Spark's limit for a value (2 GB).
+a null score counts as 0; messages without a tree id are one tree, whose id is
+null in the result; rows without a message id are left out; an empty table
+gives an empty result. A conversation is one string, so it must stay below Spark's limit for a value (2 GB).
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 #: control strings of other common templates.
 CONTROLS = ("<|", "<s>", "</s>", "[INST]", "[/INST]")
 LEARNED_ROLE = "assistant"
+#: A tree: its id (0 where it is null) and whether it has none. Never null, so it joins.
+TREE = ("tree", "unnamed")
 
 
 def escape(text: Column) -> Column:
@@ -51,47 +54,49 @@ def unescape(text: Column) -> Column:
 
 
 def _messages(messages: DataFrame) -> DataFrame:
-    """``tree, id, parent, role, text, score``: one row per message id."""
+    """``tree, unnamed, id, parent, role, text, score``: one row per message id."""
     row = F.struct(
         F.col("parent_id").alias("parent"),
         F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
         F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"),
     )
-    known = messages.filter("tree_id IS NOT NULL AND msg_id IS NOT NULL")
-    one = known.groupBy(F.col("tree_id").alias("tree"), F.col("msg_id").alias("id")).agg(F.min(row).alias("m"))
-    return one.select("tree", "id", "m.*")
+    known = messages.filter("msg_id IS NOT NULL")
+    none = F.lit(0).cast(messages.schema["tree_id"].dataType)
+    tree = F.coalesce("tree_id", none).alias("tree"), F.col("tree_id").isNull().alias("unnamed")
+    one = known.groupBy(*tree, F.col("msg_id").alias("id")).agg(F.min(row).alias("m"))
+    return one.select(*TREE, "id", "m.*")
 
 
 def _jumps(nodes: DataFrame, scratch: Scratch) -> list[DataFrame]:
-    """Table k: ``tree, id, up, total, steps``; ``up`` is the 2^k-th ancestor
+    """Table k: ``tree, unnamed, id, up, total, steps``; ``up`` is the 2^k-th ancestor
     (null above the root), ``total`` and ``steps`` cover the id and what lies
     between. The last table reaches every root."""
-    here = nodes.select("tree", "id")
+    here = nodes.select(*TREE, "id")
     known = here.withColumnRenamed("id", "parent").withColumn("there", F.lit(True))
-    linked = nodes.join(known, ["tree", "parent"], "left")
+    linked = nodes.join(known, [*TREE, "parent"], "left")
     up = F.when(F.col("there"), F.col("parent")).alias("up")
-    now = scratch.table(linked.select("tree", "id", up, F.col("score").alias("total"), F.lit(1).cast("long").alias("steps")), "jump0")
-    largest = now.groupBy("tree").count().agg(F.max("count")).first()[0] or 1
+    now = scratch.table(linked.select(*TREE, "id", up, F.col("score").alias("total"), F.lit(1).cast("long").alias("steps")), "jump0")
+    largest = now.groupBy(*TREE).count().agg(F.max("count")).first()[0] or 1
     tables = [now]
     for k in range(1, math.ceil(math.log2(largest)) + 1):
         climbing = now.filter("up IS NOT NULL")
         if not climbing.limit(1).count():
             break
-        on = now.select("tree", F.col("id").alias("up"), F.col("up").alias("up2"), F.col("total").alias("t2"), F.col("steps").alias("s2"))
-        far = climbing.join(on, ["tree", "up"])
-        far = far.select("tree", "id", F.col("up2").alias("up"), F.expr("total + t2").alias("total"), F.expr("steps + s2").alias("steps"))
+        on = now.select(*TREE, F.col("id").alias("up"), F.col("up").alias("up2"), F.col("total").alias("t2"), F.col("steps").alias("s2"))
+        far = climbing.join(on, [*TREE, "up"])
+        far = far.select(*TREE, "id", F.col("up2").alias("up"), F.expr("total + t2").alias("total"), F.expr("steps + s2").alias("steps"))
         now = scratch.table(now.filter("up IS NULL").unionByName(far), f"jump{k}")
         tables.append(now)
     return tables
 
 
 def _paths(leaves: DataFrame, jumps: list[DataFrame], scratch: Scratch) -> DataFrame:
-    """``tree, leaf, id, dist``: every message of the chosen branches."""
-    now = leaves.select("tree", F.col("id").alias("leaf"), "id", F.lit(0).cast("long").alias("dist"))
+    """``tree, unnamed, leaf, id, dist``: every message of the chosen branches."""
+    now = leaves.select(*TREE, F.col("id").alias("leaf"), "id", F.lit(0).cast("long").alias("dist"))
     for k, jump in enumerate(jumps):
-        up = now.join(jump.filter("up IS NOT NULL").select("tree", "id", "up"), ["tree", "id"])
-        now = now.unionByName(up.select("tree", "leaf", F.col("up").alias("id"), (F.col("dist") + (1 << k)).alias("dist")))
+        up = now.join(jump.filter("up IS NOT NULL").select(*TREE, "id", "up"), [*TREE, "id"])
+        now = now.unionByName(up.select(*TREE, "leaf", F.col("up").alias("id"), (F.col("dist") + (1 << k)).alias("dist")))
         now = scratch.table(now, f"path{k}")
     return now
 
@@ -119,20 +124,21 @@ def format_branches(messages: DataFrame, branches: int = 1) -> DataFrame:
     ``messages``: ``tree_id, msg_id, parent_id, role, text, score``."""
     scratch = Scratch(prepare(messages.sparkSession), "chat")
     msgs = scratch.table(_messages(messages), "messages")
-    jumps = _jumps(msgs.select("tree", "id", "parent", "score"), scratch)
-    answered = msgs.select("tree", F.col("parent").alias("id")).distinct()
-    leaves = jumps[-1].filter("up IS NULL").join(answered, ["tree", "id"], "left_anti")
-    leaves = leaves.select("tree", "id", (F.col("total") / F.col("steps")).alias("mean"))
-    best = Window.partitionBy("tree").orderBy(F.desc("mean"), "id")
+    jumps = _jumps(msgs.select(*TREE, "id", "parent", "score"), scratch)
+    answered = msgs.select(*TREE, F.col("parent").alias("id")).distinct()
+    leaves = jumps[-1].filter("up IS NULL").join(answered, [*TREE, "id"], "left_anti")
+    leaves = leaves.select(*TREE, "id", (F.col("total") / F.col("steps")).alias("mean"))
+    best = Window.partitionBy(*TREE).orderBy(F.desc("mean"), "id")
     chosen = leaves.withColumn("branch", F.row_number().over(best)).filter(F.col("branch") <= branches)
     chosen = scratch.table(chosen, "chosen")
-    path = _paths(chosen, jumps, scratch).join(msgs.select("tree", "id", "role", "text"), ["tree", "id"])
+    path = _paths(chosen, jumps, scratch).join(msgs.select(*TREE, "id", "role", "text"), [*TREE, "id"])
     turn = F.struct((-F.col("dist")).alias("nth"), "role", "text")
-    whole = path.groupBy("tree", "leaf").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    whole = path.groupBy(*TREE, "leaf").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     text, spans = _formatted(F.col("turns"))
-    whole = whole.select("tree", "leaf", text.alias("formatted"), spans.alias("loss_spans"))
-    whole = whole.join(chosen.select("tree", F.col("id").alias("leaf"), "branch", "mean"), ["tree", "leaf"])
-    return whole.select(F.col("tree").alias("tree_id"), F.col("leaf").alias("leaf_id"), "branch", F.col("mean").alias("score"), "formatted", "loss_spans")
+    whole = whole.select(*TREE, "leaf", text.alias("formatted"), spans.alias("loss_spans"))
+    whole = whole.join(chosen.select(*TREE, F.col("id").alias("leaf"), "branch", "mean"), [*TREE, "leaf"])
+    tree_id = F.when(~F.col("unnamed"), F.col("tree")).alias("tree_id")
+    return whole.select(tree_id, F.col("leaf").alias("leaf_id"), "branch", F.col("mean").alias("score"), "formatted", "loss_spans")
 
 
 def read_turns(formatted: Column) -> Column:
