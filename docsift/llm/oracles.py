@@ -99,3 +99,40 @@ WITH doc AS (
 )
 SELECT doc_id, n_repeated, coalesce(n_removed, 0) AS n_removed, repeated, coalesce(removed, '') AS removed FROM shown LEFT JOIN cut USING (doc_id)
 """
+
+AUDIT = r"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), judged AS (
+  SELECT d.doc_id, part, [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w),
+    100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text), regexp_matches(text, '[#$%&*|]'),
+    coalesce(d.doc_id > (min(d.doc_id) OVER (PARTITION BY text)), false)] AS fails
+  FROM doc d
+), said AS (
+  SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id
+), cell AS (
+  SELECT part, fails, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic
+  FROM judged LEFT JOIN said USING (doc_id) GROUP BY part, fails
+), orders(o) AS (
+  SELECT '' UNION ALL SELECT o || l FROM orders, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) AS t(l) WHERE NOT contains(o, l)
+), steps AS (
+  SELECT o AS filter_order, k::INT AS step, ascii(o[k]) - 64 AS own, [ascii(c) - 64 FOR c IN string_split(o[:k - 1], '') IF c <> ''] AS before
+  FROM orders, range(1, 6) AS r(k) WHERE length(o) = 5
+), counted AS (
+  SELECT part, filter_order, step, own,
+    sum(n) FILTER (NOT fails[own] AND NOT gone) AS kept,
+    sum(n) FILTER (fails[own] AND NOT gone) AS removed,
+    sum(n) FILTER (fails[own] AND gone) AS redundant,
+    sum(n) FILTER (fails[own] AND len(list_filter(fails, lambda f: f)) = 1) AS unique_fails,
+    sum(good) FILTER (fails[own] AND NOT gone) AS good_lost,
+    sum(toxic) FILTER (fails[own] AND NOT gone) AS toxic_lost
+  FROM (SELECT *, len(list_filter(before, lambda b: fails[b])) > 0 AS gone FROM cell, steps)
+  GROUP BY part, filter_order, step, own
+)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+  coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+  coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  coalesce(sum(removed) OVER (PARTITION BY part, own), 0)::BIGINT AS shapley
+FROM counted
+"""

@@ -15,6 +15,7 @@ from .bpe import encode_texts
 from .chat_trees import as_replies, format_branches, learned_text, read_turns
 from .common import prepare, table
 from .decontaminate import benchmark_leaks
+from .filter_audit import filter_audit
 from .langid import language_predictions, read_pieces
 from .line_rules import line_rules
 from .quality import quality_scores
@@ -95,6 +96,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), read_pieces(public_tokenizers.path(PIECE_VOCABULARY)))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -108,6 +113,7 @@ QUERIES: dict[str, Query] = {
         op8_toxicity_lexicon,
         op9_language_unigrams,
         op10_token_counts,
+        op12_filter_audit,
     )
 }
 
@@ -116,4 +122,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_minhash_decontamination": oracles.LEAKS,
     "op4_suffix_array_dedup": oracles.REPEATS,
     "op7_line_frequency_rules": oracles.LINES,
+    "op12_filter_audit": oracles.AUDIT,
 }
