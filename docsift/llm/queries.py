@@ -16,6 +16,7 @@ from .chat_trees import as_replies, format_branches, learned_text, read_turns
 from .common import prepare, table
 from .decontaminate import benchmark_leaks
 from .filter_audit import filter_audit
+from .hard_negatives import hard_negatives, whole_vector
 from .langid import language_predictions, read_pieces
 from .line_rules import line_rules
 from .quality import quality_scores
@@ -96,6 +97,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), read_pieces(public_tokenizers.path(PIECE_VOCABULARY)))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose id 7 divides stand under the next label; ids that 50 divides are anchors."""
+    given = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(given.select("vec_id", label.alias("label"), whole_vector(F.col("embedding")).alias("vector"), (F.col("vec_id") % 50 == 0).alias("anchor")))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -113,6 +121,7 @@ QUERIES: dict[str, Query] = {
         op8_toxicity_lexicon,
         op9_language_unigrams,
         op10_token_counts,
+        op11_hard_negatives,
         op12_filter_audit,
     )
 }
@@ -122,5 +131,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_minhash_decontamination": oracles.LEAKS,
     "op4_suffix_array_dedup": oracles.REPEATS,
     "op7_line_frequency_rules": oracles.LINES,
+    "op11_hard_negatives": oracles.NEGATIVES,
     "op12_filter_audit": oracles.AUDIT,
 }
