@@ -106,9 +106,12 @@ def judged(docs: DataFrame) -> DataFrame:
     """``doc_id, part, fails`` of every row: bits 0-4 for the filters A-E."""
     part = F.coalesce(F.col("lang").cast("string"), F.lit(""))
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), part.alias("part"), F.col("text").cast("string").alias("text"))
-    rows = Scratch(docs.sparkSession, "filter_audit").table(given.mapInArrow(_judge, "doc_id long, part string, fails int, same binary"), "rows")
+    scratch = Scratch(docs.sparkSession, "filter_audit")
+    rows = scratch.table(given.mapInArrow(_judge, "doc_id long, part string, fails int, same binary"), "rows")
     first = rows.groupBy("same").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    copies = first.filter("last > first").select("same", "first")  # the texts of two ids or more
+    # the texts of two ids or more; read from a table, both sides of the join are
+    # plain exchanges, so the rows of a very common text are split over tasks
+    copies = scratch.table(first.filter("last > first").select("same", "first"), "copies")
     copied = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)).cast("int")
     return rows.join(copies, "same", "left").select("doc_id", "part", (F.col("fails") + F.lit(16) * copied).alias("fails"))
 
