@@ -156,3 +156,24 @@ FROM positive JOIN pair USING (anchor_id)
 WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
 QUALIFY rank <= 3
 """
+
+SIMILAR = r"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), gram AS (
+  SELECT DISTINCT doc_id, w[i:i + 3] AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM doc WHERE len(w) > 0)
+), size AS (
+  SELECT doc_id, count(*) AS n FROM gram GROUP BY doc_id
+), link AS (
+  SELECT a.doc_id AS u, b.doc_id AS v
+  FROM gram a JOIN gram b USING (g) JOIN size s ON s.doc_id = a.doc_id JOIN size t ON t.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 85 * (any_value(s.n) + any_value(t.n) - count(*))
+), reach(u, v) AS (
+  SELECT doc_id, doc_id FROM size UNION SELECT reach.u, link.v FROM reach JOIN link ON link.u = reach.v
+), component AS (
+  SELECT u AS doc_id, min(v) AS component_id FROM reach GROUP BY u
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id
+FROM doc LEFT JOIN size USING (doc_id) LEFT JOIN component USING (doc_id)
+"""

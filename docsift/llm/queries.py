@@ -19,6 +19,7 @@ from .filter_audit import filter_audit
 from .hard_negatives import hard_negatives, whole_vector
 from .langid import language_predictions, read_pieces
 from .line_rules import line_rules
+from .ngram_join import similar_documents
 from .quality import quality_scores
 from .suffix_dedup import repeated_passages
 from .toxicity import toxicity_scores
@@ -108,6 +109,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -123,6 +128,7 @@ QUERIES: dict[str, Query] = {
         op10_token_counts,
         op11_hard_negatives,
         op12_filter_audit,
+        op13_ngram_jaccard_join,
     )
 }
 
@@ -133,4 +139,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_line_frequency_rules": oracles.LINES,
     "op11_hard_negatives": oracles.NEGATIVES,
     "op12_filter_audit": oracles.AUDIT,
+    "op13_ngram_jaccard_join": oracles.SIMILAR,
 }
