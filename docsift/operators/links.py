@@ -126,23 +126,3 @@ def review_list(result: DataFrame) -> DataFrame:
     ).otherwise(
         F.format_string("%d: %s ~ %s (%d chars diff)", F.col("pair_num"), new_name, canon_name, F.col("char_diff")))
     return numbered.select("pair_num", "new_path", "canonical_path", "status", label.alias("label"))
-
-
-def unified_diffs(pairs: DataFrame, n_context: int = 3) -> DataFrame:
-    """P20: unified line diff per pair (new_path, canonical_path, new_text,
-    canonical_text) as rows (new_path, seq, line); Arrow-batched, one pair
-    at a time inside the worker."""
-    import pandas as pd
-
-    from ..functions.chardiff import unified_diff_lines
-
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for np_, cp, a, b in zip(pdf["new_path"], pdf["canonical_path"], pdf["new_text"], pdf["canonical_text"]):
-                for i, line in enumerate(unified_diff_lines(a, b, np_, cp, n_context)):
-                    rows.append((np_, i, line))
-            yield pd.DataFrame(rows, columns=["new_path", "seq", "line"])
-
-    return pairs.select("new_path", "canonical_path", "new_text", "canonical_text").mapInPandas(
-        run, "new_path string, seq int, line string")

@@ -10,7 +10,7 @@ from ..functions.threshold import DEFAULT_CURVE
 from ..operators import coverage as V
 from ..operators import curves as C
 from ..operators import history as H
-from ..operators.links import unified_diffs
+from ..operators.linediff import unified_diffs
 from ..session import broadcast_if_small
 from ..sources.tables import CAPTURE_TABS_SQL, capture_tabs, inventory, table
 from . import sqlfrag as S

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from docsift.operators.corpus import incremental_hashes
 from docsift.operators.history import nth_recent, recent_items
-from docsift.operators.links import descriptor_json, link_descriptors, plan_links, unified_diffs
+from docsift.operators.linediff import unified_diffs
+from docsift.operators.links import descriptor_json, link_descriptors, plan_links
 
 
 def test_unified_diff_marks_changed_line(spark):
