@@ -12,15 +12,24 @@ that other links already connect are not needed, so a bucket is not expanded:
   whose other buckets are fullest (the middle of a group of copies). Members near
   the hub are connected through it.
 
-A member a that is not near its hub h may still be similar to another one, b.
-Their differences to the hub, A = a ^ h and B = b ^ h, say so exactly:
-|a ^ b| = |A| + |B| - 2 |A & B|, so a similar pair shares at least
-(|A| + |B| - c (|a| + |b|)) / 2 elements of its differences, c = (100 - percent)
-/ (100 + percent). That is one or more whenever a is not near h, and far more
-than what a whole group has in common against its hub, so a prefix filter on the
-differences, rarest element within the hub's crowd first, separates the group's
-members by their own changes. The prefixes are the buckets of the next round.
-The hub is not in them, so rounds end; no pair is given up.
+Members that are not near their hub may still be similar to others. What each
+differs from the hub by is known from the comparison; elements that most of the
+hub's crowd has there are flipped, which gives every member's difference A to
+the crowd's majority set without another comparison. Differences to one set say
+everything about two members: |a ^ b| = |A| + |B| - 2 |A & B|, and a and b are
+similar when that is at most c (|a| + |b|), c = (100 - percent) / (100 +
+percent). With slack(a) = c |a| - |A|:
+
+* slack(a) + slack(b) >= 0 proves a and b similar, so all members whose slack
+  is at least minus the crowd's largest one are linked to the member that has it;
+* every other member shares -(slack(a) + slack(b)) / 2 > 0 elements of its
+  difference with whatever it is similar to. A prefix filter on the differences,
+  rarest element within the crowd first, finds these pairs: the prefixes are the
+  buckets of the next round.
+
+No element is in the differences of more than half a crowd, so buckets halve
+from round to round, and what a whole group has in common never brings it
+together again. No pair is given up.
 
 Pairs are compared in Python over their texts, once (again only when a pair from
 a small bucket later is a member and its hub). A hub's text is sent in as many
@@ -139,22 +148,39 @@ class Crowds:
         schema = "x binary, y binary, n long, m long, full boolean, near boolean, d array<long>"
         return self.scratch.table(both.select("x", "y", "n", "m", "full", "tx", "ty").mapInArrow(_compare(self.ids, self.percent), schema), name)
 
-    def differences(self, crowd: DataFrame, name: str) -> DataFrame:
-        """The buckets of the next round, of rows ``hub, hub_n, tid, n, near, d``."""
-        crowd = crowd.join(crowd.filter("NOT near").select("hub").distinct(), "hub", "left_semi")
-        outside = self.scratch.table(crowd.select("hub", "tid", "near", F.explode("d").alias("e")), f"{name}_outside")
-        often = outside.groupBy("hub", "e").agg(F.count(F.lit(1)).alias("f"), F.count_if(~F.col("near")).alias("far"))
+    def differences(self, crowd: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """(links, the buckets of the next round) of rows ``hub, hub_n, tid,
+        n, near, d``."""
+        open_hubs = crowd.filter("NOT near").select("hub", "hub_n").distinct()
+        centre = open_hubs.select("hub", F.col("hub").alias("tid"), F.col("hub_n").alias("n"), F.lit(True).alias("near"), F.array().cast("array<long>").alias("d"))
+        crowd = crowd.join(open_hubs.select("hub"), "hub", "left_semi").select("hub", "tid", "n", "near", "d").unionByName(centre)
+        crowd = self.scratch.table(crowd, f"{name}_open")
+        members = crowd.groupBy("hub").agg(F.count(F.lit(1)).alias("m"))
+        most = crowd.select("hub", F.explode("d").alias("e")).groupBy("hub", "e").agg(F.count(F.lit(1)).alias("f")).join(members, "hub").filter("2 * f > m")
+        most = self.scratch.table(most.groupBy("hub").agg(F.collect_list("e").alias("most")), f"{name}_most")  # at most twice a mean difference
+        flipped = F.when(F.col("most").isNull(), F.col("d")).otherwise(F.concat(F.array_except("d", "most"), F.array_except("most", "d")))
+        moved = crowd.join(most, "hub", "left").select("hub", "tid", "n", "near", flipped.alias("d")).withColumn("size", F.size("d").cast("long"))
+        moved = self.scratch.table(moved.withColumn("slack", F.col("n") * self.less - F.col("size") * self.more), f"{name}_moved")
+        best = moved.groupBy("hub").agg(F.max(F.struct("slack", "tid")).alias("best"), F.max(F.when(F.col("hub") == F.col("tid"), F.col("slack"))).alias("hub_slack"))
+        best = self.scratch.table(best.select("hub", "hub_slack", F.col("best.slack").alias("most_slack"), F.col("best.tid").alias("middle")), f"{name}_best")
+        told = moved.join(best, "hub").withColumn("linked", F.expr("slack + most_slack >= 0"))
+        # those near the hub are connected with the linked ones if the hub is
+        away = ~F.col("linked") & ~(F.col("near") & (F.col("hub_slack") + F.col("most_slack") >= 0))
+        told = self.scratch.table(told.withColumn("away", away), f"{name}_told")
+        links = told.filter("linked AND tid != middle").select(F.col("tid").alias("u"), F.col("middle").alias("v"))
+        outside = self.scratch.table(told.select("hub", "tid", "away", F.explode("d").alias("e")), f"{name}_outside")
+        often = outside.groupBy("hub", "e").agg(F.count(F.lit(1)).alias("f"), F.count_if("away").alias("far"))
         often = self.scratch.table(often.filter("f > 1 AND far > 0").select("hub", "e", "f"), f"{name}_often")
         shared = self.scratch.table(outside.join(often, ["hub", "e"]).select("hub", "tid", "e", "f"), f"{name}_shared")
         own = Window.partitionBy("hub", "tid")
-        ranked = shared.join(crowd.select("hub", "hub_n", "tid", "n", "near", F.size("d").cast("long").alias("size")), ["hub", "tid"])
+        ranked = shared.join(told.select("hub", "tid", "n", "size", "slack", "most_slack", "away"), ["hub", "tid"])
         ranked = ranked.withColumn("nth", F.row_number().over(own.orderBy("f", "e"))).withColumn("many", F.count(F.lit(1)).over(own))
-        far = F.col("size") - F.floor(F.col("n") * self.less / self.percent + F.lit(1e-9))
-        close = F.floor((F.col("size") * self.more + (F.col("hub_n") - F.col("n")) * self.less) / (2 * self.more) + F.lit(1e-9)) + 1
+        far = F.ceil((-F.col("slack") - F.col("most_slack")) / (2 * self.more) - F.lit(1e-9))
+        close = F.floor((F.col("most_slack") - F.col("slack")) / (2 * self.more) + F.lit(1e-9)) + 1
         # elements that nobody shares stand before the shared ones
-        ranked = ranked.withColumn("least", F.greatest(F.lit(1), F.when(F.col("near"), close).otherwise(far))).withColumn("pos", F.col("size") - F.col("many") + F.col("nth"))
+        ranked = ranked.withColumn("least", F.greatest(F.lit(1), F.when(F.col("away"), far).otherwise(close))).withColumn("pos", F.col("size") - F.col("many") + F.col("nth"))
         prefix = ranked.filter("pos <= size - least + 1")
-        return prefix.select(F.xxhash64("hub", "e").alias("key"), "tid", "n", "size", F.col("pos").cast("long").alias("pos"), (~F.col("near")).alias("away"))
+        return links, prefix.select(F.xxhash64("hub", "e").alias("key"), "tid", "n", "size", F.col("pos").cast("long").alias("pos"), "away")
 
     def links(self, buckets: DataFrame) -> DataFrame:
         """``u, v`` that connect the same members as all similar pairs do.
@@ -188,7 +214,9 @@ class Crowds:
             known = tried.filter("full").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "near", "d")
             crowd = hubs.select(F.col("y").alias("hub"), F.col("m").alias("hub_n"), F.col("x").alias("tid"), "n", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
             crowd = self.scratch.table(crowd.join(known, ["a", "b"]).drop("a", "b"), f"{name}_crowd")
-            buckets, step = self.differences(crowd, name), step + 1
+            more, buckets = self.differences(crowd, name)
+            found.append(more)
+            step += 1
         if not found:
             return self.scratch.spark.createDataFrame([], "u binary, v binary")
         out = found[0]
