@@ -23,9 +23,13 @@ percent). With slack(a) = c |a| - |A|:
 * slack(a) + slack(b) >= 0 proves a and b similar, so all members whose slack
   is at least minus the crowd's largest one are linked to the member that has it;
 * every other member shares -(slack(a) + slack(b)) / 2 > 0 elements of its
-  difference with whatever it is similar to. A prefix filter on the differences,
-  rarest element within the crowd first, finds these pairs: the prefixes are the
-  buckets of the next round.
+  difference with whatever it is similar to, b. Of b's difference only the
+  elements that others in the crowd have, too, can be shared; the rest, own(b),
+  is in a ^ b, so a shares at least -slack(a) - (c |b| - own(b)). A member that
+  has too few such elements, even for the largest c |b| - own(b) of the crowd,
+  is similar to nobody. For the others a prefix filter on the differences, rarest
+  element within the crowd first, finds the pairs: the prefixes are the buckets
+  of the next round.
 
 No element is in the differences of more than half a crowd, so buckets halve
 from round to round, and what a whole group has in common never brings it
@@ -172,14 +176,16 @@ class Crowds:
         often = outside.groupBy("hub", "e").agg(F.count(F.lit(1)).alias("f"), F.count_if("away").alias("far"))
         often = self.scratch.table(often.filter("f > 1 AND far > 0").select("hub", "e", "f"), f"{name}_often")
         shared = self.scratch.table(outside.join(often, ["hub", "e"]).select("hub", "tid", "e", "f"), f"{name}_shared")
-        own = Window.partitionBy("hub", "tid")
-        ranked = shared.join(told.select("hub", "tid", "n", "size", "slack", "most_slack", "away"), ["hub", "tid"])
-        ranked = ranked.withColumn("nth", F.row_number().over(own.orderBy("f", "e"))).withColumn("many", F.count(F.lit(1)).over(own))
+        known = shared.groupBy("hub", "tid").agg(F.count(F.lit(1)).alias("many")).join(told.select("hub", "tid", "n", "size", "slack", "most_slack", "away"), ["hub", "tid"])
+        known = self.scratch.table(known.withColumn("free", F.col("n") * self.less - (F.col("size") - F.col("many")) * self.more), f"{name}_known")
+        most_free = self.scratch.table(known.groupBy("hub").agg(F.max("free").alias("most_free")), f"{name}_free")
         far = F.ceil((-F.col("slack") - F.col("most_slack")) / (2 * self.more) - F.lit(1e-9))
         close = F.floor((F.col("most_slack") - F.col("slack")) / (2 * self.more) + F.lit(1e-9)) + 1
+        least = F.greatest(F.lit(1), F.when(F.col("away"), far).otherwise(close), F.ceil((-F.col("slack") - F.col("most_free")) / self.more - F.lit(1e-9)))
+        able = self.scratch.table(known.join(most_free, "hub").withColumn("least", least).filter("many >= least").select("hub", "tid", "n", "size", "many", "least", "away"), f"{name}_able")
         # elements that nobody shares stand before the shared ones
-        ranked = ranked.withColumn("least", F.greatest(F.lit(1), F.when(F.col("away"), far).otherwise(close))).withColumn("pos", F.col("size") - F.col("many") + F.col("nth"))
-        prefix = ranked.filter("pos <= size - least + 1")
+        nth = F.row_number().over(Window.partitionBy("hub", "tid").orderBy("f", "e"))
+        prefix = shared.join(able, ["hub", "tid"]).withColumn("pos", F.col("size") - F.col("many") + nth).filter("pos <= size - least + 1")
         return links, prefix.select(F.xxhash64("hub", "e").alias("key"), "tid", "n", "size", F.col("pos").cast("long").alias("pos"), "away")
 
     def links(self, buckets: DataFrame) -> DataFrame:
