@@ -151,7 +151,7 @@ canon AS (
     FROM hist) WHERE rn = 1
 ),
 firsts AS (
-  SELECT content_hash, path AS first_path, n_len, norm FROM (
+  SELECT content_hash, path AS first_path, session_order AS first_order, n_len, norm FROM (
     SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY session_order, path) AS rn
     FROM hist) WHERE rn = 1
 ),

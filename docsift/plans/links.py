@@ -11,6 +11,7 @@ from ..operators import organize as O
 from ..sources.tables import inventory
 from . import sqlfrag as S
 from .compare import RES_SQL, compare
+from .nearsql import NEAR_RES_SQL
 
 STRATEGY = "hardlink"
 GONE = ".gone"  # beside every match, one whose canonical copy does not exist
@@ -208,6 +209,7 @@ FROM n"""
 
 
 SQL_REVIEW_LIST = _review_sql(RES_SQL)
+SQL_REVIEW_LIST_NEAR = _review_sql(NEAR_RES_SQL).replace("WITH ", "WITH RECURSIVE ", 1)
 
 CURRENT_SQL = f"""{LINKS_SQL},
 cur AS (SELECT doc_id, session_id, path, regexp_replace(path, '^[^/]+/', '') AS rel_path, category, text
@@ -318,7 +320,7 @@ def register_queries(register):
     register("linked_paths", q_linked_paths, SQL_LINKED_PATHS)
     register("link_descriptors", q_link_descriptors, SQL_LINK_DESCRIPTORS)
     register("review_list", q_review_list, SQL_REVIEW_LIST)
-    register("review_list_near", q_review_list_near, None)
+    register("review_list_near", q_review_list_near, SQL_REVIEW_LIST_NEAR)
     register("plan_entries", q_plan_entries, SQL_PLAN_ENTRIES)
     register("plan_status", q_plan_status, SQL_PLAN_STATUS)
     register("apply_plan", q_apply_plan, SQL_APPLY_PLAN)

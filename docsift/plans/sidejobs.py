@@ -15,6 +15,7 @@ from ..session import broadcast_if_small
 from ..sources.tables import CAPTURE_TABS_SQL, capture_tabs, inventory, table
 from . import sqlfrag as S
 from .compare import compare
+from .nearsql import SQL_UNIFIED_DIFF
 
 T = DEFAULT_CURVE
 RECENT_DEPTH = 10
@@ -298,4 +299,4 @@ def register_queries(register):
     register("prefix_pairs_30", q_prefix_pairs_30, SQL_PREFIX_PAIRS_30)
     register("tab_assignment", q_tab_assignment, SQL_TAB_ASSIGNMENT)
     register("coverage", q_coverage, SQL_COVERAGE)
-    register("unified_diff", q_unified_diff, None)
+    register("unified_diff", q_unified_diff, SQL_UNIFIED_DIFF)
