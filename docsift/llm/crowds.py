@@ -5,8 +5,9 @@ Members are sets (of shingle ids); two are similar when 100 |a & b| >= percent
 |a | b|. Which members may be similar is given by buckets. Links between sets
 that other links already connect are not needed, so a bucket is not expanded:
 
-* in a bucket of up to ``GROUP`` members all pairs are candidates, less those
-  that length and position rule out;
+* in a bucket of up to ``GROUP`` members (later ``GROUP_LATER``, as few of them
+  are similar) all pairs are candidates, less those that length and position
+  rule out;
 * a larger one is divided by size, so that its members differ by two steps of
   the similarity at most, and every member is compared with one hub, the member
   whose other buckets are fullest (the middle of a group of copies). Members near
@@ -52,7 +53,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-GROUP = 8
+GROUP, GROUP_LATER = 8, 128
 _PER_TASK = 256  # members that meet one copy of a hub's text
 _CELLS = 64  # pieces of the suffix filter
 
@@ -125,8 +126,8 @@ class Crowds:
         cut = buckets.withColumn("bin", F.explode(F.array(here, here + 1)))
         return self.filled(cut.withColumn("key", F.xxhash64("key", "bin")).select(*COLUMNS), name)
 
-    def small_pairs(self, buckets: DataFrame) -> DataFrame:
-        few = buckets.filter(F.col("members") <= GROUP)
+    def small_pairs(self, buckets: DataFrame, group: int) -> DataFrame:
+        few = buckets.filter(F.col("members") <= group)
         a = few.select("key", F.col("tid").alias("x"), "n", F.col("size").alias("sa"), F.col("pos").alias("pa"), F.col("away").alias("wa"))
         b = few.select("key", F.col("tid").alias("y"), F.col("n").alias("m"), F.col("size").alias("sb"), F.col("pos").alias("pb"), F.col("away").alias("wb"))
         least = self.needed(F.col("sa"), F.col("sb"), F.col("n"), F.col("m"))
@@ -135,8 +136,8 @@ class Crowds:
         pairs = a.join(b, "key").filter(length & place & (F.col("wa") | F.col("wb")))
         return pairs.select("x", "y", "n", "m", F.lit(False).alias("full"), F.lit(1).alias("copies"))
 
-    def hub_pairs(self, buckets: DataFrame, name: str) -> DataFrame:
-        many = buckets.filter(F.col("members") > GROUP)
+    def hub_pairs(self, buckets: DataFrame, group: int, name: str) -> DataFrame:
+        many = buckets.filter(F.col("members") > group)
         score = many.groupBy("tid").agg(F.sum("members").alias("score"))
         top = many.join(score, "tid").groupBy("key").agg(F.max(F.struct("away", "score", "tid", "n")).alias("top"), F.max("members").alias("members"))
         hubs = self.scratch.table(top.select("key", F.col("top.tid").alias("y"), F.col("top.n").alias("m"), F.ceil(F.col("members") / _PER_TASK).cast("int").alias("copies")), f"{name}_hubs")
@@ -204,9 +205,12 @@ class Crowds:
                 break
             if texts is None:
                 texts = self.texts(whole.select("tid").distinct())
-            sized = self.by_size(whole.filter(F.col("members") > GROUP), f"{name}_sized")
-            hubs = self.scratch.table(self.hub_pairs(sized, name), f"{name}_members")
-            pairs = self.small_pairs(whole).unionByName(self.small_pairs(sized)).unionByName(hubs)
+            group = GROUP_LATER if step else GROUP
+            pairs, hubs, large = self.small_pairs(whole, group), None, whole.filter(F.col("members") > group)
+            if large.take(1):
+                sized = self.by_size(large, f"{name}_sized")
+                hubs = self.scratch.table(self.hub_pairs(sized, group, name), f"{name}_members")
+                pairs = pairs.unionByName(self.small_pairs(sized, group)).unionByName(hubs)
             pairs = pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.max(F.struct("full", "copies", "x", "y", "n", "m")).alias("p")).select("a", "b", "p.*")
             if tried is not None:
                 old = tried.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.col("full").alias("old_full"))
@@ -215,7 +219,7 @@ class Crowds:
             now = self.compared(pairs, texts, f"{name}_compared")
             found.append(now.filter("near").select(F.col("x").alias("u"), F.col("y").alias("v")))
             tried = now if tried is None else tried.unionByName(now)
-            if not hubs.take(1):
+            if hubs is None or not hubs.take(1):
                 break
             known = tried.filter("full").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "near", "d")
             crowd = hubs.select(F.col("y").alias("hub"), F.col("m").alias("hub_n"), F.col("x").alias("tid"), "n", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))

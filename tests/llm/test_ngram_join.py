@@ -63,6 +63,7 @@ def dense(rng):
 def test_components_equal_all_pairs(spark, monkeypatch, seed, group):
     rng = random.Random(seed)
     monkeypatch.setattr(crowds, "GROUP", group)
+    monkeypatch.setattr(crowds, "GROUP_LATER", group)
     texts = dense(rng) + [prose(rng, rng.randint(1, 30)) for _ in range(40)]
     texts += [texts[0].upper(), texts[0].replace(" ", "\n\t"), "so so so so so so", "so so so so", "so so so", "ÄB c", "äb c"]
     rows = [(i + 5, t) for i, t in enumerate(texts)]
