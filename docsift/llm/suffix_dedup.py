@@ -21,8 +21,9 @@ the others lose it.
    window hashes.
 
 Words are maximal runs of non-white-space. Where the same 16 words recur within
-35 words (periodic text), only some of the equal minimisers are kept, at most
-35 apart; the first and last words of such a stretch may then stay unreported.
+35 words (periodic text), a window's minimiser is the leftmost of the equal ones
+in it, so copies of the window agree whatever stands around it; such a stretch
+keeps a suffix per period.
 
 Defined results: null, empty and shorter texts have no window; repeated rows
 count as one document; exact copies repeat each other; an empty table gives an
@@ -61,27 +62,37 @@ def _slide(a: np.ndarray, width: int, op) -> np.ndarray:
     return out
 
 
+def _previous(g: np.ndarray) -> np.ndarray:
+    """Where each value stood last, -1 for the first time."""
+    order = np.argsort(g, kind="stable")
+    same = g[order[1:]] == g[order[:-1]]
+    out = np.full(len(g), -1, dtype=np.int64)
+    out[order[1:][same]] = order[:-1][same]
+    return out
+
+
+def _own(g: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Position x a: the window that begins a words before the suffix lies in
+    the text and the suffix is its minimiser, of equal ones the leftmost. That
+    depends on the window alone, so all copies of a window agree."""
+    low, last = _slide(g, SPAN, np.minimum), _previous(g)[pos]
+    start = pos[:, None] - np.arange(SPAN)
+    inside = (start > last[:, None]) & (start >= 0) & (start < len(low))
+    return inside & (low[np.where(inside, start, 0)] == g[pos][:, None])
+
+
 def retained(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the retained suffixes of a text of word hashes ``h``, and
-    the hashes of their leading words."""
+    """Positions of the retained suffixes of a text of word hashes ``h``, the
+    minimisers of its windows, and the hashes of their leading words."""
     g = gram_hashes(h, GRAM)
     if len(h) < WINDOW:
         return np.empty(0, dtype=np.int64), g[:0]
     low = _slide(g, SPAN, np.minimum)
     edge = np.zeros(SPAN - 1, dtype=np.uint64)
     at = np.flatnonzero(_slide(np.concatenate([edge, low, edge]), SPAN, np.maximum) == g)
-    tie = (g[at[1:]] == g[at[:-1]]) & (np.diff(at) <= SPAN)
-    if not tie.any():
-        return at, g[at]
-    keep = np.ones(len(at), dtype=bool)
-    for run in np.split(np.arange(len(at)), np.flatnonzero(~tie) + 1):
-        last = run[0]
-        for i, j in zip(run[1:-1], run[2:], strict=True):  # gaps of up to SPAN are enough
-            if at[j] - at[last] > SPAN:
-                last = i
-            else:
-                keep[i] = False
-    return at[keep], g[at[keep]]
+    if len(np.unique(g[at])) < len(at):  # equal ones: some are leftmost in no window
+        at = at[_own(g, at).any(axis=1)]
+    return at, g[at]
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,15 +128,8 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(g: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    """Bit a: the window that begins a words before the suffix lies in the text
-    and the suffix is its minimiser. Whether a suffix is retained depends on
-    what stands around a window too; whether it is the window's minimiser, on
-    the window alone, so all copies of a window agree."""
-    low = _slide(g, SPAN, np.minimum)
-    start = pos[:, None] - np.arange(SPAN)
-    inside = (start >= 0) & (start < len(low))
-    own = inside & (low[np.where(inside, start, 0)] == g[pos][:, None])
-    return (own.astype(np.int64) << np.arange(SPAN)).sum(axis=1)
+    """Bit a: the window that begins a words before the suffix is its own."""
+    return (_own(g, pos).astype(np.int64) << np.arange(SPAN)).sum(axis=1)
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
