@@ -16,8 +16,10 @@ containment.
 The items are worked off in blocks of a bounded number of shingles, so the
 broadcast sketches and items are bounded too, whatever the benchmark's size.
 
-Defined results: items and documents under five words have no shingle and
-match nothing; null texts count as empty; repeated items and repeated documents
+An item of one to four words has one shingle, all its words, and is found in
+every document with these words in a row.
+
+Defined results: items without a word match nothing; null texts count as empty; repeated items and repeated documents
 (same id and text) count once; empty tables give an empty result.
 """
 
@@ -38,14 +40,14 @@ BLOCK_SHINGLES = 500_000
 
 def words(text: Column) -> Column:
     plain = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
-    return F.split(plain, " ")
+    return F.filter(F.split(plain, " "), lambda w: w != "")
 
 
-def with_shingles(df: DataFrame, name: str = "shingles") -> DataFrame:
+def with_shingles(df: DataFrame, name: str = "shingles", n: int = SHINGLE) -> DataFrame:
     """Adds the distinct shingle hashes of ``text``. The word hashes are a
     column of their own first, so that each is computed once."""
     df = df.withColumn("word_hashes", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)))
-    return df.withColumn(name, F.array_distinct(gram_hashes(F.col("word_hashes"), SHINGLE))).drop("word_hashes")
+    return df.withColumn(name, F.array_distinct(gram_hashes(F.col("word_hashes"), n))).drop("word_hashes")
 
 
 def _items(benchmark: DataFrame, scratch: Scratch) -> DataFrame:
@@ -70,6 +72,23 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, containment: float =
         block = items.filter(F.pmod("i2", F.lit(blocks)) == b)
         one = _matches(docs, block, containment, scratch, b)
         found = one if found is None else found.unionByName(one)
+    return found.unionByName(_short_items(docs, benchmark, scratch))
+
+
+def _short_items(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> DataFrame:
+    """The same for items of fewer words than a shingle: these words in a row."""
+    i1, i2 = row_key(F.col("item_id"), F.col("text"))
+    items = benchmark.select(i1.alias("i1"), i2.alias("i2"), F.col("text").cast("string").alias("text")).dropDuplicates(["i1", "i2"])
+    items = scratch.table(items.withColumn("n", F.size(words(F.col("text")))).filter((F.col("n") > 0) & (F.col("n") < SHINGLE)), "short")
+    found = scratch.spark.createDataFrame([], "k1 long, k2 long, i1 long, i2 long, containment double")
+    for r in items.groupBy("n").agg(F.count(F.lit(1)).alias("items")).orderBy("n").collect():  # four sizes at most
+        blocks = math.ceil(r["items"] / BLOCK_SHINGLES)
+        for b in range(blocks):
+            block = items.filter((F.col("n") == r["n"]) & (F.pmod("i2", F.lit(blocks)) == b)).select("i1", "i2", "text")
+            sought = with_shingles(block, n=r["n"]).select("i1", "i2", F.explode("shingles").alias("h"))
+            probe = with_shingles(keyed(docs), n=r["n"]).select("k1", "k2", F.explode_outer("shingles").alias("h"))
+            one = probe.join(F.broadcast(sought), "h").select("k1", "k2", "i1", "i2", F.lit(1.0).alias("containment")).distinct()
+            found = found.unionByName(scratch.table(one, f"short{r['n']}_{b}"))
     return found
 
 

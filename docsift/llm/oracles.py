@@ -23,13 +23,14 @@ FROM sized GROUP BY conv_id
 
 LEAKS = r"""
 WITH doc AS (
-  SELECT doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM documents
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents
 ), item AS (
-  SELECT item_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM benchmark
+  SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark
 ), item_grams AS (
-  SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM item)
-), doc_grams AS (
-  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM doc)
+  SELECT DISTINCT item_id, n, w[i:i + n - 1] AS g
+  FROM (SELECT item_id, w, least(5, len(w)) AS n, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM item WHERE len(w) > 0)
+), widths AS (SELECT DISTINCT n FROM item_grams), doc_grams AS (
+  SELECT DISTINCT doc_id, w[i:i + n - 1] AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM doc, widths)
 ), q AS (SELECT item_id, count(*) AS q FROM item_grams GROUP BY item_id)
 SELECT doc_id, item_id, count(*) / any_value(q)::DOUBLE AS containment
 FROM doc_grams JOIN item_grams USING (g) JOIN q USING (item_id)

@@ -59,15 +59,16 @@ def tokens(text):
 
 
 def leaks(docs, items, least=0.8):
-    def grams(text):
+    def grams(text, n=5):
         w = tokens(text)
-        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+        n = min(n, len(w))
+        return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if n else set()
 
-    q = {i: grams(t) for i, t in items}
+    q = {i: (grams(t), min(5, len(tokens(t)))) for i, t in items}
     out = set()
     for d, t in docs:
-        g = grams(t)
-        out |= {(d, i) for i, x in q.items() if x and len(x & g) >= least * len(x)}
+        g = {n: grams(t, n) for n in range(1, 6)}
+        out |= {(d, i) for i, (x, n) in q.items() if x and len(x & g[n]) >= least * len(x)}
     return out
 
 
