@@ -9,11 +9,12 @@ score.
 
 All parts are learnt from labelled rows, at most ``TRAIN_ROWS`` per label,
 those of the smallest hash of doc_id, texts whole. Candidates are word
-beginnings of 4 to ``LONGEST`` letters and whole words. Copies would lend any
+beginnings of 4 to ``LONGEST`` letters and whole words; shorter words, which
+would begin many others, are matched up to the word's end. Copies would lend any
 of their words a strong weight, so documents count once per fingerprint (the
 smallest hash of their word triples). An entry needs ``SUPPORT`` of the toxic
-fingerprints, three at least, and a share of toxic ones above ``PRECISION``; of
-nested entries the shortest stays. Two-word phrases around an entry that occur
+fingerprints, but no more than ``ENOUGH`` and no less than three, and a share of
+toxic ones above ``PRECISION``; of nested entries the shortest stays. Two-word phrases around an entry that occur
 in clean documents only, as often at least, become exceptions. Scoring reads
 all documents.
 
@@ -43,7 +44,8 @@ from .quality import held_out
 
 TRAIN_ROWS = 4000
 SHORTEST, LONGEST = 4, 10
-SUPPORT = 0.01
+SUPPORT, ENOUGH = 0.01, 16
+END = "\0"  # closes an entry that is a whole word
 PRECISION = 0.95
 #: Letters that look like Latin ones, and digits and signs that
 #: are written for letters.
@@ -54,11 +56,12 @@ LOOKALIKES = {
 }
 _FOLD = str.maketrans(LOOKALIKES)
 _WORD = re.compile(r"[^\W\d_]+")
+_TWO_WORDS = re.compile(r"([^\W\d_]+)( [^\W\d_]+)?")
 
 
 def fold(text: str | None) -> str:
     """Full-width forms are mapped too. One character stays one character."""
-    out = (text or "").lower().translate(_FOLD)
+    out = (text or "").replace("İ", "i").lower().translate(_FOLD)  # the one letter whose lower case is two
     if not out.isascii():
         out = "".join([chr(ord(c) - 0xFEE0) if "！" <= c <= "～" else c for c in out]) if re.search("[！-～]", out) else out
     return out
@@ -74,9 +77,10 @@ class Lexicon:
     def automaton(self) -> ahocorasick.Automaton:
         a = ahocorasick.Automaton()
         for word, weight in self.entries.items():
-            a.add_word(word, (len(word), weight))
+            whole = word.endswith(END)
+            a.add_word(word.rstrip(END), (len(word) - whole, weight, whole))
         for phrase in self.exceptions:
-            a.add_word(phrase, (len(phrase), None))
+            a.add_word(phrase, (len(phrase), None, False))
         if len(a):
             a.make_automaton()
         return a
@@ -88,8 +92,10 @@ def matches(text: str, automaton) -> list[tuple[int, int, float | None]]:
     if not len(automaton):
         return []
     found = []
-    for last, (size, weight) in automaton.iter(text):
+    for last, (size, weight, whole) in automaton.iter(text):
         start = last - size + 1
+        if whole and text[last + 1 : last + 2].isalpha():
+            continue
         if start == 0 or not text[start - 1].isalpha():
             found.append((start, last + 1, weight))
     return found
@@ -119,7 +125,8 @@ def fingerprint(words: list[str]) -> int:
 
 def beginnings(words: Iterable[str]) -> set[str]:
     out = {w for w in words if len(w) >= SHORTEST}
-    return out | {w[:n] for w in out for n in range(SHORTEST, min(len(w), LONGEST + 1))}
+    short = {w + END for w in words if len(w) < SHORTEST}
+    return out | short | {w[:n] for w in out for n in range(SHORTEST, min(len(w), LONGEST + 1))}
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,10 +152,12 @@ def _phrases(entries: dict[str, float]):
             for text, label in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), strict=True):
                 text, seen = fold(text), set()
                 for start, _, _ in matches(text, automaton):
-                    before = re.search(r"[^\W\d_]+ $", text[max(0, start - 40) : start])
-                    here = re.match(r"([^\W\d_]+)( [^\W\d_]+)?", text[start : start + 80])
-                    if before:
-                        seen.add(before[0] + here[1])
+                    here = _TWO_WORDS.match(text, start)
+                    first = start - 1
+                    while first > 0 and text[first - 1].isalpha():
+                        first -= 1
+                    if 0 <= first < start - 1 and text[start - 1] == " ":
+                        seen.add(text[first:start] + here[1])
                     if here[2]:
                         seen.add(here[0])
                 (toxic if label else clean).update(seen)
@@ -182,11 +191,11 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Lexicon
     totals = lambda df: df.groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     kind = "entry string, toxic long, clean long"
     rate = F.col("toxic") / n[1] / (F.col("toxic") / n[1] + F.col("clean") / n[0])
-    support = max(3, SUPPORT * n[1])
+    support = max(3, min(ENOUGH, SUPPORT * n[1]))
     found = totals(texts.mapInArrow(_candidates, kind)).filter((F.col("toxic") >= support) & (rate > PRECISION))
     entries: dict[str, float] = {}
     for r in sorted(found.collect(), key=lambda r: (len(r["entry"]), r["entry"])):
-        if not any(r["entry"][:k] in entries for k in range(SHORTEST, len(r["entry"]))):
+        if not any(r["entry"][:k] in entries for k in range(SHORTEST, len(r["entry"].rstrip(END)))):
             entries[r["entry"]] = math.log((r["toxic"] + 0.5) / (n[1] + 1)) - math.log((r["clean"] + 0.5) / (n[0] + 1))
     if not entries:
         return Lexicon()
