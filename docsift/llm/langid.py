@@ -3,9 +3,10 @@
 Every language has a probability for each piece of a fixed public vocabulary.
 The probability of a word is the sum over all ways to cut it into pieces, by
 the forward algorithm; a text's is the product over its words. Words are runs
-of letters, lower-cased, with the vocabulary's word-start mark before them; a
-run longer than 48 letters is cut every 48. A character that the vocabulary
-lacks is one unknown piece.
+of letters, lower-cased, with the vocabulary's word-start mark before them. A
+character that the vocabulary lacks is one unknown piece. Words of 48 letters or
+more are summed one by one, on a scale per language; in training they are cut
+every 48 letters.
 
 Training is expectation maximisation (forward-backward) over the word counts of
 a bounded sample: at most ``TRAIN_ROWS`` rows per language, those of the
@@ -100,6 +101,27 @@ class Lattice:
             alpha[w[at][first], end] = np.add.reduceat(add, first, axis=0)
         return alpha
 
+    def long_log_probability(self, word: str, prob: np.ndarray) -> np.ndarray:
+        """The same sum for one long word: the places that a piece can still
+        reach back to, each language on a scale of its own."""
+        reach = max(map(len, self.beginning), default=1)
+        alpha, log_scale = np.zeros((reach + 1, prob.shape[1])), np.zeros(prob.shape[1])
+        alpha[0] = 1
+        for end in range(1, len(word) + 1):
+            now = np.zeros(prob.shape[1])
+            for start in range(max(0, end - reach), end):
+                part = word[start:end]
+                if part in self.piece:
+                    now += alpha[start % (reach + 1)] * prob[self.piece[part]]
+            if word[end - 1] not in self.piece:
+                now += alpha[(end - 1) % (reach + 1)] * prob[self.unknown]
+            alpha[end % (reach + 1)] = now
+            if end % 16 == 0:
+                top = np.maximum(alpha.max(axis=0), 1e-300)
+                alpha /= top
+                log_scale += np.log(top)
+        return log_scale + np.log(np.maximum(alpha[len(word) % (reach + 1)], 1e-300))
+
     def log_probabilities(self, words: list[str], prob: np.ndarray) -> np.ndarray:
         """word x language"""
         alpha = self.forward(words, prob)
@@ -158,7 +180,8 @@ class Model:
 
 
 def marked(run: str) -> list[str]:
-    """A run of lower-case letters as words of the vocabulary."""
+    """A run of lower-case letters as words of the vocabulary, for training;
+    scoring sums over the segmentations of whole runs."""
     word = START + run
     return [word[i : i + LONGEST_WORD] for i in range(0, len(word), LONGEST_WORD)]
 
@@ -239,12 +262,15 @@ class Scorer:
         have = [r for r in runs if r in old]
         self.value[at : at + len(have)] = known[[old[r] for r in have]]
         new = [r for r in runs if r not in old]
-        words = [w for r in new for w in marked(r)]
-        of = np.repeat(np.arange(len(new)), [-(-(len(r) + 1) // LONGEST_WORD) for r in new])
         at += len(have)
-        for i in range(0, len(words), _BLOCK):
-            np.add.at(self.value, at + of[i : i + _BLOCK], self.lattice.log_probabilities(words[i : i + _BLOCK], self.model.prob))
-        self.row.update(zip([*have, *new], range(len(self.row), at + len(new)), strict=True))
+        short = [r for r in new if len(r) < LONGEST_WORD]
+        for i in range(0, len(short), _BLOCK):
+            some = short[i : i + _BLOCK]
+            self.value[at + i : at + i + len(some)] = self.lattice.log_probabilities([START + r for r in some], self.model.prob)
+        long = [r for r in new if len(r) >= LONGEST_WORD]
+        for i, r in enumerate(long, at + len(short)):
+            self.value[i] = self.lattice.long_log_probability(START + r, self.model.prob)
+        self.row.update(zip([*have, *short, *long], range(len(self.row), at + len(new)), strict=True))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         langs, scores = [], []
