@@ -43,7 +43,9 @@ def test_items_under_five_words(spark):
 
 def test_short_marks(spark):
     rng = random.Random(3)
-    docs = [(i, f"{prose(rng, 30)} {rng.choice(('kys', 'K1S')) if i % 2 else 'kysten'} {prose(rng, 30)}") for i in range(400)]
+    pool = prose(rng, 60).split()
+    some = lambda: " ".join(rng.choices(pool, k=30))
+    docs = [(i, f"{some()} {rng.choice(('kys', 'K1S')) if i % 2 else 'kysten'} {some()}") for i in range(400)]
     labels = [(i, i % 2) for i in range(300)]
     d = spark.createDataFrame(docs, "doc_id long, text string")
     lexicon = toxicity.learn(d, spark.createDataFrame(labels, "doc_id long, label int"))
