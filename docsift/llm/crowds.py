@@ -203,8 +203,6 @@ class Crowds:
             whole = self.filled(buckets.select(*COLUMNS), name)
             if not whole.take(1):
                 break
-            if texts is None:
-                texts = self.texts(whole.select("tid").distinct())
             group = GROUP_LATER if step else GROUP
             pairs, hubs, large = self.small_pairs(whole, group), None, whole.filter(F.col("members") > group)
             if large.take(1):
@@ -216,6 +214,8 @@ class Crowds:
                 old = tried.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.col("full").alias("old_full"))
                 pairs = pairs.join(old.groupBy("a", "b").agg(F.max("old_full").alias("old_full")), ["a", "b"], "left").filter("old_full IS NULL OR (full AND NOT old_full)").drop("old_full")
             pairs = self.scratch.table(pairs.drop("a", "b"), f"{name}_pairs")
+            if texts is None:  # later rounds compare members of these pairs only
+                texts = self.texts(pairs.select(F.col("x").alias("tid")).unionByName(pairs.select(F.col("y").alias("tid"))).distinct())
             now = self.compared(pairs, texts, f"{name}_compared")
             found.append(now.filter("near").select(F.col("x").alias("u"), F.col("y").alias("v")))
             tried = now if tried is None else tried.unionByName(now)
