@@ -3,10 +3,13 @@
 A candidate text is cut into ``count`` consecutive chunks of ``width``
 characters. With difference d <= k at most 2d - |length difference| characters
 are inserted or deleted, each of which spoils at most one chunk; every other
-chunk stands unchanged in the new text, at most k places away. Width and count
-follow from the length alone, through the largest k any partner can bring, so
-the new side knows which widths to look for. The cost per text is bounded by
-the square of the logarithm of its length, not by its length.
+chunk stands unchanged in the new text, at most k places away. So of any 2k + 1
+chunks one stands there, and the join looks for a candidate's 2k + 1 rarest only
+(the decisive ones); four times as many are cut where the text has them, so that
+a header shared by all leaves enough rare ones. Width and count follow from the
+length alone, through the largest k any partner can bring, so the new side knows
+which widths to look for. The cost per text is bounded by the square of the
+logarithm of its length, not by its length.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .threshold import ThresholdCurve
 
-CHUNK_CHARS = 12  # widest chunk; any width is exact, wider is more selective
+CHUNK_CHARS = 8  # widest chunk; any width is exact, wider is more selective
 
 
 def _let(value: Column, body) -> Column:
@@ -28,13 +31,13 @@ def _let(value: Column, body) -> Column:
 def _plan(n: Column, bound: Column) -> tuple[Column, Column]:
     spoilt = bound.cast("int") * 2
     width = F.least(F.lit(CHUNK_CHARS), F.floor(n / (spoilt + 1)).cast("int"))
-    return width, F.when(width > 0, F.least(F.floor(n / width).cast("int"), spoilt * 2 + 2)).otherwise(F.lit(0))
+    return width, F.when(width > 0, F.least(F.floor(n / width).cast("int"), (spoilt + 1) * 4)).otherwise(F.lit(0))
 
 
 def chunk_plan(n: Column, curve: ThresholdCurve) -> Column:
-    """(width, count) of a candidate of ``n`` characters: twice the chunks
-    that can be spoilt where the text has them; count 0 where the text is
-    too short to leave any chunk whole."""
+    """(width, count) of a candidate of ``n`` characters: four times the
+    decisive chunks where the text has them; count 0 where the text is too
+    short to leave any chunk whole."""
     def plan(bound):
         width, count = _plan(n, bound)
         return F.struct(width.alias("width"), count.alias("count"))
@@ -58,6 +61,26 @@ def _hashes(text: Column, width: Column, count: Column, stride: Column, block: i
     return F.when(count > 0, _let(head, cut)).otherwise(F.array().cast("array<bigint>"))
 
 
+def decisive(n: Column, curve: ThresholdCurve) -> Column:
+    """How many of its chunks a candidate is looked up by."""
+    return _let(_let(curve.first_bound(n), lambda u: curve.second_bound(n, u)), lambda u: u.cast("int") * 2 + 1)
+
+
+def chunks_met(text: Column, chunks: Column, width: Column, reach: Column) -> Column:
+    """How many of a candidate's chunks stand in ``text`` at most ``reach``
+    places from where they stand in the candidate."""
+    places = F.least(F.length(text), F.size(chunks) * width + reach) - width + 1
+
+    def met(windows):
+        def here(h, i):
+            first = F.greatest(i * width - reach, F.lit(0))
+            return F.array_contains(F.slice(windows, first + 1, F.greatest(i * width + reach - first + 1, F.lit(0))), h)
+
+        return F.size(F.filter(F.transform(chunks, here), lambda b: b))
+
+    return F.when(places > 0, _let(window_hashes(text, width, places.cast("int")), met)).otherwise(F.lit(0))
+
+
 def chunk_hashes(text: Column, plan: Column) -> Column:
     """array<bigint>: the hashes of a candidate's chunks, in order."""
     return _hashes(text, plan["width"], plan["count"], plan["width"], 8)

@@ -10,9 +10,12 @@ with d = max length - matched characters of difflib's matching blocks. The
 matching blocks are an order-preserving common subsequence, so x and y differ
 by at most 2d - |Δ| <= 2k insertions and deletions. That gives one lossless
 generator (``functions.chunks``): y is cut into chunks, and all but 2k - |Δ| of
-them stand in x within k places. Chunks meet x's windows in an equi-join on
-their hash, and a pair goes on when enough of them met. Texts too short to
-keep a chunk whole (a handful of characters) are joined on their length.
+them stand in x within k places, so one of y's 2k + 1 rarest does (prefix
+filter; rarest by the number of candidates that have the chunk). These meet x's
+windows in an equi-join on their hash; of the pairs found all chunks are
+counted, and a pair goes on when enough of them stand in x. A header that many
+texts share is among the frequent chunks and brings no pair together. Texts too
+short to keep a chunk whole (a handful of characters) are joined on their length.
 
 'band' (equi-join on candidate length within the band) and 'ratio' (every pair
 inside the 2x ratio, the unpruned plan) serve the bench and the tests.
@@ -26,11 +29,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.chardiff import bounded_char_diff
-from ..functions.chunks import partner_plans, window_hashes
+from ..functions.chunks import chunks_met, decisive, partner_plans, window_hashes
 from ..functions.threshold import DEFAULT_CURVE, ThresholdCurve
 from ..session import scratch_path
 
@@ -47,21 +50,35 @@ def _new_windows(new: DataFrame, curve: ThresholdCurve) -> DataFrame:
     return w.select("new_key", "n_len", "t", F.posexplode(hashes).alias("at", "h"))
 
 
-def chunk_pairs(new: DataFrame, cand: DataFrame, curve: ThresholdCurve = DEFAULT_CURVE) -> DataFrame:
-    """Pairs that share as many chunks as a match must, each once."""
+def rare_chunks(cand: DataFrame, curve: ThresholdCurve = DEFAULT_CURVE) -> DataFrame:
+    """``h, cand_key, c_len, chunk_width, i`` of every candidate's decisive
+    chunks, the i-th chunk hashing to h."""
+    rows = cand.filter(F.size("chunks") > 0).select(
+        F.unhex("key").alias("cand_key"), F.col("len").alias("c_len"), "chunk_width", decisive(F.col("len"), curve).alias("decisive"),
+        F.posexplode("chunks").alias("i", "h"))
+    often = rows.groupBy("h").agg(F.count(F.lit(1)).alias("f"))
+    nth = F.row_number().over(Window.partitionBy("cand_key").orderBy("f", "h", "i"))
+    return rows.join(often, "h").withColumn("nth", nth).filter("nth <= decisive").select("h", "cand_key", "c_len", "chunk_width", "i")
+
+
+def chunk_pairs(new: DataFrame, cand: DataFrame, curve: ThresholdCurve = DEFAULT_CURVE,
+                rare: DataFrame | None = None) -> DataFrame:
+    """Pairs that share as many chunks as a match must, each once. ``rare``:
+    the stored ``rare_chunks`` of ``cand``."""
     keyed = new.select(F.unhex("key").alias("new_key"), F.col("len").alias("n_len"), "text",
                        curve.column("len").alias("t"))
     keyed = keyed.withColumn("plans", partner_plans(F.col("n_len"), F.col("t"), curve))
     c = cand.select(F.unhex("key").alias("cand_key"), F.col("len").alias("c_len"), "chunk_width", "chunks")
 
-    rows = c.select("cand_key", "c_len", "chunk_width", F.size("chunks").alias("n_chunks"),
-                    F.posexplode("chunks").alias("i", "h"))
+    rows = rare_chunks(cand, curve) if rare is None else rare
     met = _new_windows(keyed, curve).join(rows, "h").filter(
         (F.abs(F.col("at") - F.col("i") * F.col("chunk_width")) <= F.col("t"))
         & (F.abs(F.col("n_len") - F.col("c_len")) <= F.col("t")))
-    met = met.groupBy("new_key", "cand_key", "n_len", "c_len", "n_chunks").agg(F.count(F.lit(1)).alias("met"))
+    met = pair_filter(met.select("new_key", "cand_key", "n_len", "c_len").distinct(), curve)
+    met = met.join(keyed.select("new_key", "text", "t"), "new_key").join(c.select("cand_key", "chunk_width", "chunks"), "cand_key")
     most_spoilt = F.col("k") * 2 - F.abs(F.col("n_len") - F.col("c_len"))
-    enough = pair_filter(met, curve).filter(F.col("met") >= F.col("n_chunks") - most_spoilt)
+    here = chunks_met(F.col("text"), F.col("chunks"), F.col("chunk_width"), F.col("t"))
+    enough = met.withColumn("met", here).filter(F.col("met") >= F.size("chunks") - most_spoilt)
 
     # candidates too short for a chunk: by their exact length
     short = keyed.select("new_key", "n_len", F.explode(
