@@ -5,7 +5,7 @@ longest common substring of the current ranges (earliest start in ``a``, then
 earliest start in ``b``), recurse left and right of it. Differences from
 difflib are only in *how* the longest match is found:
 
-* small ranges: the same dynamic program difflib runs;
+* small ranges: difflib's own search on the two pieces;
 * large ranges: binary search on the length with vectorised polynomial
   hashes (numpy, arithmetic mod 2^64), then the earliest candidates are
   confirmed by comparing the strings. Should a hash collision ever make a
@@ -22,7 +22,7 @@ import numpy as np
 
 _BASE = 0x9E3779B97F4A7C15 | 1           # odd → invertible mod 2^64
 _BASE_INV = pow(_BASE, -1, 1 << 64)
-_SMALL = 4096                            # na * nb below this: plain DP
+_SMALL = 4096                            # na * nb below this: difflib's search
 
 
 class _Collision(Exception):
@@ -59,23 +59,10 @@ class _Hashes:
             return (self.p[starts + length] - self.p[starts]) * self.pw[starts + length - 1]
 
 
-def _dp_longest(a, b, alo, ahi, blo, bhi):
-    """difflib's find_longest_match loop (no junk) on the given ranges."""
-    b2j: dict = {}
-    for j in range(blo, bhi):
-        b2j.setdefault(b[j], []).append(j)
-    besti, bestj, bestsize = alo, blo, 0
-    j2len: dict = {}
-    nothing: list = []
-    for i in range(alo, ahi):
-        get = j2len.get
-        new = {}
-        for j in b2j.get(a[i], nothing):
-            k = new[j + 1] = get(j, 0) + 1
-            if k > bestsize:
-                besti, bestj, bestsize = i - k + 1, j - k + 1, k
-        j2len = new
-    return besti, bestj, bestsize
+def _small_longest(a, b, alo, ahi, blo, bhi):
+    """The longest match of two short ranges, by difflib itself."""
+    m = difflib.SequenceMatcher(None, a[alo:ahi], b[blo:bhi], autojunk=False).find_longest_match()
+    return alo + m.a, blo + m.b, m.size
 
 
 def _hash_longest(a, b, ha: _Hashes, hb: _Hashes, alo, ahi, blo, bhi):
@@ -109,7 +96,7 @@ def matched_chars(a: str, b: str, need: int = 0) -> int:
         alo, ahi, blo, bhi = queue.pop()
         potential -= min(ahi - alo, bhi - blo)
         if (ahi - alo) * (bhi - blo) <= _SMALL:
-            i, j, k = _dp_longest(a, b, alo, ahi, blo, bhi)
+            i, j, k = _small_longest(a, b, alo, ahi, blo, bhi)
         else:
             if ha is None:
                 ha, hb = _Hashes(a), _Hashes(b)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_MRU_DEPTH = 10
+# The fields of a stored history row, in their order.
 HISTORY_FIELDS = ["date", "capturedAt", "clones", "downloads", "views", "total", "ciCheckouts",
                   "organicClones", "stars", "forks", "openIssues", "uniqueClones", "uniqueViews", "ciRuns",
                   "organicUniqueClones"]

@@ -95,7 +95,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this is set by the launcher to shared storage and is used
-    as is. Only when it is unset (local tests) a scratch folder is created.
+    as is. Only with a local master (tests), when it is unset, a scratch folder
+    is created; elsewhere a folder of this machine would be of no use.
     """
     try:
         sc = spark.sparkContext
@@ -106,6 +107,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="docsift-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local)
     spark.conf.set("spark.checkpoint.dir", local)
