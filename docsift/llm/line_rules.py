@@ -90,7 +90,7 @@ def measures(docs: DataFrame) -> DataFrame:
 
 def line_rules(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: the measures, ``base_failed``,
-    ``removed_share`` (of the characters of its lines) and ``kept``."""
+    ``kept`` and ``removed_share`` (of the characters of its lines)."""
     scratch = Scratch(prepare(docs.sparkSession), "lines")
     facts = scratch.table(measures(docs), "facts")
     one = facts.dropDuplicates(["k1", "k2"]).select("k1", "k2", "host", F.inline("lines"))
@@ -105,4 +105,4 @@ def line_rules(docs: DataFrame) -> DataFrame:
     failed = (F.col("n_words") < MIN_WORDS) | repeats
     kept = ~failed & (1 - F.col("removed_share") >= LEFT_SHARE)
     measured = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return out.select("doc_id", *measured, failed.alias("base_failed"), "removed_share", kept.alias("kept"))
+    return out.select("doc_id", *measured, failed.alias("base_failed"), kept.alias("kept"), "removed_share")
