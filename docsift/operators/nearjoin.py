@@ -38,6 +38,11 @@ from ..functions.threshold import DEFAULT_CURVE, ThresholdCurve
 from ..session import scratch_path
 
 
+# Largest allowed difference for which a pair's chunks are counted; beyond it the
+# counting costs more than the check it saves, and pairs go on without it.
+COUNTED_UP_TO = 200
+
+
 def _new_windows(new: DataFrame, curve: ThresholdCurve) -> DataFrame:
     """(new_key, n_len, t, plans, text) → one row per window of every width
     that a partner's chunks can have: new_key, n_len, t, h, at."""
@@ -77,7 +82,8 @@ def chunk_pairs(new: DataFrame, cand: DataFrame, curve: ThresholdCurve = DEFAULT
     met = pair_filter(met.select("new_key", "cand_key", "n_len", "c_len").distinct(), curve)
     met = met.join(keyed.select("new_key", "text", "t"), "new_key").join(c.select("cand_key", "chunk_width", "chunks"), "cand_key")
     most_spoilt = F.col("k") * 2 - F.abs(F.col("n_len") - F.col("c_len"))
-    here = chunks_met(F.col("text"), F.col("chunks"), F.col("chunk_width"), F.col("t"))
+    here = F.when(F.col("t") <= COUNTED_UP_TO, chunks_met(F.col("text"), F.col("chunks"), F.col("chunk_width"), F.col("t"))) \
+        .otherwise(F.size("chunks"))
     enough = met.withColumn("met", here).filter(F.col("met") >= F.size("chunks") - most_spoilt)
 
     # candidates too short for a chunk: by their exact length
