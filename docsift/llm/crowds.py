@@ -160,7 +160,7 @@ class Crowds:
         centre = open_hubs.select("hub", F.col("hub").alias("tid"), F.col("hub_n").alias("n"), F.lit(True).alias("near"), F.array().cast("array<long>").alias("d"))
         crowd = crowd.join(open_hubs.select("hub"), "hub", "left_semi").select("hub", "tid", "n", "near", "d").unionByName(centre)
         crowd = self.scratch.table(crowd, f"{name}_open")
-        members = crowd.groupBy("hub").agg(F.count(F.lit(1)).alias("m"))
+        members = self.scratch.table(crowd.groupBy("hub").agg(F.count(F.lit(1)).alias("m")), f"{name}_sizes_of")  # a row per hub
         most = crowd.select("hub", F.explode("d").alias("e")).groupBy("hub", "e").agg(F.count(F.lit(1)).alias("f")).join(members, "hub").filter("2 * f > m")
         most = self.scratch.table(most.groupBy("hub").agg(F.collect_list("e").alias("most")), f"{name}_most")  # at most twice a mean difference
         flipped = F.when(F.col("most").isNull(), F.col("d")).otherwise(F.concat(F.array_except("d", "most"), F.array_except("most", "d")))
