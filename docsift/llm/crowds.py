@@ -48,7 +48,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -177,16 +177,18 @@ class Crowds:
         often = outside.groupBy("hub", "e").agg(F.count(F.lit(1)).alias("f"), F.count_if("away").alias("far"))
         often = self.scratch.table(often.filter("f > 1 AND far > 0").select("hub", "e", "f"), f"{name}_often")
         shared = self.scratch.table(outside.join(often, ["hub", "e"]).select("hub", "tid", "e", "f"), f"{name}_shared")
-        known = shared.groupBy("hub", "tid").agg(F.count(F.lit(1)).alias("many")).join(told.select("hub", "tid", "n", "size", "slack", "most_slack", "away"), ["hub", "tid"])
+        # of one text: elements that nobody shares stand before these in its order
+        own = shared.groupBy("hub", "tid").agg(F.array_sort(F.collect_list(F.struct("f", "e"))).alias("es")).withColumn("many", F.size("es"))
+        known = own.join(told.select("hub", "tid", "n", "size", "slack", "most_slack", "away"), ["hub", "tid"])
         known = self.scratch.table(known.withColumn("free", F.col("n") * self.less - (F.col("size") - F.col("many")) * self.more), f"{name}_known")
         most_free = self.scratch.table(known.groupBy("hub").agg(F.max("free").alias("most_free")), f"{name}_free")
         far = F.ceil((-F.col("slack") - F.col("most_slack")) / (2 * self.more) - F.lit(1e-9))
         close = F.floor((F.col("most_slack") - F.col("slack")) / (2 * self.more) + F.lit(1e-9)) + 1
         least = F.greatest(F.lit(1), F.when(F.col("away"), far).otherwise(close), F.ceil((-F.col("slack") - F.col("most_free")) / self.more - F.lit(1e-9)))
-        able = self.scratch.table(known.join(most_free, "hub").withColumn("least", least).filter("many >= least").select("hub", "tid", "n", "size", "many", "least", "away"), f"{name}_able")
-        # elements that nobody shares stand before the shared ones
-        nth = F.row_number().over(Window.partitionBy("hub", "tid").orderBy("f", "e"))
-        prefix = shared.join(able, ["hub", "tid"]).withColumn("pos", F.col("size") - F.col("many") + nth).filter("pos <= size - least + 1")
+        able = self.scratch.table(known.join(most_free, "hub").withColumn("least", least.cast("int")).filter("many >= least"), f"{name}_able")
+        first = F.slice("es", 1, F.col("many") - F.col("least") + 1)
+        prefix = able.select("hub", "tid", "n", "size", "many", "away", F.posexplode(first).alias("at", "x"))
+        prefix = prefix.select("hub", "tid", "n", "size", "away", (F.col("size") - F.col("many") + F.col("at") + 1).alias("pos"), F.col("x.e").alias("e"))
         return links, prefix.select(F.xxhash64("hub", "e").alias("key"), "tid", "n", "size", F.col("pos").cast("long").alias("pos"), "away")
 
     def links(self, buckets: DataFrame) -> DataFrame:
