@@ -2,18 +2,21 @@
 
 Candidate pairs are an equi-join on the window; the one-to-one greedy
 assignment (names in order, each takes the first free matching text) is
-sequential, so it runs per window in ``applyInPandas`` — a window holds a
-bounded number of tabs.
+sequential, so it runs in Python over rows sorted by window, without a frame
+per window — a window holds a bounded number of tabs.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_tab_name, pystrip
 
+COLUMNS = ["window_id", "name_idx", "text_idx"]
 NAME_PREFIX = 25
 TEXT_PREFIX = 50
 
@@ -46,20 +49,32 @@ def prefix_pairs(names: DataFrame, texts: DataFrame, name_prefix: int = NAME_PRE
     return n.join(t, ["window_id", "plen", "prefix"]).select("window_id", "name_idx", "text_idx")
 
 
-def _assign(pdf: pd.DataFrame) -> pd.DataFrame:
-    used, out = set(), []
-    for name_idx, grp in pdf.sort_values(["name_idx", "text_idx"]).groupby("name_idx", sort=True):
-        for text_idx in grp["text_idx"]:
-            if text_idx not in used:
-                used.add(text_idx)
-                out.append((pdf["window_id"].iloc[0], name_idx, text_idx))
-                break
-    return pd.DataFrame(out, columns=["window_id", "name_idx", "text_idx"])
+def _assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by window, name and text."""
+    window, name, used, done = None, None, set(), False
+    for batch in batches:
+        out = []
+        for w, n, t in zip(*(batch.column(c).to_pylist() for c in COLUMNS), strict=True):
+            if w != window:
+                window, name, used = w, None, set()
+            if n is None:
+                continue
+            if n != name:
+                name, done = n, False
+            if not done and (t is None or t not in used):
+                done = True
+                if t is not None:
+                    used.add(t)
+                out.append((w, n, t))
+        cols = zip(*out, strict=True) if out else [()] * len(COLUMNS)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=COLUMNS)
 
 
 def assign(pairs: DataFrame) -> DataFrame:
     """One-to-one greedy assignment per window."""
-    return pairs.groupBy("window_id").applyInPandas(_assign, "window_id long, name_idx long, text_idx long")
+    rows = pairs.select(*(F.col(c).cast("long").alias(c) for c in COLUMNS)).repartition("window_id")
+    rows = rows.sortWithinPartitions("window_id", "name_idx", F.col("text_idx").asc_nulls_last())
+    return rows.mapInArrow(_assign, "window_id long, name_idx long, text_idx long")
 
 
 def coverage(names: DataFrame, texts: DataFrame, assigned: DataFrame) -> DataFrame:
