@@ -6,7 +6,9 @@ it may follow the last token of the prefix before it; exactly one token
 qualifies, so the table is filled left to right and the tokens are read off
 from the end. Because the table of a prefix never depends on what follows,
 bytes can be appended exactly, and after an edit only the entries from the edit
-on are made anew, until they agree with the old ones again.
+on are made anew, until they agree with the old ones again. For the same reason
+pieces that begin alike share entries: of short pieces, only the entries that
+the last one asks for are made, and a worker keeps them for the next pieces.
 
 Whether token b may follow token a: undo the merges at their border, the latest
 merge first, and see whether BPE would ever have merged across it before.
@@ -38,6 +40,7 @@ from pyspark.sql import types as T
 from .common import prepare, resident
 
 _CACHE_SIZE = 150_000
+_SHORT = 64  # bytes of a piece whose entries are made from its end
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -57,12 +60,14 @@ class Ranks:
         self.merged: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
         self.known: dict[int, bool] = {}
+        self.ends: dict[bytes, int] = {}
         for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
             if len(token) > 1 and (halves := self._split(token, rank)):
                 self.parts[rank] = halves
                 self.merged[halves] = rank
         #: tokens that merging can make; any other one only stands for a whole piece
         self.made = {t: i for t, i in ranks.items() if len(t) == 1 or i in self.parts}
+        self.packed = {i: struct.pack("<I", i) for i in self.bytes_of}
 
     def _split(self, token: bytes, rank: int) -> tuple[int, int] | None:
         """The last two tokens that merging the bytes by lower ranks leaves."""
@@ -96,6 +101,41 @@ class Ranks:
             else:
                 return True
 
+    def last(self, data: bytes) -> int:
+        """The last token of ``data``, for short data only. It looks up the
+        entries of the prefixes that it asks for, the longest token first;
+        entries are kept, as many pieces begin alike."""
+        made, known, ends = self.made.get, self.known.get, self.ends.get
+        for begin in range(max(len(data) - self.longest, 0), len(data)):
+            token = made(data[begin:])
+            if token is None:
+                continue
+            if begin:
+                head = data[:begin]
+                before = ends(head)
+                if before is None:
+                    before = self.last(head)
+                kept = known(before << 32 | token)
+                if kept is None:
+                    kept = self.follows(before, token)
+                if not kept:
+                    continue
+            if len(self.ends) > 2 * _CACHE_SIZE:
+                self.ends.clear()
+            self.ends[data] = token
+            return token
+        raise ValueError("the vocabulary lacks a byte")
+
+    def tokens(self, data: bytes) -> list[int]:
+        if len(data) > _SHORT:
+            return PrefixTable(self, data).tokens()
+        out = []
+        while data:
+            token = self.ends.get(data)
+            out.append(self.last(data) if token is None else token)
+            data = data[: -len(self.bytes_of[out[-1]])]
+        return out[::-1]
+
 
 class PrefixTable:
     """The last token of every prefix of some bytes."""
@@ -184,8 +224,9 @@ class _Pieces(_Cache):
     def make(self, piece: str) -> bytes:
         data = piece.encode()
         whole = self.ranks.ranks.get(data)
-        ids = [whole] if whole is not None else PrefixTable(self.ranks, data).tokens()
-        return struct.pack(f"<{len(ids)}I", *ids)
+        if whole is not None:
+            return self.ranks.packed[whole]
+        return b"".join([self.ranks.packed[i] for i in self.ranks.tokens(data)])
 
 
 class _Parts(_Cache):
