@@ -32,3 +32,15 @@ def test_each_crowd_keeps_its_own_order(spark):
     # b is late in the order of the hub p, early in that of q
     rows = [(1, b"a", 10, 10, 1, True, b"p"), (1, b"b", 10, 10, 5, True, b"p"), (2, b"a", 10, 10, 2, True, b"q"), (2, b"b", 10, 10, 1, True, b"q")]
     assert pairs(spark, rows, SCHEMA + ", hub binary") == [(b"a", b"b")]
+
+
+def test_equal_large_buckets_are_met_once(spark):
+    ms = [b"m%02d" % i for i in range(GROUP + 4)]
+    crowds = Crowds(Scratch(prepare(spark), "test"), 80, lambda t: np.empty(0), lambda t: t)
+    whole = crowds.filled(spark.createDataFrame([(k, t, 10, 10, 1, True) for k in range(20) for t in ms], SCHEMA), "whole")
+    sized = crowds.by_size(whole, "sized")  # all in one step of size: every bucket twice
+    for shared in (False, True):
+        out = crowds.hub_pairs(sized, GROUP, f"first{shared}", shared).collect()
+        assert sorted((bytes(r.x), bytes(r.y)) for r in out) == [(t, ms[-1]) for t in ms[:-1]]
+    met = spark.read.parquet(f"{crowds.scratch.base}/firstTrue_met")
+    assert met.count() == len(ms)  # before: 40 times as many
