@@ -22,3 +22,13 @@ def test_pairs_that_share_no_chunk(spark, tmp_path):
     for name in ("documents", "labels"):
         con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{at}/{name}.parquet/*.parquet'")
     assert {r[2:] for r in con.sql(E.oracle_sql()["near_candidates"]).fetchall()} == got
+
+
+def test_texts_are_hashed_once(spark, tmp_path):
+    import __spark_entry__ as E
+
+    at = tables(spark, tmp_path, [(14, "a" * 300, "src17"), (28, "b" * 300, "src2")])
+    df = E.queries()["near_candidates"](spark, at)
+    # before: normalised and hashed again for the index, its use as an anti-join and the filters of both sides
+    assert "sha2(" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.n_len, r.c_len, r.k) for r in df.collect()] == [(300, 300, 17)]
