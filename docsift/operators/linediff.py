@@ -22,7 +22,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import scratch_path, write_scratch
 
 # Line ends of Python's str.splitlines, fixed values.
 LINE_ENDS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85  "
@@ -37,11 +37,6 @@ def split_lines(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(line), F.lit(0))
 
 
-def _written(df: DataFrame, at: str) -> DataFrame:
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
-
-
 def _lines(pairs: DataFrame, text: str, at: str) -> DataFrame:
     found = pairs.select("pid", F.posexplode(split_lines(F.col(text))).alias(at, "line"))
     return found.withColumn("h", F.xxhash64("line"))
@@ -81,9 +76,9 @@ def matching_blocks(a: DataFrame, b: DataFrame, scratch: str) -> DataFrame:
     """``pid, i, j, k`` of lines ``a`` (pid, i, line, h) and ``b`` (pid, j,
     line, h): k lines from i on equal those from j on."""
     spark = a.sparkSession
-    runs = _written(_runs(a, b), f"{scratch}/runs")
+    runs = write_scratch(_runs(a, b), f"{scratch}/runs")
     ordered = lambda side, at: side.groupBy("pid").agg(F.transform(F.array_sort(F.collect_list(F.struct(at, "h"))), lambda x: x["h"]).alias(f"{'a' if at == 'i' else 'b'}h"))
-    hashes = _written(ordered(a, "i").join(ordered(b, "j"), "pid"), f"{scratch}/hashes")  # of one text each
+    hashes = write_scratch(ordered(a, "i").join(ordered(b, "j"), "pid"), f"{scratch}/hashes")  # of one text each
     whole = hashes.select("pid", F.lit(0).alias("alo"), F.size("ah").alias("ahi"), F.lit(0).alias("blo"), F.size("bh").alias("bhi"))
     ranges, step, found = whole, 0, []
     while True:
@@ -92,7 +87,7 @@ def matching_blocks(a: DataFrame, b: DataFrame, scratch: str) -> DataFrame:
         first = F.max(F.when(F.col("d").isNotNull() & (stop > start), F.struct((stop - start).alias("k"), (-start).alias("i"), (-start - F.col("d")).alias("j")))).alias("best")
         best = ranges.join(runs, "pid", "left").groupBy("pid", "alo", "ahi", "blo", "bhi").agg(first)
         block = best.select("pid", "alo", "ahi", "blo", "bhi", F.coalesce(-F.col("best.i"), "alo").alias("i"), F.coalesce(-F.col("best.j"), "blo").alias("j"), F.coalesce("best.k", F.lit(0)).alias("k"))
-        block = _written(_grown(block, hashes).filter("k > 0"), f"{scratch}/blocks{step}")
+        block = write_scratch(_grown(block, hashes).filter("k > 0"), f"{scratch}/blocks{step}")
         if not block.take(1):
             break
         found.append(block.select("pid", "i", "j", "k"))
@@ -133,9 +128,9 @@ def unified_diffs(pairs: DataFrame, n_context: int = 3) -> DataFrame:
     as difflib's do."""
     scratch = scratch_path(pairs.sparkSession, f"linediff/{uuid.uuid4().hex[:12]}")
     pid = F.xxhash64(*_PAIR).alias("pid")
-    given = _written(pairs.select(pid, *_PAIR, "new_text", "canonical_text").dropDuplicates(["pid"]), f"{scratch}/pairs")
-    a = _written(_lines(given, "new_text", "i"), f"{scratch}/a")
-    b = _written(_lines(given, "canonical_text", "j"), f"{scratch}/b")
+    given = write_scratch(pairs.select(pid, *_PAIR, "new_text", "canonical_text").dropDuplicates(["pid"]), f"{scratch}/pairs")
+    a = write_scratch(_lines(given, "new_text", "i"), f"{scratch}/a")
+    b = write_scratch(_lines(given, "canonical_text", "j"), f"{scratch}/b")
     script = _script(a, b, matching_blocks(a, b, scratch))
     turn = Window.partitionBy("pid").orderBy("r")
     script = script.withColumn("r", F.col("i") + F.col("j")).withColumn("nth", F.row_number().over(turn))
@@ -145,7 +140,7 @@ def unified_diffs(pairs: DataFrame, n_context: int = 3) -> DataFrame:
     shown = script.withColumns({"last": last, "following": following}).filter(
         (F.col("nth") - F.col("last") <= n_context) | (F.col("following") - F.col("nth") <= n_context))
     shown = shown.withColumn("hunk", F.col("nth") - F.row_number().over(turn))
-    shown = _written(shown.select("pid", "i", "j", "op", "r", "hunk"), f"{scratch}/shown")
+    shown = write_scratch(shown.select("pid", "i", "j", "op", "r", "hunk"), f"{scratch}/shown")
     of = F.struct("r", "i", "j")
     hunks = shown.groupBy("pid", "hunk").agg(F.min(of).alias("at"), F.count_if(F.col("op") != "+").alias("na"), F.count_if(F.col("op") != "-").alias("nb"))
     head = F.concat(F.lit("@@ -"), _span(F.col("at.i"), F.col("na")), F.lit(" +"), _span(F.col("at.j"), F.col("nb")), F.lit(" @@\n"))

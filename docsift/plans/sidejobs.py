@@ -4,6 +4,8 @@ coverage (J12, A9), unified diffs of near matches (P20)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.threshold import DEFAULT_CURVE
@@ -11,7 +13,7 @@ from ..operators import coverage as V
 from ..operators import curves as C
 from ..operators import history as H
 from ..operators.linediff import unified_diffs
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, scratch_path, write_scratch
 from ..sources.tables import CAPTURE_TABS_SQL, capture_tabs, inventory, table
 from . import sqlfrag as S
 from .compare import compare
@@ -143,14 +145,20 @@ def q_coverage(spark, sf_dir):
 
 def q_unified_diff(spark, sf_dir):
     """P20 for every near match: only the documents of near pairs are read
-    back and normalised (their paths are broadcast behind a check of their bytes)."""
+    back and normalised, once (their paths are broadcast behind a check of their
+    bytes). The near matches are written first: both sides' paths are theirs."""
     from ..functions.text import normalize_text
 
+    def written(df, name):
+        return write_scratch(df, scratch_path(spark, f"linediff/{name}-{uuid.uuid4().hex[:12]}"))
+
     res = compare(spark, sf_dir, fuzzy="small", scope="all").filter(F.col("status") == "near")
+    res = written(res.select("new_path", "canonical_path"), "near")
     needed = res.select(F.col("new_path").alias("path")).union(
         res.select(F.col("canonical_path").alias("path"))).distinct()
     texts = (inventory(spark, sf_dir).select("path", "text").join(broadcast_if_small(needed), "path", "left_semi")
              .select("path", normalize_text("text").alias("norm")))
+    texts = written(texts, "texts")
     pairs = (res.join(texts.withColumnRenamed("path", "new_path").withColumnRenamed("norm", "new_text"), "new_path")
              .join(texts.withColumnRenamed("path", "canonical_path").withColumnRenamed("norm", "canonical_text"),
                    "canonical_path"))
